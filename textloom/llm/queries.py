@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from textloom.llm import exact
+from textloom.llm import counts, exact, packing
 
 QUERIES = {
+    "op3_packing": packing.query,
     "op7_exact_dedup": exact.query,
+    "op10_token_counts": counts.query,
 }
 ORACLES = {
     "op7_exact_dedup": exact.ORACLE,
