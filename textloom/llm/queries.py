@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from textloom.llm import counts, exact, packing
+from textloom.llm import counts, exact, packing, toxicity
 
 QUERIES = {
     "op3_packing": packing.query,
     "op7_exact_dedup": exact.query,
+    "op9_toxicity": toxicity.query,
     "op10_token_counts": counts.query,
 }
 ORACLES = {

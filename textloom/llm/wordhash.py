@@ -2,7 +2,8 @@
 
 Works on the bytes of an Arrow string array as they are, so a task never builds
 Python strings for words. Words are maximal runs of bytes outside 0x09-0x0D and
-0x20; a null or empty text has none. With ``fold`` the letters A-Z count as a-z.
+0x20, unless another table of separating bytes is given; a null or empty text has
+none. With ``fold`` the letters A-Z count as a-z.
 
 A run's hash is a polynomial over the mixed hashes of its words, taken modulo
 2**64 from prefix sums, so it costs the same for every run length.
@@ -17,8 +18,11 @@ import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _RUN = (np.uint64(0xD6E8FEB86659FD95), np.uint64(0xA0761D6478BD642F))
-_WHITE = np.zeros(256, bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes that end a word: white space, or every ASCII byte but letters and digits.
+WHITE = np.zeros(256, bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
+PUNCTUATION = np.arange(256) < 128
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _BYTES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _FOLDED = _BYTES.copy()
 _FOLDED[65:91] = _BYTES[97:123]
@@ -75,7 +79,7 @@ class Words:
         return mix((sums[stop] - sums[begin]) * down[begin])
 
 
-def blocks(texts: pa.Array, fold: bool = False):
+def blocks(texts: pa.Array, fold: bool = False, ends_word: np.ndarray = WHITE):
     """Yields (index of the first text, number of texts, bytes, Words) over about BLOCK bytes each."""
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     if texts.null_count:
@@ -87,16 +91,16 @@ def blocks(texts: pa.Array, fold: bool = False):
     while i < len(texts):
         j = max(i + 1, int(np.searchsorted(ends, ends[i] + BLOCK, "right")) - 1)
         body = raw[ends[i] : ends[j]]
-        yield i, j - i, body, hash_words(body, ends[i : j + 1] - ends[i], fold)
+        yield i, j - i, body, hash_words(body, ends[i : j + 1] - ends[i], fold, ends_word)
         i = j
 
 
-def hash_words(body: np.ndarray, ends: np.ndarray, fold: bool = False) -> Words:
+def hash_words(body: np.ndarray, ends: np.ndarray, fold: bool = False, ends_word: np.ndarray = WHITE) -> Words:
     """Words of the texts ``body[ends[i]:ends[i+1]]``."""
     n = len(body)
     if not n:
         return Words(np.zeros(0, np.uint64), np.zeros(len(ends), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    black = ~_WHITE[body]
+    black = ~ends_word[body]
     edge = np.zeros(n + 1, bool)
     edge[ends] = True
     starts = black.copy()
