@@ -10,11 +10,13 @@ The second part estimates the risk on the negatives by correcting the unlabelled
 rows for the positives among them, and is kept from going below zero, which a
 flexible scorer would otherwise fit to (Kiryo et al., 2017).
 
-A text's features are its distinct words (letters and digits, A-Z as a-z), hashed.
-Words enter the model when their share among the positives exceeds that among the
-unlabelled texts beyond doubt. Training runs in numpy on a bounded sample of the
-labelled rows (SAMPLE); everything else covers all rows. Scoring is one pass
-without a shuffle; the model that it broadcasts has at most FEATURES weights.
+A text's features are its words (letters and digits, A-Z as a-z) and their
+beginnings, each by how often it occurs (at least TIERS times). A feature enters
+the model when its share among the positives exceeds that among the unlabelled
+texts beyond doubt; Spark counts the shares. Copies of a text count once there.
+Training runs in numpy on a bounded sample of the labelled rows (SAMPLE);
+everything else covers all rows. Scoring is one pass without a shuffle; the model
+that it broadcasts has at most FEATURES words.
 
 Defined results: a null or empty text has no words and scores as the bias alone;
 rows that repeat get the same score; labels that are null, or of unknown documents,
@@ -37,33 +39,61 @@ from textloom.llm.wordhash import PUNCTUATION, blocks
 from textloom.storage import read_table
 
 #: At most so many positive and so many unlabelled rows are used for training.
-SAMPLE = (6_000, 16_000)
-#: At most so many words have a weight.
+SAMPLE = (5_000, 12_000)
+#: At most so many words and beginnings have weights.
 FEATURES = 512
+#: Bytes of a beginning; occurrences in a text from which another weight counts.
+BEGINNINGS = (5, 6, 7, 8)
+TIERS = (1, 2, 4)
 THRESHOLD = 0.7
+#: A feature's lead in standard errors, and the positives that have it, at least.
+LEAD, SUPPORT = 5.0, 5
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of hashed words (ascending hashes) and a bias."""
+    """Hashed words and beginnings (ascending), their weights by tier, and a bias."""
 
     words: np.ndarray
     weights: np.ndarray
     bias: float
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct words of each text, and where each text's begin (one more entry)."""
-    found, sizes = [], []
-    for _, n, _, words in blocks(texts, fold=True, ends_word=PUNCTUATION):
+def occurrences(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """By block: index of the first text, texts, and owner and hash of every word and beginning."""
+    for i, n, body, words in blocks(texts, fold=True, ends_word=PUNCTUATION):
         owner = np.repeat(np.arange(n), np.diff(words.first))
-        order = np.lexsort((words.hashes, owner))
-        h, o = words.hashes[order], owner[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
-        found.append(h[new])
-        sizes.append(np.bincount(o[new], minlength=n))
-    return np.concatenate(found or [np.zeros(0, np.uint64)]), np.cumsum(np.concatenate([[0], *sizes])).astype(np.int64)
+        parts, owners = [words.hashes], [owner]
+        for size in BEGINNINGS:
+            long = words.end - words.start > size
+            parts.append(words.prefixes(body, long, size))
+            owners.append(owner[long])
+        yield i, n, np.concatenate(owners), np.concatenate(parts)
+
+
+def tallies(owner: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, feature and count of each pair that occurs, by owner and feature."""
+    order = np.lexsort((feature, owner))
+    o, f = owner[order], feature[order]
+    new = np.ones(len(f), bool)
+    new[1:] = (f[1:] != f[:-1]) | (o[1:] != o[:-1])
+    at = np.flatnonzero(new)
+    return o[at], f[at], np.diff(np.append(at, len(f)))
+
+
+def found_in(texts: pa.Array, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place in ``words`` and count of the chosen features that occur in a batch."""
+    near = np.zeros(1 << 16, bool)
+    near[words & np.uint64(0xFFFF)] = True
+    out = []
+    for i, _, owner, feature in occurrences(texts):
+        maybe = near[feature & np.uint64(0xFFFF)]
+        owner, feature = owner[maybe], feature[maybe]
+        at = np.minimum(np.searchsorted(words, feature), max(0, len(words) - 1))
+        hit = words[at] == feature if len(words) else np.zeros(0, bool)
+        o, f, n = tallies(owner[hit] + i, at[hit])
+        out.append((o, f, n))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 3
 
 
 def held_out(doc_id: Column) -> Column:
@@ -71,8 +101,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> tuple[pa.Table, float]:
-    """Words of the sampled rows, with columns positive and unlabelled, and the class prior.
+def training_rows(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> tuple[DataFrame, float]:
+    """text, positive, unlabelled of the sampled rows without copies, and the class prior.
 
     The sample is the rows with the smallest hashes of doc_id: the same at every run
     and independent of all else. The prior comes from all training labels.
@@ -83,77 +113,88 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] =
     positive = known.where("toxic = 1").orderBy(order).limit(sample[0]).select("id", F.lit(1).alias("p"), F.lit(0).alias("u"))
     unlabelled = known.orderBy(order).limit(sample[1]).select("id", F.lit(0).alias("p"), F.lit(1).alias("u"))
     chosen = positive.unionByName(unlabelled).groupBy("id").agg(F.max("p").alias("positive"), F.max("u").alias("unlabelled"))
+    # At most sum(sample) ids are broadcast, whatever the corpus.
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id").where("text is not null")
+    return rows.groupBy("text").agg(F.max("positive").alias("positive"), F.max("unlabelled").alias("unlabelled")), float(prior)
+
+
+def choose(rows: DataFrame, features: int = FEATURES) -> np.ndarray:
+    """Hashes of the words and beginnings that lead among the positives, ascending."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, first = words_of(batch["text"])
-            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(words.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["positive"], batch["unlabelled"], lists], ["positive", "unlabelled", "words"])
-
-    # At most sum(sample) rows: bounded whatever the corpus.
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id").select("text", "positive", "unlabelled")
-    return rows.mapInArrow(task, "positive int, unlabelled int, words array<long>").toArrow(), float(prior)
-
-
-def fit(rows: pa.Table, prior: float, features: int = FEATURES, epochs: int = 300, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """Trains the scorer; deterministic."""
-    lists = rows["words"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int64()))
-    first = np.asarray(lists.offsets) if len(lists) else np.zeros(1, np.int64)
-    words = np.asarray(lists.values).view(np.uint64)[first[0] : first[-1]] if len(lists) else np.zeros(0, np.uint64)
-    sizes = np.diff(first)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    # Copies count once: a large group of them is no evidence for its words.
-    print_ = np.zeros(len(sizes), np.uint64)
-    np.add.at(print_, owner, words * np.uint64(0x9E3779B97F4A7C15))
-    once = np.zeros(len(sizes), bool)
-    flags = [np.asarray(rows[c]).astype(bool) if rows.num_rows else np.zeros(0, bool) for c in ("positive", "unlabelled")]
-    once[np.unique(np.stack([print_, flags[0].astype(np.uint64)]), axis=1, return_index=True)[1]] = True
-    p, u = flags[0] & once, flags[1] & once
-    if not p.any() or not u.any() or not 0 < prior < 1:
-        prior = min(max(prior, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
-    names, column = np.unique(words, return_inverse=True)
-    share = [np.bincount(column[mask[owner]], minlength=len(names)) / mask.sum() for mask in (p, u)]
-    spread = np.sqrt(np.maximum(share[1], 1 / u.sum()) * (1 / p.sum() + 1 / u.sum()))
-    lead = (share[0] - share[1]) / spread
-    chosen = np.sort(np.argsort(-lead, kind="stable")[:features])
-    chosen = chosen[(lead[chosen] > 5) & (share[0][chosen] * p.sum() >= 5)]
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(sizes), len(chosen)), np.float32)
-    inside = place[column] >= 0
-    x[owner[inside], place[column[inside]]] = 1
-    xp, xu = x[p], x[u]
-    w, b = np.zeros(len(chosen)), -1.0
-    moment, square = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+            marks = [np.asarray(batch[c]) for c in ("positive", "unlabelled")]
+            for i, _, owner, feature in occurrences(batch["text"]):
+                o, f, n = tallies(owner, feature)
+                tier = np.searchsorted(TIERS, n, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(tier), *(pa.array(m[o + i]) for m in marks)], ["feature", "tier", "p", "u"])
+
+    n = rows.agg(F.sum("positive"), F.sum("unlabelled")).first()
+    if not n[0] or not n[1]:
+        return np.zeros(0, np.uint64)
+    each = rows.mapInArrow(task, "feature long, tier long, p int, u int").groupBy("feature").agg(*(F.sum(F.when(F.col("tier") >= t, F.col(c))).alias(f"{c}{t}") for t in range(len(TIERS)) for c in "pu"))
+
+    def lead(t: int) -> Column:
+        p, u = F.coalesce(F.col(f"p{t}"), F.lit(0)), F.coalesce(F.col(f"u{t}"), F.lit(0))
+        spread = F.sqrt(F.greatest(u, F.lit(1)) / n[1] * (1 / n[0] + 1 / n[1]))
+        return F.when(p >= SUPPORT, (p / n[0] - u / n[1]) / spread).otherwise(F.lit(0.0))
+
+    best = each.select("feature", F.greatest(*map(lead, range(len(TIERS)))).alias("lead")).where(F.col("lead") > LEAD)
+    # At most ``features`` rows reach the driver.
+    return np.sort(np.array([r.feature for r in best.orderBy(F.desc("lead"), "feature").limit(features).collect()], np.int64).view(np.uint64))
+
 
-    def sigmoid(z: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+def design(rows: DataFrame, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sample as a matrix with a column for each feature and tier, and its two marks."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            o, f, n = found_in(batch["text"], words)
+            column = np.concatenate([f[n >= t] * len(TIERS) + k for k, t in enumerate(TIERS)] or [f])
+            owner = np.concatenate([o[n >= t] for t in TIERS] or [o])
+            order = np.lexsort((column, owner))
+            first = np.searchsorted(owner[order], np.arange(batch.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(column[order], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch["positive"], batch["unlabelled"], lists], ["p", "u", "columns"])
+
+    # At most sum(SAMPLE) rows with a few numbers each.
+    got = rows.mapInArrow(task, "p int, u int, columns array<int>").toArrow().combine_chunks()
+    x = np.zeros((got.num_rows, len(words) * len(TIERS)), np.float32)
+    for i, columns in enumerate(got["columns"].to_pylist()):
+        x[i, columns] = 1
+    return x, np.asarray(got["p"]).astype(bool), np.asarray(got["u"]).astype(bool)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def fit(x: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float, epochs: int = 600, rate: float = 0.05, decay: float = 3e-5) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk with l(z) = log(1 + exp(-z)); by Adam."""
+    xp, xu = x[p], x[u]
+    w, b = np.zeros(x.shape[1]), -1.0
+    moment, square = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, epochs + 1):
-        fp, fu = sigmoid(xp @ w + b), sigmoid(xu @ w + b)
-        # The loss is l(z) = log(1 + exp(-z)): l(f) on positives, l(-f) elsewhere.
-        negative = -np.log1p(-np.minimum(fu, 1 - 1e-7)).mean() + prior * np.log1p(-np.minimum(fp, 1 - 1e-7)).mean()
-        on_p, on_u = (-prior * (1 - fp) - prior * fp) / len(fp), fu / len(fu)
-        if negative < 0:
-            # Below zero the negative part alone is driven back up.
+        fp, fu = (np.clip(_sigmoid(m @ w + b), 1e-7, 1 - 1e-7) for m in (xp, xu))
+        if np.log1p(-fu).mean() <= prior * np.log1p(-fp).mean():
+            on_p, on_u = (-prior * (1 - fp) - prior * fp) / len(fp), fu / len(fu)
+        else:
+            # The part on the negatives is below zero: it alone is driven back up.
             on_p, on_u = prior * fp / len(fp), -fu / len(fu)
         slope = np.append(xp.T @ on_p + xu.T @ on_u + decay * w, on_p.sum() + on_u.sum())
         moment, square = 0.9 * moment + 0.1 * slope, 0.999 * square + 0.001 * slope**2
         move = rate * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return Model(names[chosen], w, float(b))
+    return w, float(b)
 
 
 def scores(texts: pa.Array, model: Model) -> np.ndarray:
     """Score of each text of a batch."""
-    words, first = words_of(texts)
-    sums = np.zeros(len(words) + 1)
-    if len(model.words):
-        at = np.minimum(np.searchsorted(model.words, words), len(model.words) - 1)
-        np.cumsum(np.where(model.words[at] == words, model.weights[at], 0.0), out=sums[1:])
-    z = np.round(sums[first[1:]] - sums[first[:-1]], 9) + model.bias
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    o, f, n = found_in(texts, model.words)
+    weights = np.zeros(len(f))
+    for k, t in enumerate(TIERS):
+        weights += np.where(n >= t, model.weights[f * len(TIERS) + k], 0.0) if len(f) else 0.0
+    return _sigmoid(np.bincount(o, weights, minlength=len(texts)) + model.bias) if len(f) else np.full(len(texts), _sigmoid(np.array(model.bias)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -167,8 +208,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, score double")
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
-    return fit(*training_rows(docs, labels, sample))
+def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, features: int = FEATURES) -> Model:
+    rows, prior = training_rows(docs, labels, sample)
+    words = choose(rows, features)
+    if not len(words) or not 0 < prior < 1:
+        prior = min(max(prior, 1e-6), 1 - 1e-6)
+        return Model(words[:0], np.zeros(0), float(np.log(prior / (1 - prior))))
+    return Model(words, *fit(*design(rows, words), prior))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

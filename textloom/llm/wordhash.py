@@ -58,6 +58,12 @@ class Words:
     first: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    sums: np.ndarray
+
+    def prefixes(self, body: np.ndarray, which: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of the first ``size`` bytes of the words that a mask picks; none is a whole word's hash."""
+        at = self.start[which]
+        return mix((self.sums[at + size] - self.sums[at]) * _powers(_BASE, len(body) + 1)[1][at] + np.uint64(size << 32))
 
     def runs(self, length: int, seed: int = 0) -> np.ndarray:
         """Hash of the ``length`` words from each word on; garbage where a text has fewer left."""
@@ -99,7 +105,7 @@ def hash_words(body: np.ndarray, ends: np.ndarray, fold: bool = False, ends_word
     """Words of the texts ``body[ends[i]:ends[i+1]]``."""
     n = len(body)
     if not n:
-        return Words(np.zeros(0, np.uint64), np.zeros(len(ends), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return Words(np.zeros(0, np.uint64), np.zeros(len(ends), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.uint64))
     black = ~ends_word[body]
     edge = np.zeros(n + 1, bool)
     edge[ends] = True
@@ -112,4 +118,4 @@ def hash_words(body: np.ndarray, ends: np.ndarray, fold: bool = False, ends_word
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((_FOLDED if fold else _BYTES)[body] * up[:n], out=sums[1:])
     hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-    return Words(hashes, np.searchsorted(start, ends), start, end)
+    return Words(hashes, np.searchsorted(start, ends), start, end, sums)
