@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from textloom.llm import counts, exact, packing, toxicity
+from textloom.llm import counts, exact, packing, toxicity, warc
 
 QUERIES = {
     "op3_packing": packing.query,
+    "op4_warc": warc.query,
     "op7_exact_dedup": exact.query,
     "op9_toxicity": toxicity.query,
     "op10_token_counts": counts.query,
 }
 ORACLES = {
+    "op4_warc": warc.ORACLE,
     "op7_exact_dedup": exact.ORACLE,
 }
