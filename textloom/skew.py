@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 HOT_PARTS = 1000
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """``left`` inner-joined with ``right``, which has one row per ``key`` and the key's rows in ``count``.
+def join_counted(left: DataFrame, right: DataFrame, key: str | list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row per ``key`` and the key's rows in ``count``.
 
     ``total`` is the number of rows that the counts add up to. A key with over
     total / HOT_PARTS rows is hot; there are fewer than HOT_PARTS of them whatever
     the input, so they are broadcast and their rows stay where they are. All other
-    keys meet in an ordinary shuffled join. Null keys match nothing.
+    keys meet in an ordinary shuffled join. Null keys match nothing. ``how`` is
+    inner or left.
     """
+    keys = [key] if isinstance(key, str) else key
     bound = max(1, total // HOT_PARTS)
     is_hot = F.col(count) > bound
-    hot = F.broadcast(right.where(is_hot))
-    names = [c for c in right.columns if c != key]
-    from_hot = left.join(hot, key)
-    rest = left.join(F.broadcast(right.where(is_hot).select(key)), key, "left_anti")
-    return from_hot.select(*left.columns, *names).unionByName(rest.join(right.where(~is_hot), key).select(*left.columns, *names))
+    names = [*left.columns, *(c for c in right.columns if c not in keys)]
+    from_hot = left.join(F.broadcast(right.where(is_hot)), keys)
+    rest = left.join(F.broadcast(right.where(is_hot).select(*keys)), keys, "left_anti")
+    return from_hot.select(*names).unionByName(rest.join(right.where(~is_hot), keys, how).select(*names))
