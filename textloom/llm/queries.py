@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.llm import counts, exact, packing, toxicity, warc
+from textloom.llm import counts, exact, neardup, packing, toxicity, warc
 
 QUERIES = {
+    "op2_minhash_neardup": neardup.query,
     "op3_packing": packing.query,
     "op4_warc": warc.query,
     "op7_exact_dedup": exact.query,
@@ -12,6 +13,7 @@ QUERIES = {
     "op10_token_counts": counts.query,
 }
 ORACLES = {
+    "op2_minhash_neardup": neardup.ORACLE,
     "op4_warc": warc.ORACLE,
     "op7_exact_dedup": exact.ORACLE,
 }
