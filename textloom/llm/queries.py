@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from textloom.llm import counts, exact, neardup, packing, toxicity, warc
+from textloom.llm import counts, decontam, exact, neardup, packing, toxicity, warc
 
 QUERIES = {
     "op2_minhash_neardup": neardup.query,
     "op3_packing": packing.query,
     "op4_warc": warc.query,
+    "op5_decontamination": decontam.query,
     "op7_exact_dedup": exact.query,
     "op9_toxicity": toxicity.query,
     "op10_token_counts": counts.query,
@@ -15,5 +16,6 @@ QUERIES = {
 ORACLES = {
     "op2_minhash_neardup": neardup.ORACLE,
     "op4_warc": warc.ORACLE,
+    "op5_decontamination": decontam.ORACLE,
     "op7_exact_dedup": exact.ORACLE,
 }
