@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import counts, decontam, exact, neardup, packing, toxicity, warc
+from textloom.llm import counts, decontam, exact, neardup, packing, substrings, toxicity, warc
 
 QUERIES = {
     "op2_minhash_neardup": neardup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_warc": warc.query,
     "op5_decontamination": decontam.query,
     "op7_exact_dedup": exact.query,
+    "op8_substring_dedup": substrings.query,
     "op9_toxicity": toxicity.query,
     "op10_token_counts": counts.query,
 }
@@ -18,4 +19,5 @@ ORACLES = {
     "op4_warc": warc.ORACLE,
     "op5_decontamination": decontam.ORACLE,
     "op7_exact_dedup": exact.ORACLE,
+    "op8_substring_dedup": substrings.ORACLE,
 }
