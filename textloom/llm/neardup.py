@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.wordhash import blocks, mix
+from textloom.operators.components import components
 from textloom.skew import join_counted
 from textloom.storage import maybe_broadcast, materialize, read_table
 
@@ -183,30 +184,6 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root of every linked node; the root is the smallest node of the component.
-
-    Large-star and small-star steps (Kiveris et al., 2014) shorten every path until
-    each component is a star. A node's neighbours are only ever reduced to their
-    minimum, so a hub of many links is aggregated before the shuffle.
-    """
-    edges = materialize(links.selectExpr("greatest(a, b) x", "least(a, b) y").where("x <> y").distinct(), "links")
-    for _ in range(rounds):
-        both = edges.unionByName(edges.selectExpr("y x", "x y"))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).selectExpr("x", "least(x, m) m")
-        large = both.join(least, "x").where("y > x").selectExpr("y x", "m y").where("x <> y").distinct()
-        lower = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(lower, "x").selectExpr("y x", "m y").where("x <> y").unionByName(lower.selectExpr("x", "m y")).distinct()
-        following = materialize(small, "links")
-        same = following.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first() == edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
-        edges = following
-        if same:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.selectExpr("x node", "y root").unionByName(edges.selectExpr("y node", "y root").distinct())
-
-
 def _hub_pairs(entries: DataFrame, order: list) -> DataFrame:
     """Pairs of each entry with its bucket's first nodes in an order."""
     first = entries.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("_r") <= HUBS)

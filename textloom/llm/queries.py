@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.llm import counts, decontam, exact, neardup, packing, substrings, toxicity, warc
+from textloom.llm import counts, decontam, exact, lines, neardup, packing, substrings, toxicity, warc
 
 QUERIES = {
+    "op1_line_dedup": lines.query,
     "op2_minhash_neardup": neardup.query,
     "op3_packing": packing.query,
     "op4_warc": warc.query,
