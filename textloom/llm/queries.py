@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import counts, decontam, exact, lines, neardup, packing, substrings, toxicity, warc
+from textloom.llm import counts, decontam, exact, lines, neardup, packing, pii, substrings, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": lines.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.query,
     "op4_warc": warc.query,
     "op5_decontamination": decontam.query,
+    "op6_pii": pii.query,
     "op7_exact_dedup": exact.query,
     "op8_substring_dedup": substrings.query,
     "op9_toxicity": toxicity.query,
