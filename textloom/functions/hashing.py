@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 1 << 17
 
@@ -35,7 +36,7 @@ def murmur3(data: bytes, seed: int = 0) -> int:
     return h ^ h >> 16
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def murmur3_bucket(tokens: pd.Series) -> pd.Series:
     """Exact MurmurHash3 (x86, 32 bits, seed 0) modulo 2**17; each distinct token of a batch is hashed once."""
     codes, names = pd.factorize(tokens)

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions.text import words
 
@@ -66,7 +67,7 @@ def concept_tags(text: Column, tagged: Column | None = None, limit: int = 10) ->
     return F.array_union(entities, F.transform(longest, lambda x: x["w"]))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def latex_fault(formulas: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Why a formula is not well formed: its first unmatched brace, \\left or \\begin; null if it is."""
     import re
