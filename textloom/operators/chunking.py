@@ -20,7 +20,7 @@ _CHUNK = "struct<modality:string,element_types:array<string>,text:string,page:in
 
 
 def _tokens(text: str) -> str:
-    return f"size(filter(split({text}, '{WHITE}'), w -> w <> ''))"
+    return f"size(filter(split({text}, r'{WHITE}'), w -> w <> ''))"
 
 
 def _cast(**fields: str) -> str:
@@ -49,7 +49,7 @@ def fold_sql(max_tokens: int, overlap_tokens: int) -> str:
     alone = _chunk(modality="e.modality", element_types="array(e.label)", text=f"if({joined} = '', concat('[', e.label, ']'), {joined})", page="e.page", confidence="e.confidence", section_path="s.path", is_atomic="true", latex="e.latex", html="e.html")
     atomic = _cast(path="s.path", pending="''", **empty, page="s.page", chunks=f"concat({out}, array({alone}))")
     full = f"(s.tokens + e.tokens > {max_tokens} and size(s.texts) > 0)"
-    tail = f"array_join(slice(filter(split(array_join(s.texts, ' '), '{WHITE}'), w -> w <> ''), -least({overlap_tokens}, greatest(1, {_tokens("array_join(s.texts, ' ')")})), {overlap_tokens}), ' ')"
+    tail = f"array_join(slice(filter(split(array_join(s.texts, ' '), r'{WHITE}'), w -> w <> ''), -least({overlap_tokens}, greatest(1, {_tokens("array_join(s.texts, ' ')")})), {overlap_tokens}), ' ')"
     carried = f"if({full}, {f'array({tail})' if overlap_tokens else none}, s.texts)"
     first = f"(s.pending <> '' and size({carried}) = 0)"
     text = _cast(
