@@ -144,44 +144,45 @@ def choose(rows: DataFrame, features: int = FEATURES) -> np.ndarray:
     return np.sort(np.array([r.feature for r in best.orderBy(F.desc("lead"), "feature").limit(features).collect()], np.int64).view(np.uint64))
 
 
-def design(rows: DataFrame, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sample as a matrix with a column for each feature and tier, and its two marks."""
+def design(rows: DataFrame, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sample as a sparse 0-1 matrix (row and column of each one), and its two marks."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             o, f, n = found_in(batch["text"], words)
-            column = np.concatenate([f[n >= t] * len(TIERS) + k for k, t in enumerate(TIERS)] or [f])
-            owner = np.concatenate([o[n >= t] for t in TIERS] or [o])
+            column = np.concatenate([f[n >= t] * len(TIERS) + k for k, t in enumerate(TIERS)])
+            owner = np.concatenate([o[n >= t] for t in TIERS])
             order = np.lexsort((column, owner))
             first = np.searchsorted(owner[order], np.arange(batch.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(column[order], pa.int32()))
             yield pa.RecordBatch.from_arrays([batch["positive"], batch["unlabelled"], lists], ["p", "u", "columns"])
 
     # At most sum(SAMPLE) rows with a few numbers each.
-    got = rows.mapInArrow(task, "p int, u int, columns array<int>").toArrow().combine_chunks()
-    x = np.zeros((got.num_rows, len(words) * len(TIERS)), np.float32)
-    for i, columns in enumerate(got["columns"].to_pylist()):
-        x[i, columns] = 1
-    return x, np.asarray(got["p"]).astype(bool), np.asarray(got["u"]).astype(bool)
+    got = rows.mapInArrow(task, "p int, u int, columns array<int>").toArrow()
+    lists = got["columns"].combine_chunks()
+    owner = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+    return owner, np.asarray(lists.flatten()), np.asarray(got["p"]).astype(bool), np.asarray(got["u"]).astype(bool)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float, epochs: int = 600, rate: float = 0.05, decay: float = 3e-5) -> tuple[np.ndarray, float]:
+def fit(owner: np.ndarray, column: np.ndarray, p: np.ndarray, u: np.ndarray, size: int, prior: float, epochs: int = 600, rate: float = 0.05, decay: float = 3e-5) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with l(z) = log(1 + exp(-z)); by Adam."""
-    xp, xu = x[p], x[u]
-    w, b = np.zeros(x.shape[1]), -1.0
-    moment, square = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    w, b = np.zeros(size), -1.0
+    moment, square = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, epochs + 1):
-        fp, fu = (np.clip(_sigmoid(m @ w + b), 1e-7, 1 - 1e-7) for m in (xp, xu))
-        if np.log1p(-fu).mean() <= prior * np.log1p(-fp).mean():
-            on_p, on_u = (-prior * (1 - fp) - prior * fp) / len(fp), fu / len(fu)
+        f = np.clip(_sigmoid(np.bincount(owner, w[column], minlength=len(p)) + b), 1e-7, 1 - 1e-7)
+        on = np.zeros(len(p))
+        if np.log1p(-f[u]).mean() <= prior * np.log1p(-f[p]).mean():
+            on[u] += f[u] / u.sum()
+            on[p] -= prior / p.sum()
         else:
             # The part on the negatives is below zero: it alone is driven back up.
-            on_p, on_u = prior * fp / len(fp), -fu / len(fu)
-        slope = np.append(xp.T @ on_p + xu.T @ on_u + decay * w, on_p.sum() + on_u.sum())
+            on[u] -= f[u] / u.sum()
+            on[p] += prior * f[p] / p.sum()
+        slope = np.append(np.bincount(column, on[owner], minlength=size) + decay * w, on.sum())
         moment, square = 0.9 * moment + 0.1 * slope, 0.999 * square + 0.001 * slope**2
         move = rate * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -214,7 +215,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
     if not len(words) or not 0 < prior < 1:
         prior = min(max(prior, 1e-6), 1 - 1e-6)
         return Model(words[:0], np.zeros(0), float(np.log(prior / (1 - prior))))
-    return Model(words, *fit(*design(rows, words), prior))
+    return Model(words, *fit(*design(rows, words), len(words) * len(TIERS), prior))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
