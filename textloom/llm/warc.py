@@ -132,11 +132,17 @@ def open_archive(spark: SparkSession, path: str) -> Archive:
 
 def _records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of every record of a file of gzip members."""
-    at = 0
+    at, view = 0, memoryview(raw)
     while at < len(raw):
-        inflate = zlib.decompressobj(31)
-        member = inflate.decompress(memoryview(raw)[at:])
-        at = len(raw) - len(inflate.unused_data)
+        # Fed in pieces: what is not used of the last one is copied, and no more.
+        inflate, parts = zlib.decompressobj(31), []
+        while not inflate.eof:
+            if at >= len(raw):
+                raise ValueError("a file ends within a record")
+            parts.append(inflate.decompress(view[at : at + (1 << 13)]))
+            at += 1 << 13
+        at = min(at, len(raw)) - len(inflate.unused_data)
+        member = b"".join(parts)
         head, _, rest = member.partition(b"\r\n\r\n")
         lines = io.StringIO(head.decode(), newline="\r\n")
         next(lines)
