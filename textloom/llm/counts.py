@@ -91,7 +91,7 @@ def token_counts(found: DataFrame) -> DataFrame:
         "shard",
         "found",
         F.coalesce(F.sum(F.size("found")).over(before), F.lit(0)).alias("earlier"),
-        F.coalesce(F.max(F.expr("found[size(found) - 1]")).over(before), F.lit(-1)).alias("last"),
+        F.coalesce(F.max(F.try_element_at("found", F.lit(-1))).over(before), F.lit(-1)).alias("last"),
     )
     each = stitched.select("shard", "earlier", "last", "found", F.posexplode("found").alias("at", "stop"))
     start = F.when(F.col("at") == 0, F.col("last")).otherwise(F.expr("found[at - 1]")) + 1
