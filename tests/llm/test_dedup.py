@@ -149,7 +149,10 @@ def test_edit_distance_equals_dynamic_programming(spark, threshold):
     assert [(r.a, r.b, r.n) for r in rows.collect()] == [(a, b, min(brute.edits(a, b), threshold + 1)) for a, b in pairs]
 
 
-def test_line_links_equal_brute_force(spark):
+@pytest.mark.parametrize(("hot", "block"), [(1000, 256), (1, 2)])
+def test_line_links_equal_brute_force(spark, monkeypatch, hot, block):
+    monkeypatch.setattr(lines, "HOT_LINES", hot)
+    monkeypatch.setattr(lines, "BLOCK_LINES", block)
     r = random.Random(9)
     made = []
     for _ in range(80):

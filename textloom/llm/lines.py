@@ -6,7 +6,7 @@ distinct line puts its segments into an index under (length, segment number,
 segment), and probes the index with the substrings of itself that could be a
 segment of a line that is as long or up to ``threshold`` characters shorter; the
 admissible places follow from how many edits can lie left and right of the segment
-(Li et al., PASS-JOIN). Pairs that meet are verified with a banded bit-parallel edit
+(Li et al., PASS-JOIN). Keys that many lines share are compared in blocks. Pairs that meet are verified with a banded bit-parallel edit
 distance: a band of 2 * threshold + 1 diagonals in one integer that slides along the
 lines (Hyyro, 2003). Only built-in expressions are used.
 
@@ -32,6 +32,10 @@ from textloom.storage import maybe_broadcast, materialize, read_table
 
 THRESHOLD, MIN_CHARS = 2, 20
 BROADCAST_ROWS = 200_000
+#: A key of the index with more lines than this is hot; lines of a block that such keys are cut into.
+HOT_LINES, BLOCK_LINES = 32, 256
+#: Letters whose counts make the signature of a line.
+SIGNED = "etaoinsrhldcumfpgb"
 _LAST = (1 << 63) - 1
 
 
@@ -67,13 +71,46 @@ def probe_keys(threshold: int, min_chars: int) -> Column:
     return F.expr(f"array_distinct(array_compact(array({', '.join(keys)})))")
 
 
+def signature(line: Column) -> Column:
+    """Counts of some letters; an edit changes them by two at most, all together."""
+    return F.array(*[(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).alias(c) for c in SIGNED])
+
+
 def candidates(lines: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """a, b: hashes of lines that meet in the index; ``lines`` has the distinct lines."""
+    """a, b: hashes of lines that meet in the index; ``lines`` has the distinct lines.
+
+    A key with over HOT_LINES lines in the index makes no rows of pairs. Its lines are
+    dealt into blocks, and pairs of blocks are compared by signature within a row.
+    """
     sized = lines.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("h")).where(F.col("n") >= min_chars)
-    index = sized.select(F.col("h").alias("s"), F.explode(index_keys(threshold)).alias("key"))
-    probes = sized.select(F.col("h").alias("r"), F.explode(probe_keys(threshold, min_chars)).alias("key"))
-    met = probes.join(index.hint("shuffle_hash"), "key").where("r <> s")
-    return met.selectExpr("least(r, s) a", "greatest(r, s) b").distinct()
+    index = sized.select(F.col("h").alias("s"), F.explode(index_keys(threshold)).alias("key")).repartition("key")
+    probes = sized.select(F.col("h").alias("r"), F.explode(probe_keys(threshold, min_chars)).alias("key")).repartition("key")
+    # Counting and both joins use the partitioning by key.
+    hot = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_LINES).select("key")
+    cold = probes.join(index.join(hot.hint("shuffle_hash"), "key", "left_anti").hint("shuffle_hash"), "key").where("r <> s")
+    none = F.lit(None).cast("long")
+    found = cold.select(none.alias("key"), F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b"))
+    in_hot = [side.join(hot.hint("shuffle_hash"), "key", "left_semi") for side in (probes, index)]
+    found = found.unionByName(in_hot[0].select("key", F.col("r").alias("a"), none.alias("b"))).unionByName(in_hot[1].select("key", none.alias("a"), F.col("s").alias("b")))
+    found = materialize(found, "line-keys")
+    pairs = found.where("key is null").select("a", "b")
+    return pairs.unionByName(_hot_pairs(found.where("key is not null"), lines, threshold)).distinct()
+
+
+def _hot_pairs(rows: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
+    """a, b: lines of the same hot key whose signatures allow for the threshold."""
+    wanted = materialize(rows.select(F.coalesce("a", "b").alias("h")).distinct(), "hot-line-ids")
+    signed = lines.select("line", F.xxhash64("line").alias("h")).join(maybe_broadcast(wanted, BROADCAST_ROWS), "h").select("h", F.length("line").alias("n"), signature(F.col("line")).alias("signed"))
+    signed = materialize(signed.distinct(), "signatures")
+    known = materialize(rows.select("key", F.coalesce("a", "b").alias("h"), F.col("a").isNotNull().alias("probe")).join(signed, "h"), "hot-lines")
+    blocks = known.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_LINES).alias("blocks"))
+    dealt = known.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")))
+    sides = [dealt.where(f"probe = {probe}").groupBy("key", "block").agg(F.collect_list(F.struct("h", "n", "signed")).alias(name)) for probe, name in (("true", "x"), ("false", "y"))]
+    met = sides[0].join(sides[1].withColumnRenamed("block", "other"), "key")
+    change = "aggregate(zip_with(p.signed, q.signed, (u, v) -> abs(u - v)), 0, (t, e) -> t + e)"
+    close = f"filter(y, q -> p.h <> q.h and p.n - q.n between 0 and {threshold} and {change} <= {2 * threshold})"
+    pairs = met.select(F.explode(F.expr(f"flatten(transform(x, p -> transform({close}, q -> struct(least(p.h, q.h) as a, greatest(p.h, q.h) as b))))")).alias("pair"))
+    return pairs.select("pair.a", "pair.b")
 
 
 def edit_distance(a: str, b: str, threshold: int) -> str:
