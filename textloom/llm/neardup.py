@@ -7,15 +7,17 @@ A document's set holds its distinct shingles of ``shingle`` words (A-Z as a-z).
    hashes h, so the registers of a union are the maxima. Equal sets become one
    node; only nodes go on, with the smallest doc_id and the size of their set.
 2. Registers are cut into bands; nodes that agree on a whole band share a bucket.
-   A bucket links each node to its few hubs, never all pairs.
+   A bucket links each node to its few hubs, never all pairs. Hubs are the nodes in
+   the largest buckets, so the original of many copies is the hub of all of them.
 3. For a candidate pair the joint likelihood of the register comparison and the
    two set sizes gives a Jaccard estimate; pairs that fall below the wanted
    similarity by many standard errors are dropped.
 4. What is left is verified on the full sets. Verified links make components.
-5. A bucket whose nodes are all in one component is done. In the others, pairs of
-   different components are candidates too; as long as those pairs outnumber the
-   entries by far, further hubs are tried first. So no link between different
-   sets is lost to the hubs, and pairs inside a component are never made.
+5. A bucket whose nodes are all in one component is done. Components that meet in
+   the other buckets make clusters. A cluster's nodes are dealt into blocks of
+   bounded size, each pair of blocks goes to a task with every set once, and the
+   task compares nodes of different components as in 3 and 4. So no link between
+   different sets is lost to the hubs, and pairs are never rows.
 
 Components come from large-star/small-star rounds on tables in the shared folder.
 
@@ -41,13 +43,13 @@ from textloom.storage import maybe_broadcast, materialize, read_table
 #: Bands, registers of a band; base and largest value of the registers.
 BANDS, ROWS = 32, 4
 BASE, LIMIT = 1.001, 65_534
-HUBS = 4
+HUBS = 2
 #: Candidates whose estimate is lower by so many standard errors are dropped.
 DOUBT = 6.0
 #: Node ids known to be at most so many are broadcast.
 BROADCAST_ROWS = 500_000
-#: Pairs across components for each bucket entry, above which more hubs are tried first; rounds of that.
-CROSS_PAIRS, HUB_ROUNDS = 4, 6
+#: Nodes of a block, by size of their sets: at most so many shingles together on average.
+BLOCK_NODES = 512
 
 _RNG = np.random.default_rng(77)
 _FACTORS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -153,10 +155,8 @@ def promising(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return likely.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(task, "a long, b long")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose full sets are similar enough: 100 * intersection >= percent * union."""
-    percent = round(similarity * 100)
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node"), "neardup-wanted")
+def members(wanted: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """node, members: the sets of the wanted nodes (node, doc_id), made anew from their documents."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,26 +167,80 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(maybe_broadcast(wanted, BROADCAST_ROWS), "doc_id")
     # A doc_id may be on several rows with different texts: the node's own text counts.
-    members = materialize(texts.select("text", "node").mapInArrow(collect, "found long, node long, members binary").where("found = node").select("node", "members"), "neardup-sets")
+    made = texts.select("text", "node").mapInArrow(collect, "found long, node long, members binary").where("found = node")
+    return materialize(made.select("node", "members").dropDuplicates(["node"]), "neardup-sets")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, for sorted arrays of distinct values."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    percent = round(similarity * 100)
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node"), "neardup-wanted")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch["set_a"], batch["set_b"], strict=True)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    sides = [members.dropDuplicates(["node"]).select(F.col("node").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab"]
+            keep = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch["set_a"], batch["set_b"], strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    found = members(wanted, docs, shingle)
+    sides = [found.select(F.col("node").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab"]
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
-def _hub_pairs(entries: DataFrame, order: list) -> DataFrame:
-    """Pairs of each entry with its bucket's first nodes in an order."""
-    first = entries.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("_r") <= HUBS)
+def across(opened: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """a, b: links between nodes of different components that meet in a bucket.
+
+    ``opened`` has key, node, root for the buckets with several components.
+    """
+    percent = round(similarity * 100)
+    floor = similarity - DOUBT * np.sqrt(similarity * (1 - similarity) / (BANDS * ROWS))
+    meet = opened.groupBy("key").agg(F.min("root").alias("a")).join(opened.select("key", F.col("root").alias("b")), "key").select("a", "b").distinct()
+    cluster = components(meet).select(F.col("node").alias("root"), F.col("root").alias("cluster"))
+    placed = opened.select("node", "root").distinct().join(cluster, "root")
+    blocks = placed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).alias("blocks"))
+    placed = placed.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    placed = materialize(placed.join(nodes.select("node", "doc_id", "sketch"), "node"), "open-nodes")
+    whole = placed.join(members(placed.select("node", "doc_id"), docs, shingle), "node")
+    # A node goes to the pairs of its block with every block of the cluster.
+    dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("node", "root", "block", "sketch", "members", "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, roots, block = (np.asarray(group[c]) for c in ("node", "root", "block"))
+        low, high = group["low"][0].as_py(), group["high"][0].as_py()
+        made = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(len(ids), -1)
+        found = [np.frombuffer(x.as_py(), np.uint64) for x in group["members"]]
+        sizes = np.array([len(x) for x in found])
+        links = []
+        for i in np.flatnonzero(block == low):
+            # Within one block each pair comes up once.
+            mine = (roots != roots[i]) & (block == high) & ((ids > ids[i]) if low == high else True)
+            mine &= 100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])
+            at = np.flatnonzero(mine)
+            at = at[(made[at] == made[i]).mean(axis=1) >= floor - 0.1]
+            if len(at):
+                at = at[estimate(np.broadcast_to(made[i], (len(at), made.shape[1])), made[at], np.full(len(at), sizes[i]), sizes[at]) >= floor]
+            for j in at:
+                # Roots that have met are one; what they share needs no more links.
+                if roots[i] != roots[j] and similar(found[i], found[j], percent):
+                    links.append((ids[i], ids[j]))
+                    roots = np.where(roots == roots[j], roots[i], roots)
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long")
+
+
+def _hub_pairs(entries: DataFrame) -> DataFrame:
+    """Pairs of each entry (key, node, weight) with its bucket's weightiest nodes."""
+    first = entries.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "node"))).where(F.col("_r") <= HUBS)
     hubs = first.select("key", F.col("node").alias("hub"))
     return entries.join(hubs, "key").where("node <> hub").selectExpr("least(node, hub) a", "greatest(node, hub) b").distinct()
 
@@ -197,35 +251,18 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFr
     nodes = rows.where("sketch is not null and doc_id is not null").groupBy(F.col("fp1").alias("node"), F.col("fp2").alias("node2")).agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes, "nodes")
     entries = buckets(nodes)
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     entries = materialize(entries.join(shared, "key"), "buckets")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        likely = materialize(promising(pairs, nodes, similarity), "candidates")
-        return materialize(verified(likely, nodes, docs, shingle, similarity), "verified")
-
-    links = linked(_hub_pairs(entries, ["node"]))
-    for attempt in range(HUB_ROUNDS + 1):
-        roots = materialize(components(links), "components")
-        labelled = entries.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        # A bucket is open while it holds nodes of several components.
-        by_root = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-        cross = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares")).where("roots > 1")
-        opened = materialize(labelled.join(cross.select("key", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs")), "key"), "open-buckets")
-        size, pairs = opened.agg(F.count(F.lit(1)), F.sum("pairs")).first()
-        if not size:
-            break
-        per_entry = opened.groupBy("key").agg(F.first("pairs").alias("pairs")).agg(F.sum("pairs")).first()[0] / size
-        if attempt < HUB_ROUNDS and per_entry > CROSS_PAIRS:
-            # Hubs from the components' other nodes, in another order each time.
-            found = linked(_hub_pairs(opened, [F.xxhash64(F.lit(attempt), "node"), "node"]))
-            links = materialize(links.unionByName(found).distinct(), "links-so-far")
-            continue
-        left, right = opened.select("key", F.col("node").alias("p"), F.col("root").alias("rp")), opened.select("key", F.col("node").alias("q"), F.col("root").alias("rq"))
-        across = left.join(right, "key").where("rp < rq").selectExpr("least(p, q) a", "greatest(p, q) b").distinct()
-        found = linked(across)
+    weights = entries.groupBy("node").agg(F.sum("n").alias("weight"))
+    likely = materialize(promising(_hub_pairs(entries.join(weights, "node")), nodes, similarity), "candidates")
+    links = materialize(verified(likely, nodes, docs, shingle, similarity), "verified")
+    roots = materialize(components(links), "components")
+    labelled = entries.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    opened = materialize(labelled.join(mixed, "key"), "open-buckets")
+    if not opened.isEmpty():
+        found = materialize(across(opened, nodes, docs, shingle, similarity), "links-across")
         roots = materialize(components(links.unionByName(found)), "components")
-        break
     rooted = nodes.join(roots, "node", "left").select("node", "node2", "doc_id", F.coalesce("root", "node").alias("root"))
     label = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     copies = rows.groupBy(F.col("fp1").alias("node"), F.col("fp2").alias("node2")).agg(F.count(F.lit(1)).alias("copies"))
