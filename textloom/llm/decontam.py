@@ -81,7 +81,10 @@ def diagonals(index: DataFrame, anchors: DataFrame) -> DataFrame:
     met = index.join(maybe_broadcast(_places(anchors), BROADCAST_ROWS), "word").select("d", "k", "i", (F.col("pos") - F.col("at")).alias("diagonal"), "at")
     # A group has at most the item's places.
     lists = met.groupBy("d", "k", "i", "diagonal").agg(F.collect_set("at").alias("at"))
-    return lists.join(maybe_broadcast(materialize(anchors.select("i", "rare"), "rare"), BROADCAST_ROWS), "i").where("exists(rare, r -> size(array_except(r, at)) = 0)").select("d", "k", "i", "diagonal")
+    rare = anchors.select("i", "rare", F.expr("array_min(transform(rare, r -> size(r)))").alias("least"))
+    # Most diagonals have one anchor, too few for any window of most items.
+    met_by = lists.join(maybe_broadcast(materialize(rare, "rare"), BROADCAST_ROWS), "i").where("size(at) >= least")
+    return met_by.where("exists(rare, r -> size(array_except(r, at)) = 0)").select("d", "k", "i", "diagonal")
 
 
 def exact_hits(docs: DataFrame, found: DataFrame, tests: DataFrame, window: int = WINDOW) -> DataFrame:
