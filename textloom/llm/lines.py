@@ -42,7 +42,11 @@ _LAST = (1 << 63) - 1
 def occurrences(docs: DataFrame) -> DataFrame:
     """doc (the id, or the largest long for none), k (text hash), at (line number), line."""
     split = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("k"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "raw"))
-    tidy = F.trim(F.regexp_replace("raw", r"[\x20\x09-\x0D]+", " "))
+    # Few lines have other white space than single spaces; looking is much cheaper than replacing.
+    odd = F.lit(False)
+    for mark in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd = odd | F.contains("raw", F.lit(mark))
+    tidy = F.trim(F.when(odd, F.regexp_replace("raw", r"[\x20\x09-\x0D]+", " ")).otherwise(F.col("raw")))
     return split.select("doc", "k", "at", tidy.alias("line")).where("line <> ''")
 
 
@@ -139,12 +143,14 @@ def verified(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     """The pairs within the threshold; only the lines of pairs are looked up."""
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-ids")
     texts = lines.select("line", F.xxhash64("line").alias("h")).join(maybe_broadcast(wanted, BROADCAST_ROWS), "h").distinct()
-    texts = materialize(texts, "line-texts").select("h", F.expr("transform(regexp_extract_all(line, '(?s).', 0), c -> ascii(c))").alias("points"))
-    sides = [texts.select(F.col("h").alias(c), F.col("points").alias(f"points_{c}")) for c in "ab"]
+    texts = materialize(texts, "line-texts").select("h", signature(F.col("line")).alias("signed"), F.expr("transform(regexp_extract_all(line, '(?s).', 0), c -> ascii(c))").alias("points"))
+    sides = [texts.select(F.col("h").alias(c), F.col("points").alias(f"points_{c}"), F.col("signed").alias(f"signed_{c}")) for c in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
+    # Most pairs differ by so many letters that nothing else needs to be compared.
+    change = "aggregate(zip_with(signed_a, signed_b, (u, v) -> abs(u - v)), 0, (t, e) -> t + e)"
+    both = both.where(f"abs(size(points_a) - size(points_b)) <= {threshold} and {change} <= {2 * threshold}")
     ordered = both.selectExpr("a", "b", "if(size(points_a) >= size(points_b), points_a, points_b) x", "if(size(points_a) >= size(points_b), points_b, points_a) y")
-    near = ordered.where(f"size(x) - size(y) <= {threshold}").withColumn("distance", F.expr(edit_distance("x", "y", threshold)))
-    return near.where(f"distance <= {threshold}").select("a", "b", "distance")
+    return ordered.withColumn("distance", F.expr(edit_distance("x", "y", threshold))).where(f"distance <= {threshold}").select("a", "b", "distance")
 
 
 def links(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
