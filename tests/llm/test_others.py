@@ -183,6 +183,20 @@ def test_toxicity_on_held_out_rows(spark):
     assert sorted(map(tuple, toxicity.verdicts(docs, labels).collect())) == sorted(map(tuple, found))
 
 
+def test_toxicity_features_come_from_all_training_rows(spark):
+    """A word that few sampled positives have is chosen all the same; copies of a text count once."""
+    docs = [(i, f"plain words {i}" + (f" bad{i % 60 // 3}" if i % 3 == 0 else "")) for i in range(3000)]
+    frame = spark.createDataFrame([*docs, *docs[:30], *((i + 3000, "copied nastyword") for i in range(90))], "doc_id long, text string")
+    labels = labels_for(spark, [(i, 1, int(i % 3 == 0 or i >= 3000)) for i in range(3090)])
+    rows, n = toxicity.training_texts(frame, labels)
+    learnt = {t for i, t in docs if zlib.crc32(str(i).encode()) % 3 != 1} | {"copied nastyword"}
+    assert sorted((r.text, r.positive) for r in rows.collect()) == sorted((t, int("bad" in t or "nasty" in t)) for t in learnt)
+    assert n == (sum("bad" in t or "nasty" in t for t in learnt), len(learnt))
+    want = toxicity.learn(frame, labels).words
+    assert len(want) >= 20
+    assert (toxicity.learn(frame, labels, sample=(30, 90)).words == want).all()
+
+
 def test_toxicity_without_anything_to_learn(spark):
     plain, clashing, empty = brute.frames(spark)
     for labels in (labels_for(spark, []), labels_for(spark, [(1, 1, 0), (None, 1, 1), (3, None, None)])):

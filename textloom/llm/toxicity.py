@@ -13,9 +13,10 @@ flexible scorer would otherwise fit to (Kiryo et al., 2017).
 A text's features are its words (letters and digits, A-Z as a-z) and their
 beginnings, each by how often it occurs (at least TIERS times). A feature enters
 the model when its share among the positives exceeds that among the unlabelled
-texts beyond doubt; Spark counts the shares. Copies of a text count once there.
-Training runs in numpy on a bounded sample of the labelled rows (SAMPLE);
-everything else covers all rows. Scoring is one pass without a shuffle; the model
+texts beyond doubt; Spark counts the shares over all training rows. Copies of a text
+count once there. Only the weights are fitted on a bounded sample of the labelled
+rows (SAMPLE), in numpy; a feature that no sampled text has keeps a weight of 0.
+Everything else covers all rows. Scoring is one pass without a shuffle; the model
 that it broadcasts has at most FEATURES words.
 
 Defined results: a null or empty text has no words and scores as the bias alone;
@@ -36,9 +37,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.wordhash import PUNCTUATION, blocks
-from textloom.storage import read_table
+from textloom.storage import materialize, maybe_broadcast, read_table
 
-#: At most so many positive and so many unlabelled rows are used for training.
+#: At most so many positive and so many unlabelled rows are used to fit the weights.
 SAMPLE = (5_000, 12_000)
 #: At most so many words and beginnings have weights.
 FEATURES = 512
@@ -48,6 +49,8 @@ TIERS = (1, 2, 4)
 THRESHOLD = 0.7
 #: A feature's lead in standard errors, and the positives that have it, at least.
 LEAD, SUPPORT = 5.0, 5
+#: Training texts counted to be at most so many are found by a broadcast.
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -101,13 +104,38 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def training_labels(labels: DataFrame) -> DataFrame:
+    """id, toxic of every document that is learnt from."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+
+
+def training_texts(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """text, positive, unlabelled of all training rows without copies, and the sums of both marks.
+
+    Ids and digests settle which row stands for a text; texts stay where they are
+    while those rows are few enough to broadcast, and move once otherwise. Rows that
+    repeat an id and its text are the only ones that are grouped with their text.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.unhex(F.md5("text")).alias("digest")).where("text is not null")
+    found = texts.drop("text").join(training_labels(labels), "id").groupBy("digest", "id").agg(F.max("toxic").alias("toxic"), F.count(F.lit(1)).alias("copies"))
+    first = found.groupBy("digest").agg(F.max("toxic").alias("positive"), F.min(F.struct("id", "copies")).alias("first"))
+    first = materialize(first.select("digest", "first.id", "first.copies", "positive"), "training-texts")
+    positive, unlabelled, most = first.agg(F.sum("positive"), F.count(F.lit(1)), F.max("copies")).first()
+    rows = texts.join(maybe_broadcast(first, BROADCAST_ROWS), ["id", "digest"])
+    if (most or 0) > 1:
+        again = rows.where("copies > 1").groupBy("digest").agg(F.first("text").alias("text"), F.max("positive").alias("positive"))
+        rows = rows.where("copies = 1").select("text", "positive").unionByName(again.select("text", "positive"))
+    return rows.select("text", "positive", F.lit(1).alias("unlabelled")), (positive or 0, unlabelled)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> tuple[DataFrame, float]:
     """text, positive, unlabelled of the sampled rows without copies, and the class prior.
 
     The sample is the rows with the smallest hashes of doc_id: the same at every run
     and independent of all else. The prior comes from all training labels.
     """
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = training_labels(labels)
     prior = known.agg(F.avg("toxic")).first()[0] or 0.0
     order = F.xxhash64("id")
     positive = known.where("toxic = 1").orderBy(order).limit(sample[0]).select("id", F.lit(1).alias("p"), F.lit(0).alias("u"))
@@ -118,8 +146,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] =
     return rows.groupBy("text").agg(F.max("positive").alias("positive"), F.max("unlabelled").alias("unlabelled")), float(prior)
 
 
-def choose(rows: DataFrame, features: int = FEATURES) -> np.ndarray:
-    """Hashes of the words and beginnings that lead among the positives, ascending."""
+def choose(rows: DataFrame, n: tuple[int, int], features: int = FEATURES) -> np.ndarray:
+    """Hashes of the words and beginnings that lead among the positives, ascending.
+
+    ``n`` is the number of positive and of unlabelled rows.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +160,6 @@ def choose(rows: DataFrame, features: int = FEATURES) -> np.ndarray:
                 tier = np.searchsorted(TIERS, n, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(tier), *(pa.array(m[o + i]) for m in marks)], ["feature", "tier", "p", "u"])
 
-    n = rows.agg(F.sum("positive"), F.sum("unlabelled")).first()
     if not n[0] or not n[1]:
         return np.zeros(0, np.uint64)
     each = rows.mapInArrow(task, "feature long, tier long, p int, u int").groupBy("feature").agg(*(F.sum(F.when(F.col("tier") >= t, F.col(c))).alias(f"{c}{t}") for t in range(len(TIERS)) for c in "pu"))
@@ -210,8 +240,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, features: int = FEATURES) -> Model:
+    words = choose(*training_texts(docs, labels), features)
     rows, prior = training_rows(docs, labels, sample)
-    words = choose(rows, features)
     if not len(words) or not 0 < prior < 1:
         prior = min(max(prior, 1e-6), 1 - 1e-6)
         return Model(words[:0], np.zeros(0), float(np.log(prior / (1 - prior))))
