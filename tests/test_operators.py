@@ -102,6 +102,17 @@ def test_captions_and_formulas(spark):
     assert [r[0] for r in faults] == [None, "unclosed left", "unmatched }", None]
 
 
+def test_whole_texts_are_read(spark):
+    long = "filler " * 1000
+    assert one(spark, retrieval.intent(F.lit(long + "draw a chart"))) == "visual"
+    assert one(spark, retrieval.intent(F.lit(long + "draw a chart"), 500)) == "general"
+    assert one(spark, enrich.concept_tags(F.lit(long + "Zanzibar"))) == ["Zanzibar"]
+    assert one(spark, enrich.concept_tags(F.lit(long + "Zanzibar"), read=5000)) == []
+    hits = spark.createDataFrame([(1, "rare words", 1, long + "rare words", 0.1, 2), (1, "rare words", 2, "rare", 0.9, 1)], "query_id long, query string, chunk_id long, text string, score double, rank int")
+    assert [(r.chunk_id, r.score) for r in retrieval.rerank(hits, 5).orderBy("rank").collect()] == [(1, 1.0), (2, 0.5)]
+    assert [(r.chunk_id, r.score) for r in retrieval.rerank(hits, 5, 2000).orderBy("rank").collect()] == [(2, 0.5), (1, 0.0)]
+
+
 def test_cache(spark):
     now = F.lit(datetime.datetime(2024, 1, 1))
     cached = spark.createDataFrame([("a", 1.0, datetime.datetime(2025, 1, 1)), ("b", 2.0, datetime.datetime(2023, 1, 1))], "key string, value double, expires_at timestamp")

@@ -20,6 +20,11 @@ def lower_ascii(text: Column) -> Column:
     return F.when(text.rlike(_OTHER_CAPITALS), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
 
 
+def head(text: Column, limit: int | None) -> Column:
+    """The first ``limit`` characters, or the whole text."""
+    return text if limit is None else F.substring(text, 1, limit)
+
+
 def words(text: Column, between: str = WHITE) -> Column:
     """The non-empty pieces between matches of a regular expression; none for a null text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), between), lambda w: w != "")

@@ -163,7 +163,7 @@ def fallback_gate(spark, d):
   WHEN regexp_matches(q, '\b(why|compare|analyse|analyze|explain|trend|impact)\b') THEN 'analytical' WHEN regexp_matches(q, '\b(what|who|when|where|which|how many|how much)\b') THEN 'factual' ELSE 'general' END AS intent
 FROM (SELECT conv_id, turn, lower(substr(text, 1, 500)) AS q FROM conversations)""")
 def query_intents(spark, d):
-    return read_table(spark, d, "conversations").select("conv_id", "turn", retrieval.intent(F.col("text")).alias("intent"))
+    return read_table(spark, d, "conversations").select("conv_id", "turn", retrieval.intent(F.col("text"), 500).alias("intent"))
 
 
 def _answers(spark, d):
@@ -173,7 +173,7 @@ def _answers(spark, d):
     hits = _hybrid(spark, d).join(docs, "chunk_id").join(asked, "query_id")
     none = F.lit(None).cast("string")
     hits = hits.withColumns({"enriched_text": none, "page": F.lit(1), "modality": F.lit("text"), "concept_tags": F.lit(None).cast("array<string>"), "retrieval_source": F.lit("vector")})
-    return retrieval.rerank(hits, 5)
+    return retrieval.rerank(hits, 5, 2000)
 
 
 _ANSWERS = f"""{_FUSED}, k AS (SELECT h.query_id, h.chunk_id, h.score AS first_score, t.text, t.source, t.lang, b.text AS query FROM h JOIN documents t ON t.doc_id = h.chunk_id JOIN benchmark b ON b.item_id = h.query_id WHERE rank <= 10),
@@ -409,7 +409,7 @@ def semantic_merge(spark, d):
 u AS (SELECT DISTINCT doc_id, unnest(c) AS w FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(w) DESC, w) AS n FROM u)
 SELECT t.doc_id, coalesce(string_agg(w, '|' ORDER BY n) FILTER (n <= 10), '') AS tags FROM t LEFT JOIN r USING (doc_id) GROUP BY t.doc_id""")
 def concept_tags(spark, d):
-    return read_table(spark, d, "documents").select("doc_id", F.array_join(enrich.concept_tags(F.col("text")), "|").alias("tags"))
+    return read_table(spark, d, "documents").select("doc_id", F.array_join(enrich.concept_tags(F.col("text"), read=5000), "|").alias("tags"))
 
 
 @query("caption_text", "SELECT event_id, coalesce(json_extract_string(props, '$.k'), props) AS said FROM events")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.functions.text import words
+from textloom.functions.text import head, words
 
 Plugin = Callable[[DataFrame], DataFrame]
 
@@ -53,16 +53,16 @@ def enrich(chunks: DataFrame, captioner: Plugin | None = None) -> DataFrame:
     return rows.withColumn("enriched_text", F.when(F.col("caption").isNotNull(), F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n[Enrichment]\n"), said)).otherwise(F.col("text")))
 
 
-def capitalised(text: Column) -> Column:
-    """The default tagger: words that begin with A-Z, of the first 5,000 characters, without the marks around them."""
-    bare = F.transform(words(F.substring(text, 1, 5000)), lambda w: F.regexp_replace(w, r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""))
+def capitalised(text: Column, read: int | None = None) -> Column:
+    """The default tagger: words that begin with A-Z, of the text or its first ``read`` characters, without the marks around them."""
+    bare = F.transform(words(head(text, read)), lambda w: F.regexp_replace(w, r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""))
     return F.filter(bare, lambda w: w.rlike("^[A-Z][a-z]"))
 
 
-def concept_tags(text: Column, tagged: Column | None = None, limit: int = 10) -> Column:
+def concept_tags(text: Column, tagged: Column | None = None, limit: int = 10, read: int | None = None) -> Column:
     """``name:LABEL`` of tagged entities, then the longest candidates of more than three characters; ties by name."""
     entities = F.array_distinct(tagged) if tagged is not None else F.expr("cast(array() as array<string>)")
-    phrases = F.filter(F.array_distinct(capitalised(text)), lambda w: F.length(w) > 3)
+    phrases = F.filter(F.array_distinct(capitalised(text, read)), lambda w: F.length(w) > 3)
     longest = F.slice(F.array_sort(F.transform(phrases, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, limit)
     return F.array_union(entities, F.transform(longest, lambda x: x["w"]))
 

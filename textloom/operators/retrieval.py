@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.hashing import md5_bucket
-from textloom.functions.text import words
+from textloom.functions.text import head, words
 from textloom.functions.vectors import dot
 from textloom.storage import maybe_broadcast
 
@@ -32,9 +32,9 @@ INTENT_WORDS = (
 )
 
 
-def intent(text: Column) -> Column:
-    """The default router: one of seven classes by key words of the first 500 characters."""
-    lowered = F.lower(F.substring(text, 1, 500))
+def intent(text: Column, limit: int | None = None) -> Column:
+    """The default router: one of seven classes by key words of the text, or of its first ``limit`` characters."""
+    lowered = F.lower(head(text, limit))
     found = F
     for name, pattern in INTENT_WORDS:
         found = found.when(lowered.rlike(pattern), name)
@@ -107,13 +107,13 @@ def postfilter(hits: DataFrame, wanted: Column) -> DataFrame:
     return marked.where("_match or not _any").drop("_match", "_any")
 
 
-def rerank(hits: DataFrame, top_n: int) -> DataFrame:
-    """The default reranker: share of a query's distinct words that the text holds (first 2,000 characters).
+def rerank(hits: DataFrame, top_n: int, limit: int | None = None) -> DataFrame:
+    """The default reranker: share of a query's distinct words that the text, or its first ``limit`` characters, holds.
 
     ``hits`` has query_id, query, chunk_id, text, score; the new score replaces the old.
     """
     asked = F.array_distinct(words(F.lower("query")))
-    held = F.array_distinct(words(F.lower(F.substring("text", 1, 2000))))
+    held = F.array_distinct(words(F.lower(head(F.col("text"), limit))))
     cover = F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, held)) / F.size(asked)).otherwise(0.0)
     scored = hits.withColumnRenamed("score", "first_score").withColumn("score", F.round(cover, 9))
     return ranked(scored.drop("rank"), top_n, [F.desc("score"), F.desc("first_score"), F.col("chunk_id")])
