@@ -5,6 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tests.harness import SF
 from textloom.functions.hashing import md5_bucket, murmur3, murmur3_bucket
 from textloom.functions.text import entity_id, lower_ascii, relation_name, strip, token_count, truncate_tokens
 from textloom.operators import enrich, graphs, render, retrieval, safety, store
@@ -55,6 +56,24 @@ def test_graph_from_json(spark):
     assert sorted((r.doc_id, r.relation) for r in edges.collect()) == [(1, "connects-to"), (4, "related-to")]
 
 
+def test_walk_embeddings_do_the_references_job_in_parallel(spark, monkeypatch):
+    """The registered query has 128 dimensions and 20 walks of 10 steps, and training has several tasks."""
+    from pyspark.ml import feature
+
+    from textloom.jobs import fixtures
+    from textloom.jobs.queries import QUERIES
+
+    fitted, fit = [], feature.Word2Vec.fit
+    monkeypatch.setattr(graphs, "WALKS_PER_TASK", 1000)
+    monkeypatch.setattr(feature.Word2Vec, "fit", lambda self, paths: fitted.append((self.getNumPartitions(), paths)) or fit(self, paths))
+    found = QUERIES["graph_walk_embed"](spark, SF).select("id", F.size("vector").alias("n")).collect()
+    nodes = fixtures.nodes_of(fixtures.trade_edges(spark, SF)).count()
+    assert len({r.id for r in found}) == len(found) == nodes and {r.n for r in found} == {128}
+    (tasks, paths), = fitted
+    assert tasks == -(-nodes * 20 // 1000) > 1
+    assert paths.count() == nodes * 20 and {r.n for r in paths.select(F.size("path").alias("n")).collect()} == {10}
+
+
 def test_components_of_a_long_chain_and_none(spark):
     chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.root for r in components(chain).collect()} == {0}

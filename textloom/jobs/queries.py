@@ -539,7 +539,7 @@ def mean_pool(spark, d):
 
 @query("graph_walk_embed")
 def graph_walk_embed(spark, d):
-    return graphs.walk_embeddings(fixtures.trade_edges(spark, d), size=16, walks=4, length=10)
+    return graphs.walk_embeddings(fixtures.trade_edges(spark, d), size=128, walks=20, length=10)
 
 
 @query("pca2")
