@@ -106,6 +106,20 @@ def test_one_of_each_near_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute.near_components(docs, 5).values()))
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_exact_drop_keeps_one_of_rows_that_share_an_id(spark, doc_id):
+    """The row that stays is not taken for the copy with less white space."""
+    rows = spark.createDataFrame([(doc_id, "a b"), (doc_id, "ab"), (8, "c"), (None, "d")], "doc_id long, text string")
+    assert sorted(r.text for r in exact.drop_copies(rows).collect()) == ["a b", "c", "d"]
+
+
+def test_near_copy_does_not_take_other_texts_of_its_id_along(spark):
+    base, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    docs = [(3, base), (5, base + " end"), (5, other), (None, base)]
+    kept = neardup.keep_one(spark.createDataFrame(docs, "doc_id long, text string"), shingle=5)
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, spark.createDataFrame([(3, base), (5, other), (None, base)], "doc_id long, text string").collect()))
+
+
 def test_substrings_equal_brute_force(spark):
     r = random.Random(11)
     passages = [[f"p{i}_{j}" for j in range(r.randrange(8, 30))] for i in range(12)]

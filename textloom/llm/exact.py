@@ -93,31 +93,33 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
-def exact_groups(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """Per row: doc_id, keep_id, group_size, kept, text_sha256."""
+def _decided(docs: DataFrame, index: DigestIndex | None) -> DataFrame:
+    """doc_id, digest, code_points, keep_id, copies, kept of every row."""
     spark = docs.sparkSession
     rows = materialize(digests(docs), "digests")
     found = (index or DigestIndex(spark)).append(rows)
     total = rows.count()
-    return join_counted(rows, found, "digest", "copies", total).select(
-        "doc_id",
-        "keep_id",
-        F.col("copies").alias("group_size"),
-        F.expr("doc_id <=> keep_id AND code_points = keep_code_points").alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    kept = F.expr("doc_id <=> keep_id AND code_points = keep_code_points").alias("kept")
+    return join_counted(rows, found, "digest", "copies", total).select("doc_id", "digest", "code_points", "keep_id", "copies", kept)
+
+
+def exact_groups(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """Per row: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _decided(docs, index).select("doc_id", "keep_id", F.col("copies").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
     The shuffle moves digests, never texts: a row is recognised by its doc_id, text
-    digest and code points, and the losers' ids are anti-joined.
+    digest and code points, which also settle whether it is kept, and the losers are
+    anti-joined by all three.
     """
-    losers = exact_groups(docs, index).where(~F.col("kept")).select(F.col("doc_id").alias("_tl_id"), F.unhex("text_sha256").alias("_tl_digest")).distinct()
+    losers = _decided(docs, index).where(~F.col("kept")).select(F.col("doc_id").alias("_tl_id"), F.col("digest").alias("_tl_digest"), F.col("code_points").alias("_tl_points")).distinct()
     losers = materialize(losers, "copies")
-    keyed = docs.withColumns({"_tl_digest": F.unhex(F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256)), "_tl_id": F.col("doc_id").cast("long")})
-    kept = keyed.join(losers, keyed["_tl_id"].eqNullSafe(losers["_tl_id"]) & (keyed["_tl_digest"] == losers["_tl_digest"]), "left_anti")
+    keyed = docs.withColumns({"_tl_digest": F.unhex(F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256)), "_tl_id": F.col("doc_id").cast("long"), "_tl_points": F.length(F.coalesce("text", F.lit(""))).cast("long")})
+    same = keyed["_tl_id"].eqNullSafe(losers["_tl_id"]) & (keyed["_tl_digest"] == losers["_tl_digest"]) & (keyed["_tl_points"] == losers["_tl_points"])
+    kept = keyed.join(losers, same, "left_anti")
     return kept.select(*docs.columns)
 
 

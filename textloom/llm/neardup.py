@@ -88,7 +88,7 @@ def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, fp1, fp2, sketch of every row."""
+    """doc_id, text_hash, n_shingles, fp1, fp2, sketch of every row."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,9 +99,9 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 one.append(a)
                 two.append(b)
                 made.append(registers(hashes).tobytes() if len(hashes) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "n_shingles", "fp1", "fp2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "text_hash", "n_shingles", "fp1", "fp2", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, n_shingles long, fp1 long, fp2 long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(task, "doc_id long, text_hash long, n_shingles long, fp1 long, fp2 long, sketch binary")
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
@@ -245,8 +245,8 @@ def _hub_pairs(entries: DataFrame) -> DataFrame:
     return entries.join(hubs, "key").where("node <> hub").selectExpr("least(node, hub) a", "greatest(node, hub) b").distinct()
 
 
-def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+def _decided(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept of every row."""
     rows = materialize(sketches(docs, shingle), "sketches")
     nodes = rows.where("sketch is not null and doc_id is not null").groupBy(F.col("fp1").alias("node"), F.col("fp2").alias("node2")).agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes, "nodes")
@@ -271,13 +271,23 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFr
     decided = join_counted(rows.drop("sketch"), labels, ["fp1", "fp2"], "copies", rows.count(), "left")
     alone = F.col("n_shingles") == 0
     component = F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
-    return decided.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return decided.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    return _decided(docs, shingle, similarity).drop("text_hash")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group, with all their columns."""
-    losers = materialize(groups(docs, shingle, similarity).where("not kept").select(F.col("doc_id").alias("_tl_id")).distinct(), "near-copies")
-    return docs.join(maybe_broadcast(losers, BROADCAST_ROWS), F.col("doc_id").cast("long") == F.col("_tl_id"), "left_anti")
+    """The rows of ``docs`` that stay: one document of each group, with all their columns.
+
+    A row is recognised by its doc_id and its text's hash, as a doc_id may be on
+    several rows with different texts.
+    """
+    losers = _decided(docs, shingle, similarity).where("not kept").select(F.col("doc_id").alias("_tl_id"), F.col("text_hash").alias("_tl_hash")).distinct()
+    losers = maybe_broadcast(materialize(losers, "near-copies"), BROADCAST_ROWS)
+    return docs.join(losers, (F.col("doc_id").cast("long") == F.col("_tl_id")) & (F.xxhash64("text") == F.col("_tl_hash")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
