@@ -1,11 +1,12 @@
-"""Removal of word sequences that occur more than once in a corpus: seed and extend.
+"""Removal of word sequences that occur more than once in a corpus: seeds, then window counts.
 
 Seeds: of the runs of ``seed`` words in each window of ``window`` words the one with
 the smallest hash is an anchor (winnowing). Two equal windows pick the same anchor,
 so every repeat of at least ``window`` words holds an anchor that repeats.
 
-Extension: an anchor that occurs again is extended both ways to the windows that
-chose it, and the windows themselves are compared. What is removed is the union of
+Windows: those that chose an anchor that occurs again are hashed whole and their hashes
+counted over the corpus. This stands for extending pairs of occurrences both ways,
+which would make a pair of every two copies in a large group. What is removed is the union of
 the windows that start at least twice, that is, every maximal repeat of at least
 ``window`` words, all its occurrences included.
 
