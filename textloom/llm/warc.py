@@ -1,9 +1,12 @@
-"""Deterministic sharded WARC archives.
+"""Sharded WARC archives with deterministic records.
 
 Records are range-sorted by (url, page_id, payload digest), so each task writes one
 run of the sort order. A task rolls to its next file when the compressed size
 reaches the limit. Headers are made anew: ids and digests come from the contents
-and the date is a parameter, so the same rows give the same bytes. Files are
+and the date is a parameter, so the same row gives the same bytes. Where files begin
+is not as certain: Spark takes the ranges' bounds from a sample and the number of
+tasks depends on the cluster, so on large inputs two runs may cut the same sequence
+of records into other files, with other names and another manifest. Files are
 written under temporary names and renamed when whole; the manifest, itself a
 table written at the end, lists the files that count with their sizes and
 SHA-256, and readers take no other file.
