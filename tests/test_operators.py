@@ -74,6 +74,14 @@ def test_walk_embeddings_do_the_references_job_in_parallel(spark, monkeypatch):
     assert paths.count() == nodes * 20 and {r.n for r in paths.select(F.size("path").alias("n")).collect()} == {10}
 
 
+def test_edge_text_shows_labels_and_takes_a_limit(spark):
+    edges = spark.createDataFrame([("d", f"c{i:03d}", "n1", "lives in") for i in range(60)], "doc_id string, source string, target string, relation string")
+    nodes = spark.createDataFrame([("d", "c000", "Ann"), ("d", "n1", "PERU"), ("e", "c001", "other")], "doc_id string, id string, label string")
+    lines = graphs.edge_text(edges, nodes, limit=60).first().edges_text.split("\n")
+    assert lines[:2] == ["  Ann --[lives in]--> PERU", "  c001 --[lives in]--> PERU"] and len(lines) == 60
+    assert len(graphs.edge_text(edges, nodes).first().edges_text.split("\n")) == 50
+
+
 def test_components_of_a_long_chain_and_none(spark):
     chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.root for r in components(chain).collect()} == {0}
