@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of a batch of rows that goes to a Python worker.
+ARROW_BYTES = 1 << 22
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,14 +19,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the bytes of the Arrow batches that its session sends to Python.
+
+    Rows of long texts then come a few at a time, whatever the number of rows in a batch
+    is set to. A smaller bound of the session stays.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH_BYTES, str(1 << 26)).rstrip("b")) > ARROW_BYTES:
+        conf.set(_BATCH_BYTES, str(ARROW_BYTES))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and written intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a folder of this process is set.
+    A cluster names it in ``spark.checkpoint.dir``. Only in local mode, as in tests,
+    may it be unset; a folder of this process is set then.
     """
     found = spark.conf.get(CHECKPOINT_DIR, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"{CHECKPOINT_DIR} has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set(CHECKPOINT_DIR, found)
         spark.sparkContext.setCheckpointDir(found)
