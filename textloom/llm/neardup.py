@@ -7,84 +7,111 @@ A document's set holds its distinct shingles of ``shingle`` words (A-Z as a-z).
    hashes h, so the registers of a union are the maxima. Equal sets become one
    node; only nodes go on, with the smallest doc_id and the size of their set.
 2. Registers are cut into bands; nodes that agree on a whole band share a bucket.
-   A bucket links each node to its few hubs, never all pairs. Hubs are the nodes in
-   the largest buckets, so the original of many copies is the hub of all of them.
+   A bucket links each node to its heaviest node, its hub, never all pairs. Heavy
+   nodes are those in the largest buckets, so the original of many copies is the hub
+   of all of them.
 3. For a candidate pair the joint likelihood of the register comparison and the
    two set sizes gives a Jaccard estimate; pairs that fall below the wanted
    similarity by many standard errors are dropped.
-4. What is left is verified on the full sets. Verified links make components.
-5. A bucket whose nodes are all in one component is done. Components that meet in
-   the other buckets make clusters. A cluster's nodes are dealt into blocks of
-   bounded size, each pair of blocks goes to a task with every set once, and the
-   task compares nodes of different components as in 3 and 4. So no link between
-   different sets is lost to the hubs, and pairs are never rows.
+4. What is left is verified on the full sets, by two 64-bit hashes a shingle. A hub's
+   nodes are dealt out, and stream past one copy of its set. Links make components.
+5. A bucket whose nodes are all in one component is done. In the others, nodes
+   outside the bucket's largest component are compared with all others by sketch, in
+   blocks. Those that have a promising partner meet it again with their full sets, so
+   sets are moved for these alone. No link between different sets is lost to the
+   hubs, and pairs that the sketches rule out are never rows.
 
 Components come from large-star/small-star rounds on tables in the shared folder.
 
 Defined results: a null or white text has an empty set and is linked with nothing;
 a row with a null doc_id is counted but neither linked nor dropped; rows that
 repeat have the same set and are linked; an empty table gives an empty result.
+Columns other than doc_id and text are not read, whatever their names, and pass
+through ``keep_one``, which keeps rows that repeat a doc_id and its text all or none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.wordhash import blocks, mix
 from textloom.operators.components import components
 from textloom.skew import join_counted
-from textloom.storage import maybe_broadcast, materialize, read_table
+from textloom.storage import bounded_batches, maybe_broadcast, materialize, read_table
 
 #: Bands, registers of a band; base and largest value of the registers.
 BANDS, ROWS = 32, 4
 BASE, LIMIT = 1.001, 65_534
-HUBS = 2
 #: Candidates whose estimate is lower by so many standard errors are dropped.
 DOUBT = 6.0
 #: Node ids known to be at most so many are broadcast.
 BROADCAST_ROWS = 500_000
-#: Nodes of a block, by size of their sets: at most so many shingles together on average.
+#: Nodes that share a task with one copy of a hub's set, or make a block of a bucket.
 BLOCK_NODES = 512
+#: Shingles of the sets of a block, on average.
+BLOCK_SHINGLES = 1 << 19
+#: Rows of parts that are compared together at least, and pairs of sketches compared at a time.
+BUNDLE_ROWS, PAIRS = 1024, 8192
+#: Bytes of sets that a task sends on at a time.
+SEND_BYTES = 1 << 21
 
 _RNG = np.random.default_rng(77)
 _FACTORS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.int64).astype(np.uint64)
 
 
-def sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    for _, n, _, words in blocks(texts, fold=True):
-        runs = words.runs(shingle)
+def sets(texts: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """By block: index of the first text, and the distinct shingles of each text.
+
+    Those of text j of the block are ``first[j]:first[j + 1]`` of two lanes of hashes,
+    ascending by the first lane.
+    """
+    for i, n, words in blocks(texts, fold=True):
         counts = np.diff(words.first)
-        for i in range(n):
-            first, size = words.first[i], counts[i]
-            if size >= shingle:
-                yield np.unique(runs[first : first + size - shingle + 1])
-            elif size:
-                yield words.spans(np.array([first]), np.array([first + size])) ^ np.uint64(size)
-            else:
-                yield np.zeros(0, np.uint64)
-
-
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """SetSketch registers of a set that is not empty."""
-    lowest = np.full(len(_FACTORS), np.uint64(2**64 - 1))
-    for part in np.array_split(hashes, max(1, len(hashes) // 2048)):
-        np.minimum(lowest, (part[:, None] * _FACTORS + _TERMS).min(axis=0), out=lowest)
+        owner = np.repeat(np.arange(n), counts)
+        whole = np.flatnonzero(words.first[owner + 1] - np.arange(len(owner)) >= shingle)
+        owners, lanes = [owner[whole]], [[words.runs(shingle, lane)[whole]] for lane in (0, 1)]
+        for size in range(1, shingle):
+            short = np.flatnonzero(counts == size)
+            if len(short):
+                owners.append(short)
+                for lane in (0, 1):
+                    lanes[lane].append(words.few(short, size, lane))
+        owner, a, b = np.concatenate(owners), np.concatenate(lanes[0]), np.concatenate(lanes[1])
+        order = np.lexsort((b, a, owner))
+        owner, a, b = owner[order], a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (owner[1:] != owner[:-1])
+        yield i, np.searchsorted(owner[new], np.arange(n + 1)), a[new], b[new]
+
+
+def registers(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """SetSketch registers of sets ``hashes[first[i]:first[i + 1]]``, none of them empty."""
+    lowest = np.full((len(first) - 1, len(_FACTORS)), np.uint64(2**64 - 1))
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    for at in range(0, len(hashes), 512):
+        mine = owner[at : at + 512]
+        begin = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+        least = np.minimum.reduceat(hashes[at : at + 512, None] * _FACTORS + _TERMS, begin, axis=0)
+        lowest[mine[begin]] = np.minimum(lowest[mine[begin]], least)
     # The smallest of n uniform hashes, as the smallest of n exponential ones.
     smallest = -np.log1p(-(lowest.astype(np.float64) + 0.5) / 2.0**64)
     return np.clip(np.floor(1 - np.log(np.maximum(smallest, 1e-300)) / np.log(BASE)), 0, LIMIT).astype(np.uint16)
 
 
-def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
-    with np.errstate(over="ignore"):
-        a, b = mix(hashes).sum(), mix(hashes ^ np.uint64(0x5851F42D4C957F2D)).sum()
-    return int(a.view(np.int64)), int(b.view(np.int64))
+def fingerprints(first: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums for each set; they do not depend on the order. Zero for empty sets."""
+    out = []
+    for lane in (a, b):
+        sums = np.zeros(len(lane) + 1, np.uint64)
+        np.cumsum(mix(lane), out=sums[1:])
+        out.append((sums[first[1:]] - sums[first[:-1]]).view(np.int64))
+    return out[0], out[1]
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
@@ -92,31 +119,36 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, one, two, made = [], [], [], []
-            for hashes in sets(batch["text"], shingle):
-                a, b = fingerprint(hashes)
-                sizes.append(len(hashes))
-                one.append(a)
-                two.append(b)
-                made.append(registers(hashes).tobytes() if len(hashes) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "text_hash", "n_shingles", "fp1", "fp2", "sketch"])
+            for i, first, a, b in sets(batch["text"], shingle):
+                n, sizes = len(first) - 1, np.diff(first)
+                some = np.flatnonzero(sizes)
+                made = np.full(n, None, object)
+                for j, row in zip(some, registers(a, np.append(first[some], len(a))), strict=True):
+                    made[j] = row.tobytes()
+                one, two = fingerprints(first, a, b)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, n), batch["text_hash"].slice(i, n), pa.array(sizes), pa.array(one), pa.array(two), pa.array(made, pa.binary())], ["doc_id", "text_hash", "n_shingles", "fp1", "fp2", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(task, "doc_id long, text_hash long, n_shingles long, fp1 long, fp2 long, sketch binary")
 
 
+def _matrix(sketch: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketch.to_pylist()), np.uint16).reshape(len(sketch), BANDS * ROWS)
+
+
 def buckets(nodes: DataFrame) -> DataFrame:
-    """node, key: one row for each node and band."""
+    """node, key, band: one row for each node and band."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.random.default_rng(5).integers(0, 2**63, ROWS, dtype=np.int64).astype(np.uint64) | np.uint64(1)
         salts = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
-        for batch in batches:
-            if batch.num_rows:
-                made = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint16).reshape(-1, BANDS, ROWS)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                made = _matrix(batch["sketch"]).reshape(-1, BANDS, ROWS)
                 keys = mix(mix(made.astype(np.uint64) + np.uint64(1)) @ weights + salts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch["node"]), BANDS)), pa.array(keys.view(np.int64).ravel())], ["node", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch["node"]), BANDS)), pa.array(keys.view(np.int64).ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows))], ["node", "key", "band"])
 
-    return nodes.select("node", "sketch").mapInArrow(task, "node long, key long")
+    return nodes.select("node", "sketch").mapInArrow(task, "node long, key long, band int")
 
 
 def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -139,135 +171,254 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return found
 
 
+def least_estimate(similarity: float) -> float:
+    return similarity - DOUBT * np.sqrt(similarity * (1 - similarity) / (BANDS * ROWS))
+
+
 def promising(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that the sketches do not rule out."""
-    floor = similarity - DOUBT * np.sqrt(similarity * (1 - similarity) / (BANDS * ROWS))
+    """The pairs (hub, node) that the sketches do not rule out."""
+    floor = least_estimate(similarity)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                sides = [np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b")]
-                keep = estimate(*sides, np.asarray(batch["n_a"]), np.asarray(batch["n_b"])) >= floor
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                keep = estimate(_matrix(batch["hub_sketch"]), _matrix(batch["sketch"]), np.asarray(batch["hub_n"]), np.asarray(batch["n_shingles"])) >= floor
+                yield batch.select(["hub", "node"]).filter(pa.array(keep))
 
-    sides = [nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab"]
-    likely = pairs.join(sides[0], "a").join(sides[1], "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * round(similarity * 100))
-    return likely.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(task, "a long, b long")
+    counts = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("pairs"))
+    hubs = materialize(nodes.select(F.col("node").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("sketch").alias("hub_sketch")).join(counts, "hub"), "hubs")
+    # A hub of very many nodes is broadcast, the nodes stay where they are.
+    near = join_counted(pairs, hubs, "hub", "pairs", pairs.count()).join(nodes.select("node", "n_shingles", "sketch"), "node")
+    near = near.where(F.least("hub_n", "n_shingles") * 100 >= F.greatest("hub_n", "n_shingles") * round(similarity * 100))
+    return near.select("hub", "node", "hub_n", "n_shingles", "hub_sketch", "sketch").mapInArrow(task, "hub long, node long")
 
 
-def members(wanted: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """node, members: the sets of the wanted nodes (node, doc_id), made anew from their documents."""
+def members(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """node, a, b: the sets of the wanted nodes in two lanes, made anew from one document each."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                found = list(sets(batch["text"], shingle))
-                ids = [fingerprint(h)[0] for h in found]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch["node"], pa.array([h.tobytes() for h in found], pa.binary())], ["found", "node", "members"])
+            fp1, fp2 = np.asarray(batch["fp1"]), np.asarray(batch["fp2"])
+            rows, held = [], 0
+            for i, first, a, b in sets(batch["text"], shingle):
+                one, two = fingerprints(first, a, b)
+                # A doc_id may be on several rows with different texts: the node's own text counts.
+                for j in np.flatnonzero((one == fp1[i : i + len(one)]) & (two == fp2[i : i + len(one)])):
+                    mine = slice(first[j], first[j + 1])
+                    rows.append((batch["node"][i + j].as_py(), a[mine].tobytes(), b[mine].tobytes()))
+                    held += len(rows[-1][1]) * 2
+                if held > SEND_BYTES:
+                    yield _rows(rows, _SETS)
+                    rows, held = [], 0
+            if rows:
+                yield _rows(rows, _SETS)
+
+    known = materialize(nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "fp1", "fp2"), "wanted-sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(maybe_broadcast(known, BROADCAST_ROWS), "doc_id")
+    # Rows that repeat give a set twice, which changes nothing.
+    return materialize(texts.select("text", "node", "fp1", "fp2").mapInArrow(collect, "node long, a binary, b binary"), "sets")
+
+
+_SETS = pa.schema([("node", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_NODES = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("node", pa.int64())])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(maybe_broadcast(wanted, BROADCAST_ROWS), "doc_id")
-    # A doc_id may be on several rows with different texts: the node's own text counts.
-    made = texts.select("text", "node").mapInArrow(collect, "found long, node long, members binary").where("found = node")
-    return materialize(made.select("node", "members").dropDuplicates(["node"]), "neardup-sets")
 
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union, for sorted arrays of distinct values."""
-    both = np.concatenate([x, y])
-    both.sort(kind="stable")
-    common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= percent * (len(x) + len(y) - common)
+
+def similar(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], percent: int) -> bool:
+    """100 * intersection >= percent * union, for sets in two lanes."""
+    a, b = np.concatenate([x[0], y[0]]), np.concatenate([x[1], y[1]])
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    common = int(((a[1:] == a[:-1]) & (b[1:] == b[:-1])).sum())
+    return 100 * common >= percent * (len(x[0]) + len(y[0]) - common)
+
+
+def _set(a: pa.Scalar, b: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+    """a, b: the pairs (hub, node) whose full sets are similar enough.
+
+    Each BLOCK_NODES of a hub's nodes make a part, to which the hub's set comes once.
+    """
     percent = round(similarity * 100)
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node"), "neardup-wanted")
+    sized = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).alias("parts"))
+    dealt = join_counted(pairs, sized, "hub", "parts", max(1, pairs.count() // BLOCK_NODES))
+    dealt = materialize(dealt.select("hub", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node"), "dealt-pairs")
+    hubs = dealt.select("hub", "part").distinct().select("hub", "part", F.col("hub").alias("node"))
+    found = members(dealt.select("node").unionByName(dealt.select(F.col("hub").alias("node"))).distinct(), nodes, docs, shingle)
+    sent = dealt.withColumn("is_hub", F.lit(False)).unionByName(hubs.withColumn("is_hub", F.lit(True))).join(found, "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, hub = None, None
         for batch in batches:
-            keep = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch["set_a"], batch["set_b"], strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            links = []
+            for h, part, node, is_hub, a, b in zip(*(batch[c] for c in ("hub", "part", "node", "is_hub", "a", "b")), strict=True):
+                here = (h.as_py(), part.as_py())
+                if is_hub.as_py():
+                    at, hub = here, _set(a, b)
+                elif at == here and similar(hub, _set(a, b), percent):
+                    links.append((h.as_py(), node.as_py()))
+            if links:
+                yield _rows(links, _LINKS)
+
+    ordered = sent.repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("is_hub"))
+    return ordered.select("hub", "part", "node", "is_hub", "a", "b").mapInArrow(compare, "a long, b long")
+
+
+def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole parts (key, part) of sorted batches, BUNDLE_ROWS together at least, and where each begins."""
+
+    def bounds(table: pa.Table) -> np.ndarray:
+        key, part = np.asarray(table["key"]), np.asarray(table["part"])
+        return np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= BUNDLE_ROWS:
+            table = pa.Table.from_batches(held).combine_chunks()
+            first = bounds(table)
+            # The last part may go on in the next batch.
+            if first[-1]:
+                yield table.slice(0, first[-1]).combine_chunks(), np.append(first[:-1], first[-1])
+                held = table.slice(first[-1]).combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, np.append(bounds(table), table.num_rows)
+
+
+def _dealt(entries: DataFrame) -> DataFrame:
+    """``entries`` (key, node, root, n_shingles) dealt into parts: key, part, node, root, side.
+
+    A bucket's nodes make blocks. Each part holds a block of the nodes outside the
+    bucket's largest component (side 0) and a block of any nodes (side 1). The largest
+    component is thus never compared with itself.
+    """
+    rooted = entries.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+    sizes = rooted.groupBy("key").agg(F.sum("n").alias("nodes"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "root", "shingles")).alias("most"))
+    ceiling = [F.ceil(F.greatest(n / BLOCK_NODES, s / BLOCK_SHINGLES)) for n, s in ((F.col("nodes") - F.col("most.n"), F.col("shingles") - F.col("most.shingles")), (F.col("nodes"), F.col("shingles")))]
+    sizes = materialize(sizes.select("key", "nodes", F.col("most.root").alias("main"), ceiling[0].alias("low"), ceiling[1].alias("high")), "bucket-blocks")
+    known = join_counted(entries.select("key", "node", "root"), sizes, "key", "nodes", entries.count())
+    h = F.xxhash64("node")
+    others = known.where("root <> main").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("high") - 1)))
+    rows = others.select("key", (F.pmod(h, "low") * F.col("high") + F.col("other")).alias("part"), "node", "root", F.lit(0).alias("side"))
+    every = known.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("low") - 1)))
+    return rows.unionByName(every.select("key", (F.col("other") * F.col("high") + F.pmod(h, "high")).alias("part"), "node", "root", F.lit(1).alias("side")))
 
-    found = members(wanted, docs, shingle)
-    sides = [found.select(F.col("node").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
+
+def _meet(dealt: DataFrame, compare: Callable[[pa.Table, np.ndarray], pa.RecordBatch], kind: str) -> DataFrame:
+    """Runs ``compare`` on bundles of parts of buckets and sends on the rows that it returns."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in _bundles(batches):
+            yield compare(table, first)
+
+    tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, "key", "part").sortWithinPartitions("key", "part").mapInArrow(task, kind)
 
 
 def across(opened: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """a, b: links between nodes of different components that meet in a bucket.
 
-    ``opened`` has key, node, root for the buckets with several components.
+    ``opened`` has key, band, node, root for the buckets with several components.
     """
-    percent = round(similarity * 100)
-    floor = similarity - DOUBT * np.sqrt(similarity * (1 - similarity) / (BANDS * ROWS))
-    meet = opened.groupBy("key").agg(F.min("root").alias("a")).join(opened.select("key", F.col("root").alias("b")), "key").select("a", "b").distinct()
-    cluster = components(meet).select(F.col("node").alias("root"), F.col("root").alias("cluster"))
-    placed = opened.select("node", "root").distinct().join(cluster, "root")
-    blocks = placed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).alias("blocks"))
-    placed = placed.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    placed = materialize(placed.join(nodes.select("node", "doc_id", "sketch"), "node"), "open-nodes")
-    whole = placed.join(members(placed.select("node", "doc_id"), docs, shingle), "node")
-    # A node goes to the pairs of its block with every block of the cluster.
-    dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("node", "root", "block", "sketch", "members", "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-
-    def compare(group: pa.Table) -> pa.Table:
-        ids, roots, block = (np.asarray(group[c]) for c in ("node", "root", "block"))
-        low, high = group["low"][0].as_py(), group["high"][0].as_py()
-        made = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(len(ids), -1)
-        found = [np.frombuffer(x.as_py(), np.uint64) for x in group["members"]]
-        sizes = np.array([len(x) for x in found])
+    percent, floor = round(similarity * 100), least_estimate(similarity)
+    entries = materialize(opened.join(nodes.select("node", "n_shingles"), "node"), "open-entries")
+    dealt = _dealt(entries)
+    sketched = dealt.join(entries.select("key", "band").distinct(), "key").join(nodes.select("node", "n_shingles", "sketch"), "node")
+
+    def partners(table: pa.Table, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of side 0 with rows of side 1 of the same part that the sketches do not rule out."""
+        roots, side, band = (np.asarray(table[c]) for c in ("root", "side", "band"))
+        made, sizes = _matrix(table["sketch"].combine_chunks()), np.asarray(table["n_shingles"])
+
+        def likely(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            equal = made[i] == made[j]
+            # Nodes that meet in several buckets are compared in the first one.
+            keep = (equal.mean(axis=1) >= floor - 0.1) & (equal.reshape(len(i), BANDS, ROWS).all(axis=2).argmax(axis=1) == band[i])
+            i, j = i[keep], j[keep]
+            keep = estimate(made[i], made[j], sizes[i], sizes[j]) >= floor
+            return i[keep], j[keep]
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for begin, end in zip(first[:-1], first[1:], strict=True):
+            columns = begin + np.flatnonzero(side[begin:end] == 1)
+            for i in begin + np.flatnonzero(side[begin:end] == 0):
+                j = columns[(roots[columns] != roots[i]) & (100 * np.minimum(sizes[columns], sizes[i]) >= percent * np.maximum(sizes[columns], sizes[i]))]
+                held.append((np.full(len(j), i), j))
+                if sum(len(x[1]) for x in held) >= PAIRS:
+                    yield likely(*map(np.concatenate, zip(*held, strict=True)))
+                    held = []
+        if held:
+            yield likely(*map(np.concatenate, zip(*held, strict=True)))
+
+    def by_sketch(table: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+        keep = np.zeros(table.num_rows, bool)
+        for i, j in partners(table, first):
+            keep[i] = keep[j] = True
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(table[c])[keep]) for c in _NODES.names], schema=_NODES)
+
+    def by_set(table: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+        ids, roots = np.asarray(table["node"]), np.asarray(table["root"]).copy()
+        a, b = table["a"].combine_chunks(), table["b"].combine_chunks()
         links = []
-        for i in np.flatnonzero(block == low):
-            # Within one block each pair comes up once.
-            mine = (roots != roots[i]) & (block == high) & ((ids > ids[i]) if low == high else True)
-            mine &= 100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])
-            at = np.flatnonzero(mine)
-            at = at[(made[at] == made[i]).mean(axis=1) >= floor - 0.1]
-            if len(at):
-                at = at[estimate(np.broadcast_to(made[i], (len(at), made.shape[1])), made[at], np.full(len(at), sizes[i]), sizes[at]) >= floor]
-            for j in at:
+        for i, j in partners(table, first):
+            for x, y in zip(i, j, strict=True):
                 # Roots that have met are one; what they share needs no more links.
-                if roots[i] != roots[j] and similar(found[i], found[j], percent):
-                    links.append((ids[i], ids[j]))
-                    roots = np.where(roots == roots[j], roots[i], roots)
-        a, b = zip(*links, strict=True) if links else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                if roots[x] != roots[y] and similar(_set(a[x], b[x]), _set(a[y], b[y]), percent):
+                    links.append((int(ids[x]), int(ids[y])))
+                    roots[roots == roots[y]] = roots[x]
+        return _rows(links, _LINKS)
 
-    return dealt.groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long")
+    sides = sketched.select("key", "part", "node", "root", "side", "band", "n_shingles", "sketch")
+    left = materialize(_meet(sides, by_sketch, "key long, part long, node long"), "promising-nodes")
+    whole = sides.join(left, ["key", "part", "node"], "left_semi").join(members(left.select("node").distinct(), nodes, docs, shingle), "node")
+    return _meet(whole, by_set, "a long, b long")
 
 
 def _hub_pairs(entries: DataFrame) -> DataFrame:
-    """Pairs of each entry (key, node, weight) with its bucket's weightiest nodes."""
-    first = entries.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "node"))).where(F.col("_r") <= HUBS)
-    hubs = first.select("key", F.col("node").alias("hub"))
-    return entries.join(hubs, "key").where("node <> hub").selectExpr("least(node, hub) a", "greatest(node, hub) b").distinct()
+    """hub, node: each entry (key, node, n, weight) with its bucket's weightiest node; n counts the bucket."""
+    first = entries.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("first"), F.first("n").alias("n"))
+    hubs = materialize(first.select("key", F.col("first.node").alias("hub"), "n"), "bucket-hubs")
+    met = join_counted(entries.select("key", "node"), hubs, "key", "n", entries.count())
+    return materialize(met.where("node <> hub").select("hub", "node").distinct(), "hub-pairs")
 
 
 def _decided(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept of every row."""
-    rows = materialize(sketches(docs, shingle), "sketches")
-    nodes = rows.where("sketch is not null and doc_id is not null").groupBy(F.col("fp1").alias("node"), F.col("fp2").alias("node2")).agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    nodes = materialize(nodes, "nodes")
+    rows = materialize(sketches(bounded_batches(docs), shingle), "sketches")
+    alike = rows.where("sketch is not null and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    # Ids of nodes are given once and written; a fingerprint's half might not be unique.
+    nodes = materialize(alike.withColumn("node", F.monotonically_increasing_id()), "nodes")
     entries = buckets(nodes)
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     entries = materialize(entries.join(shared, "key"), "buckets")
     weights = entries.groupBy("node").agg(F.sum("n").alias("weight"))
-    likely = materialize(promising(_hub_pairs(entries.join(weights, "node")), nodes, similarity), "candidates")
+    pairs = _hub_pairs(entries.join(weights, "node"))
+    likely = materialize(promising(pairs, nodes, similarity), "candidates")
     links = materialize(verified(likely, nodes, docs, shingle, similarity), "verified")
     roots = materialize(components(links), "components")
-    labelled = entries.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    labelled = entries.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
     opened = materialize(labelled.join(mixed, "key"), "open-buckets")
     if not opened.isEmpty():
         found = materialize(across(opened, nodes, docs, shingle, similarity), "links-across")
-        roots = materialize(components(links.unionByName(found)), "components")
-    rooted = nodes.join(roots, "node", "left").select("node", "node2", "doc_id", F.coalesce("root", "node").alias("root"))
+        if not found.isEmpty():
+            roots = materialize(components(links.unionByName(found)), "components")
+    rooted = nodes.join(roots, "node", "left").select("fp1", "fp2", "doc_id", F.coalesce("root", "node").alias("root"))
     label = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    copies = rows.groupBy(F.col("fp1").alias("node"), F.col("fp2").alias("node2")).agg(F.count(F.lit(1)).alias("copies"))
+    copies = rows.groupBy("fp1", "fp2").agg(F.count(F.lit(1)).alias("copies"))
     # Nodes of one row that are their own component need no label.
-    labels = materialize(rooted.join(label, "root").join(copies, ["node", "node2"]).where("copies > 1 or component_id <> doc_id").select(F.col("node").alias("fp1"), F.col("node2").alias("fp2"), "component_id", "copies"), "labels")
+    labels = materialize(rooted.join(label, "root").join(copies, ["fp1", "fp2"]).where("copies > 1 or component_id <> doc_id").select("fp1", "fp2", "component_id", "copies"), "labels")
     decided = join_counted(rows.drop("sketch"), labels, ["fp1", "fp2"], "copies", rows.count(), "left")
     alone = F.col("n_shingles") == 0
     component = F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.tokens import encode
-from textloom.storage import read_table
+from textloom.storage import bounded_batches, read_table
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long"
 _ARROW = pa.schema([pa.field(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
@@ -145,7 +145,7 @@ def pack(
         if packer.rows:
             yield packer.drain()
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(task, SCHEMA)
+    return bounded_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(task, SCHEMA)
 
 
 def production(docs: DataFrame) -> DataFrame:

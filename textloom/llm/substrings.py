@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.wordhash import Words, blocks
-from textloom.storage import materialize, read_table
+from textloom.storage import bounded_batches, materialize, read_table
 
 WINDOW, SEED = 35, 16
 #: Hashes of a block, and of a range that one task compares.
@@ -127,7 +127,7 @@ def seeds(docs: DataFrame, window: int, seed: int) -> DataFrame:
 
         for batch in batches:
             d, k = np.asarray(batch["d"]), np.asarray(batch["k"])
-            for i, n, _, words in blocks(batch["text"]):
+            for i, n, words in blocks(batch["text"]):
                 _, _, places, hashes = anchors(words, window, seed)
                 each = np.diff(np.searchsorted(places, words.first))
                 some = each > 0
@@ -137,7 +137,7 @@ def seeds(docs: DataFrame, window: int, seed: int) -> DataFrame:
         if any(len(x[3]) for x in held):
             yield flush()
 
-    return materialize(_ids(docs).select("d", "k", "text").mapInArrow(task, "block long, d array<long>, k array<long>, n array<long>, h binary"), "seeds")
+    return materialize(_ids(bounded_batches(docs)).select("d", "k", "text").mapInArrow(task, "block long, d array<long>, k array<long>, n array<long>, h binary"), "seeds")
 
 
 def marks(found: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def extend(docs: DataFrame, marked: DataFrame, window: int, seed: int) -> DataFr
         for batch in batches:
             ids, known = batch["doc_id"].to_pylist(), batch["marks"].to_pylist()
             done: list[tuple] = []
-            for i, n, body, words in blocks(batch["text"]):
+            for i, n, words in blocks(batch["text"]):
                 if any(m is not None for m in known[i : i + n]):
                     starts, anchor, places, _ = anchors(words, window, seed)
                     runs = words.runs(window)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.wordhash import PUNCTUATION, blocks
-from textloom.storage import materialize, maybe_broadcast, read_table
+from textloom.storage import bounded_batches, materialize, maybe_broadcast, read_table
 
 #: At most so many positive and so many unlabelled rows are used to fit the weights.
 SAMPLE = (5_000, 12_000)
@@ -64,12 +64,12 @@ class Model:
 
 def occurrences(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """By block: index of the first text, texts, and owner and hash of every word and beginning."""
-    for i, n, body, words in blocks(texts, fold=True, ends_word=PUNCTUATION):
+    for i, n, words in blocks(texts, fold=True, ends_word=PUNCTUATION):
         owner = np.repeat(np.arange(n), np.diff(words.first))
         parts, owners = [words.hashes], [owner]
         for size in BEGINNINGS:
             long = words.end - words.start > size
-            parts.append(words.prefixes(body, long, size))
+            parts.append(words.prefixes(long, size))
             owners.append(owner[long])
         yield i, n, np.concatenate(owners), np.concatenate(parts)
 
@@ -240,7 +240,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, features: int = FEATURES) -> Model:
-    words = choose(*training_texts(docs, labels), features)
+    words = choose(*training_texts(bounded_batches(docs), labels), features)
     rows, prior = training_rows(docs, labels, sample)
     if not len(words) or not 0 < prior < 1:
         prior = min(max(prior, 1e-6), 1 - 1e-6)
@@ -265,7 +265,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
         for batch in batches:
             yield batch.filter(pa.array(scores(batch["text"], sent.value) < threshold))
 
-    return docs.mapInArrow(task, docs.schema)
+    return bounded_batches(docs).mapInArrow(task, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
