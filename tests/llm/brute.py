@@ -80,3 +80,32 @@ def edits(a, b):
             following.append(min(following[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
         row = following
     return row[-1]
+
+
+def line_summaries(docs, threshold=2, min_chars=20):
+    """(id, lines, links, removed, digest) of each document; docs are (id, text) with distinct ids."""
+    tidy = {i: [(at, line) for at, x in enumerate((t or "").split("\n")) if (line := re.sub(WHITE, " ", x).strip(" "))] for i, t in docs}
+    names = sorted({line for lines in tidy.values() for _, line in lines})
+    root, degree = {x: x for x in names}, dict.fromkeys(names, 0)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, a in enumerate(names):
+        for b in names[:n]:
+            if min(len(a), len(b)) >= min_chars and abs(len(a) - len(b)) <= threshold and edits(a, b) <= threshold:
+                degree[a], degree[b] = degree[a] + 1, degree[b] + 1
+                root[find(a)] = find(b)
+    head = {}
+    for i, lines in tidy.items():
+        for at, line in lines:
+            place = (2**63 if i is None else i, at)
+            head[find(line)] = min(head.get(find(line), place), place)
+    out = []
+    for i, lines in tidy.items():
+        kept = [line for at, line in lines if head[find(line)] == (2**63 if i is None else i, at)]
+        digest = hashlib.sha256(",".join(hashlib.md5(x.encode()).hexdigest() for x in kept).encode()).hexdigest()
+        out.append((i, len(lines), sum(degree[line] for _, line in lines), len(lines) - len(kept), digest))
+    return out

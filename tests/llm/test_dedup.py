@@ -1,8 +1,6 @@
 import random
-import re
 
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm import brute
@@ -43,9 +41,21 @@ def test_exact_index_persists_and_keeps_earlier_decisions(spark):
     first.forget()
     again = exact.DigestIndex(spark, first.path, buckets=3)
     batch = exact.digests(spark.createDataFrame([(3, "a "), (4, "c"), (5, "c")], "doc_id long, text string"))
-    assert sorted(r.keep_id for r in again.append(batch).collect()) == [1, 2, 4]
+    assert sorted((r.keep_id, r.in_batch, r.copies) for r in again.append(batch).collect()) == [(1, 1, 2), (4, 2, 2)]
+    assert sorted((r.keep_id, r.copies) for r in again.read().collect()) == [(1, 2), (2, 1), (4, 2)]
     plan = batch.hint("merge").join(again.read().hint("merge"), "digest")._jdf.queryExecution().toString()
     assert "Bucketed: true" in plan
+    later = exact.exact_groups(spark.createDataFrame([(6, "c"), (7, "a"), (8, "new")], "doc_id long, text string"), again)
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in later.collect()) == [(6, 4, 3, False), (7, 1, 3, False), (8, 8, 1, True)]
+
+
+def test_a_small_batch_against_a_large_index_moves_little_of_it(spark, monkeypatch):
+    index, seen, join = exact.DigestIndex(spark, buckets=4), [], exact.join_counted
+    index.append(exact.digests(spark.range(20_000).selectExpr("id doc_id", "cast(id as string) text")))
+    monkeypatch.setattr(exact, "join_counted", lambda left, right, *a: (seen.append(right.count()), join(left, right, *a))[1])
+    batch = exact.exact_groups(spark.createDataFrame([(90_000, "5"), (90_001, "x")], "doc_id long, text string"), index)
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in batch.collect()) == [(90_000, 5, 2), (90_001, 90_001, 1)]
+    assert seen == [2]
 
 
 def test_exact_drop_keeps_all_columns(spark):
@@ -64,6 +74,24 @@ def test_near_groups_equal_brute_force(spark, seed):
     assert all(got[i][1] == len(brute.shingles(t, 4)) for i, t in docs)
 
 
+def thue_morse(n, a="a", b="b"):
+    """Words of n letters for which polynomials modulo a power of two all have the same value."""
+    x, y = a, b
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096, 8192])
+def test_long_words_that_differ_are_different(spark, n):
+    x, y = thue_morse(n)
+    before, after = [f"b{i}" for i in range(17)], [f"a{i}" for i in range(17)]
+    docs = [(1, " ".join([*before, x, *after])), (2, " ".join([*before, y, *after])), (3, x), (4, y), (5, " ".join(x)), (6, " ".join(y))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.groups(df, shingle=4).collect()} == brute.near_components(docs, 4)
+    assert sorted(map(tuple, substrings.removals(df).collect())) == brute.removals(docs, 35)
+
+
 def test_near_links_that_no_hub_sees(spark):
     """A chain of copies, each near its neighbours only, has to end as one group."""
     r = random.Random(3)
@@ -164,31 +192,29 @@ def test_edit_distance_equals_dynamic_programming(spark, threshold):
     assert [(r.a, r.b, r.n) for r in rows.collect()] == [(a, b, min(brute.edits(a, b), threshold + 1)) for a, b in pairs]
 
 
-@pytest.mark.parametrize(("hot", "block"), [(1000, 256), (1, 2)])
-def test_line_links_equal_brute_force(spark, monkeypatch, hot, block):
+@pytest.mark.parametrize(("hot", "block", "salted"), [(1000, 256, 1000), (1, 2, 1000), (1000, 2, 1)])
+def test_line_summaries_equal_brute_force(spark, monkeypatch, hot, block, salted):
     monkeypatch.setattr(lines, "HOT_LINES", hot)
     monkeypatch.setattr(lines, "BLOCK_LINES", block)
+    monkeypatch.setattr(lines, "SALTED_LINES", salted)
     r = random.Random(9)
-    made = []
+    made = ["the same line everywhere, long enough", "short one"] * 3
     for _ in range(80):
-        line = "".join(r.choice("abcdefgh ") for _ in range(r.randrange(17, 40))).strip()
+        line = "".join(r.choice("abcdefgh é") for _ in range(r.randrange(17, 40))).strip()
         made.append(line)
         for _ in range(r.randrange(4)):
             b = line
             for _ in range(r.randrange(5)):
                 i = r.randrange(len(b) + 1)
                 b = r.choice([b[:i] + b[i + 1 :], b[:i] + "z" + b[i:], b[:i] + "y" + b[i + 1 :]])
-            made.append(b)
+            made.append(r.choice([b, b.replace(" ", " \t "), f" {b}\r"]))
     docs = [(i, "\n".join(made[i * 3 : i * 3 + 3])) for i in range(len(made) // 3)]
-    tidy = sorted({re.sub(brute.WHITE, " ", x).strip(" ") for _, t in docs for x in t.split("\n")} - {""})
-
-    def h(line):
-        value = xxhash.xxh64(line.encode(), seed=42).intdigest()
-        return value - 2**64 if value >= 2**63 else value
-
-    want = {tuple(sorted((h(a), h(b)))) for i, a in enumerate(tidy) for b in tidy[:i] if min(len(a), len(b)) >= 20 and abs(len(a) - len(b)) <= 2 and brute.edits(a, b) <= 2}
+    docs = [*docs, (None, made[8] + "\n\n" + made[9]), (10_000, None), (10_001, " \n\t")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert {(x.a, x.b) for x in lines.links(df).collect()} == want
+    want = sorted(map(repr, brute.line_summaries(docs)))
+    assert sorted(repr(tuple(x)) for x in lines.summaries(df).collect()) == want
+    # Rows that repeat a document get its result.
+    assert sorted(repr(tuple(x)) for x in lines.summaries(df.unionByName(df.limit(1))).distinct().collect()) == want
 
 
 def test_first_occurrence_of_a_line_class_stays(spark):

@@ -96,12 +96,12 @@ def test_warc_round_trip(spark):
     big = "é" * 600
     rows = [(1, "http://a/\n", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "v", None), (None, "w", big), (None, None, None), (2, None, big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
-    archive = warc.write(pages, new_path(spark, "warc"), roll_bytes=300, tasks=2)
+    archive = warc.write(pages, new_path(spark, "warc"), roll_bytes=300, shard_bytes=1000)
     got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read(archive).collect()), key=str)
     want = [(1, 1200, "revisit", 2), (2, 1200, "response", None), (2, 1200, "response", None), (3, 5, "response", None), (4, 5, "response", None), (5, 0, "response", None), (None, 1200, "revisit", 2), (None, 0, "response", None)]
     assert got == sorted(want, key=str)
     assert archive.manifest.count() > 2
-    again = warc.write(pages.repartition(5), new_path(spark, "warc"), roll_bytes=300, tasks=2)
+    again = warc.write(pages.repartition(5), new_path(spark, "warc"), roll_bytes=300, shard_bytes=1000)
     assert sorted(map(tuple, again.manifest.collect())) == sorted(map(tuple, archive.manifest.collect()))
     name = archive.manifest.first().file
     with gzip.open(f"{archive.path.removeprefix('file://')}/{name}") as f:
@@ -110,6 +110,27 @@ def test_warc_round_trip(spark):
     assert warc.read(empty).count() == 0
 
 
+def test_warc_bytes_do_not_depend_on_the_cluster(spark):
+    """Other partitions of the input and other numbers of tasks give the same files."""
+    pages = spark.range(12_000).selectExpr("id page_id", "concat('http://h/', hash(id) % 5000) url", "repeat(concat('text ', id % 7000, ' '), cast(1 + id % 40 as int)) html")
+    manifests, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for parts, tasks in ((3, 4), (11, 7)):
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        archive = warc.write(pages.repartition(parts, F.rand(parts)), new_path(spark, "warc"), roll_bytes=20_000, shard_bytes=400_000)
+        manifests.append(sorted(map(tuple, archive.manifest.collect())))
+        assert warc.read(archive).count() == 12_000
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert manifests[0] == manifests[1]
+    assert len(manifests[0]) > 20
+
+
+def test_warc_of_a_very_long_payload(spark):
+    pages = spark.createDataFrame([(1, "u", "long é " * 900_000), (2, "v", "short")], "page_id long, url string, html string")
+    archive = warc.write(pages, new_path(spark, "warc"))
+    got = {r.page_id: (r.payload_bytes, hashlib.sha1(bytes(r.payload)).hexdigest() == r.payload_digest) for r in warc.read(archive).collect()}
+    assert got == {1: (8 * 900_000, True), 2: (5, True)}
+
+
 def test_decontamination_of_short_items_and_proximity(spark):
     items = [(1, "alpha beta"), (2, "one two three four five six seven eight nine ten eleven"), (3, ""), (4, None), (None, "x"), (1, "alpha beta")]
     docs = [(1, "say Alpha-BETA twice: alpha beta"), (2, "zero one two three four five six seven eight nine ten"), (3, "one two three four five six seven eight nine and ten eleven"), (4, None), (5, "two three four five six seven eight nine ten eleven alpha")]
@@ -159,6 +180,97 @@ def test_pii_bootstrap_finds_unseen_identifiers_in_learnt_contexts(spark):
     assert {x.doc_id: x.text for x in pii.redact(df).where("doc_id >= 100").collect()}[100] == "please call my phone at <PHONE> thanks"
 
 
+def all_spans(docs):
+    """(kind, start, stop) of every span of every document: base forms, seed secrets, and a plain bootstrap."""
+    import regex
+
+    def mentions(i, text, form):
+        found = list(regex.finditer(form, text))
+        for n, m in enumerate(found):
+            before = text[found[n - 1].end() if n else 0 : m.start()][-80:]
+            after = text[m.end() : found[n + 1].start() if n + 1 < len(found) else len(text)][:80]
+            yield i, m.start(), m.end(), m[0], before, after
+
+    def patterns(before, after):
+        def parts(x):
+            return regex.findall(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]", re.sub("[0-9]+", "0", brute.fold(x)))
+
+        left, right = parts(before), parts(after)[:1]
+        for n in (1, 2, 3):
+            if len(left) >= n:
+                yield (n, *left[-n:])
+                if right:
+                    yield (n, *left[-n:], "_", right[0])
+
+    spans, seeds, others = {}, [], []
+    for i, text in docs:
+        base = base_spans(text)
+        spans[i] = set(base)
+        starts = {(k, a, b) for k, a, b in base}
+        for kind, form in FORMS.items():
+            seeds += [(*m, kind) for m in mentions(i, text, form) if (kind, m[1], m[2]) in starts]
+        secret = rf'(?<=\b(?:{"|".join(pii.KEY_WORDS)}) ?= ?")[0-9a-f]{{32,}}+(?=")'
+        mine = [(*m, "secret") for m in mentions(i, text, secret) if not any(a < m[2] and b > m[1] for _, a, b in base)]
+        seeds += mine
+        spans[i] |= {("secret", m[1], m[2]) for m in mine}
+        token = r"""(?<![A-Za-z0-9._@+-])(?=(?:[A-Za-z._@+-]*+[0-9]){4})[A-Za-z0-9._@+-]++|(?<=[=:] ?["']?)[A-Za-z0-9._@+-]{4,}+"""
+        for _, a, b, value, before, after in mentions(i, text, token):
+            bare = value.strip("._@+-")
+            lead = len(value) - len(value.lstrip("._@+-"))
+            if len(bare) >= 4 and not any(x < a + lead + len(bare) and y > a + lead for _, x, y in spans[i]):
+                others.append((i, a + lead, a + lead + len(bare), bare, before + value[:lead], value[lead + len(bare) :] + after, None))
+    kinds = {*(x[6] for x in seeds)}
+    values, by_seed = {}, {}
+    for x in seeds + others:
+        for p in patterns(x[4], x[5]):
+            values.setdefault(p, set()).add(x[3])
+            if x[6]:
+                by_seed.setdefault((p, x[6]), set()).add(x[3])
+    usable = [k for k, v in by_seed.items() if len(v) >= pii.SUPPORT]
+    certain = {(x[3], x[6]): 1.0 for x in seeds}
+    believed, good = dict(certain), {}
+    for _ in range(pii.ROUNDS):
+        good = {(p, k): sum(believed.get((v, k), 0.0) for v in values[p]) / len(values[p]) for p, k in usable}
+        good = {x: c for x, c in good.items() if c >= pii.PATTERN_LIMIT}
+        doubt = {}
+        for v, k in {(x[3], k) for x in others for k in kinds}:
+            ps = {p for x in others if x[3] == v for p in patterns(x[4], x[5]) if (p, k) in good}
+            if ps:
+                doubt[v, k] = 1 - np.prod([1 - min(good[p, k], 0.999) for p in ps])
+        believed = doubt | certain
+    for x in others:
+        sure = [(doubt[x[3], k], k) for k in kinds if doubt.get((x[3], k), 0) >= pii.INSTANCE_LIMIT]
+        if sure and any((p, max(sure)[1]) in good for p in patterns(x[4], x[5])):
+            spans[x[0]].add((max(sure)[1], x[1], x[2]))
+    return {i: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(x, key=lambda s: (pii.ALL_KINDS.index(s[0]), *s[1:]))) for i, x in spans.items()}
+
+
+def test_pii_spans_equal_brute_force(spark):
+    """Secrets in upper case, cut short or of other letters are found by the contexts of those of the seed form."""
+    r = random.Random(4)
+    words = [f"w{chr(97 + i)}" for i in range(26)]
+
+    def some(n):
+        return " ".join(r.choice(words) for _ in range(n))
+
+    def hexes(n):
+        return "".join(r.choice("0123456789abcdef") for _ in range(n))
+
+    docs = []
+    for i in range(60):
+        secret = r.choice([hexes(40), hexes(40), hexes(40).upper(), hexes(12), f"Zq-{hexes(20)}_x"])
+        said = r.choice([f'token = "{secret}"', f'my TOKEN = "{secret}"!!', f"part {r.randrange(10**6)} of 12345", f"at: {some(1)}", f"mail {some(1)}.{i}@h.example.com now"])
+        docs.append((i, f"{some(r.randrange(5))} {said} {some(r.randrange(5))}"))
+    docs += [(100, ""), (101, 'token = "' + "ab12" * 5000 + '"'), (102, "-" * 20_000 + "1" * 5), (103, "a." * 20_000)]
+    got = {x.doc_id: x for x in pii.summaries(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = all_spans(docs)
+    assert {i: x.spans for i, x in got.items()} == want
+    assert all(x.n_spans == len([s for s in x.spans.split(",") if s]) for x in got.values())
+    # The context finds the rest of what was planted and nothing else.
+    planted = {i for i, t in docs if re.search("(?i)token = ", t)}
+    assert {i for i, x in got.items() if "secret:" in x.spans} == planted
+
+
 def toxic_corpus(spark, n=1200):
     r = random.Random(2)
     rows, marks = [], []

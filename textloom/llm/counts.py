@@ -9,8 +9,9 @@ however many blocks they span.
 
 Defined results: two separators in a row are an empty document; ids after the last
 separator are one more document; an empty file has none; a file whose size is no
-multiple of the width is refused. Null texts are empty, rows that repeat are
-counted each for itself, an empty table gives an empty result.
+multiple of the width is refused. Null texts are empty, a null doc_id stays null, rows
+that repeat are counted each for itself, an empty table gives an empty result. Columns
+other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 
 from textloom.llm.files import committed, filesystem
 from textloom.llm.tokens import encode
-from textloom.storage import bounded_batches, materialize, new_path, read_table
+from textloom.storage import bounded_batches, materialize, maybe_broadcast, new_path, read_table
 
 #: Bytes of a block.
 BLOCK_BYTES = 1 << 22
+#: Blocks counted to be at most so many are broadcast with what the scan found.
+BROADCAST_ROWS = 500_000
 
 
 def write_token_files(docs: DataFrame, path: str, ranks: str, separator: int, width: int = 2) -> DataFrame:
@@ -85,14 +88,14 @@ def scan(table: DataFrame, separator: int, width: int = 2, block_bytes: int = BL
 
 
 def token_counts(found: DataFrame) -> DataFrame:
-    """shard, ordinal, start, n_tokens of every document, from the separators of the blocks."""
+    """shard, ordinal, start, n_tokens of every document, from the written separators of the blocks.
+
+    The scan over a file's blocks sees two numbers a block; separators stay with theirs.
+    """
     before = Window.partitionBy("shard").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = found.select(
-        "shard",
-        "found",
-        F.coalesce(F.sum(F.size("found")).over(before), F.lit(0)).alias("earlier"),
-        F.coalesce(F.max(F.try_element_at("found", F.lit(-1))).over(before), F.lit(-1)).alias("last"),
-    )
+    ends = found.select("shard", "begin", F.size("found").alias("n"), F.try_element_at("found", F.lit(-1)).alias("end"))
+    scanned = ends.select("shard", "begin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"), F.coalesce(F.max("end").over(before), F.lit(-1)).alias("last"))
+    stitched = found.join(maybe_broadcast(materialize(scanned, "scanned-blocks"), BROADCAST_ROWS), ["shard", "begin"])
     each = stitched.select("shard", "earlier", "last", "found", F.posexplode("found").alias("at", "stop"))
     start = F.when(F.col("at") == 0, F.col("last")).otherwise(F.expr("found[at - 1]")) + 1
     return each.select("shard", (F.col("earlier") + F.col("at")).alias("ordinal"), start.alias("start"), (F.col("stop") - start).alias("n_tokens"))

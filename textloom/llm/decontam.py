@@ -1,40 +1,52 @@
-"""Benchmark decontamination with a positional inverted index.
-
-1. Test items become windows of ``window`` words. Spark counts how often each test
-   word occurs in the training texts; the two rarest words of a window are its
-   anchors. A window with a word that never occurs is out.
-2. One pass over the training texts stores the postings (word, document, position)
-   of the anchor words.
-3. Posting lists are intersected after adjusting each position by the word's place
-   in the item: postings of one item that fall on the same diagonal (position
-   minus place) meet in one group. A diagonal on which both anchors of a window
-   lie is a candidate.
-4. A candidate's words are compared with the document's. Exact windows give the
-   hits; ``proximity`` instead reports anchors that lie within a slop of each other.
-
-Everything on the way is a built-in expression. Only tables of test items, and
-candidates counted to be few, are broadcast; beyond the bound they are shuffled.
+"""Benchmark decontamination with a stored, distributed positional inverted index.
+
+1. One pass over the training texts writes the index: a posting (word, document,
+   position) for every word. Each task sorts the postings of its own documents by
+   word, so nothing is shuffled, no word is too frequent for a task, and a lookup
+   skips the parts of a file that cannot hold its words. A posting of the empty word
+   carries a document's number of words; a lexicon counts every word's postings. The
+   index is kept and serves any number of benchmarks.
+2. Test items become windows of ``window`` words. The two rarest words of a window by
+   the lexicon are its anchors. A window with a word that never occurs is out.
+3. Posting lists are intersected from the rarest terms on, after adjusting each
+   position by the word's place in the item: postings of anchors that fall on the same
+   diagonal (position minus place) meet in one group. A diagonal on which both anchors
+   of a window lie is a candidate.
+4. A candidate says where all other words of its item would be. These postings are
+   looked up in the index, and runs of ``window`` places that are all there are exact
+   matches. ``proximity`` instead reports anchors that lie within a slop of each other.
+
+Everything is a built-in expression. Tables of test items and candidates are broadcast
+where they are counted to be few; beyond the bound, joins are shuffled with the most
+frequent words kept where they are.
 
 Defined results: words are runs of ASCII letters and digits and of all other
 characters beyond ASCII, A-Z as a-z. An item of fewer than ``window`` words is one
 window; items without words or with a null item_id match nothing, and rows that
 repeat an item_id are one item. A null or empty text has no words and no hits. A
-null doc_id is a value of its own. Rows that repeat get the same result.
+null doc_id is a value of its own. Rows that repeat get the same result. Empty tables
+give empty results, or no hits. Columns other than doc_id, item_id and text are not
+read, whatever their names, and pass through ``clean``.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.text import lower_ascii, words
-from textloom.storage import maybe_broadcast, materialize, read_table
+from textloom.skew import join_counted
+from textloom.storage import maybe_broadcast, materialize, new_path, read_table, small_enough
 
 #: What separates words once A-Z are a-z; A-Z are words before that, too.
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 ANCHORS = 2
-#: Test words, and candidates, counted to be at most so many are broadcast.
+#: Words of an anchor's distance that ``proximity`` forgives.
+SLOP = 3
+#: Rows of test items, and of candidates, counted to be at most so many are broadcast.
 BROADCAST_ROWS = 200_000
 
 
@@ -42,9 +54,37 @@ def _words(text: str = "text") -> Column:
     return words(lower_ascii(F.col(text)), _BETWEEN)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Documents with words and the two columns that identify them: id and text hash."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64("text").alias("k"), F.col("doc_id").cast("long").alias("doc_id"), _words().alias("words"))
+def _keys() -> list[Column]:
+    """What identifies a document: id and text hash."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64("text").alias("k")]
+
+
+@dataclass(frozen=True)
+class PositionalIndex:
+    """A stored index: ``postings`` (word, d, k, pos) sorted by word within each file, and ``lexicon`` (word, n)."""
+
+    postings: DataFrame
+    lexicon: DataFrame
+
+    def documents(self) -> DataFrame:
+        """d, k, n_words of every document with words."""
+        return self.postings.where("word = ''").select("d", "k", F.col("pos").cast("long").alias("n_words")).distinct()
+
+
+def open_index(spark: SparkSession, path: str) -> PositionalIndex:
+    """An index that was built before."""
+    postings = spark.read.schema("word string, d long, k long, pos int").parquet(f"{path}/postings")
+    return PositionalIndex(postings, spark.read.schema("word string, n long").parquet(f"{path}/lexicon"))
+
+
+def build_index(docs: DataFrame, path: str) -> PositionalIndex:
+    """Writes the index of ``docs`` into ``path``."""
+    found = docs.select(*_keys(), _words().alias("words")).where("size(words) > 0")
+    each = found.select("d", "k", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "word"))
+    each.select("word", "d", "k", "pos").sortWithinPartitions("word", "d", "k", "pos").write.parquet(f"{path}/postings")
+    written = docs.sparkSession.read.parquet(f"{path}/postings").where("word <> ''")
+    written.groupBy("word").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/lexicon")
+    return open_index(docs.sparkSession, path)
 
 
 def items(benchmark: DataFrame) -> DataFrame:
@@ -53,32 +93,32 @@ def items(benchmark: DataFrame) -> DataFrame:
     return found.select(F.xxhash64("item_id", "words").alias("i"), "item_id", "words")
 
 
-def anchored(tests: DataFrame, docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def anchored(tests: DataFrame, index: PositionalIndex, window: int = WINDOW) -> DataFrame:
     """The items with ``rare``: for each window that can occur, the places of its rarest words."""
     vocabulary = materialize(tests.select(F.explode("words").alias("word")).distinct(), "test-words")
-    seen = docs.select(F.explode("words").alias("word")).join(maybe_broadcast(vocabulary, BROADCAST_ROWS), "word").groupBy("word").count()
+    seen = index.lexicon.join(maybe_broadcast(vocabulary, BROADCAST_ROWS), "word")
     placed = tests.select("i", F.posexplode("words").alias("at", "word")).join(seen, "word", "left")
-    counts = placed.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("count", F.lit(0)).alias("n")))).alias("places"))
+    counts = placed.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("places"))
     rare = f"""transform(sequence(0, greatest(size(places) - {window}, 0)),
       w -> slice(array_sort(transform(slice(places, w + 1, {window}), p -> struct(p.n as n, p.at as at))), 1, {ANCHORS}))"""
     usable = f"transform(filter({rare}, r -> r[0].n > 0), r -> transform(r, x -> x.at))"
     return tests.join(counts.select("i", F.expr(usable).alias("rare")), "i").where("size(rare) > 0")
 
 
-def postings(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """word, d, k, pos: the positions of the anchor words in all documents."""
-    names = materialize(anchors.select("i", "words", F.explode(F.array_distinct(F.flatten("rare"))).alias("at")).select(F.expr("words[at]").alias("word")).distinct(), "anchor-words")
-    each = docs.select("d", "k", F.posexplode("words").alias("pos", "word"))
-    return materialize(each.join(maybe_broadcast(names, BROADCAST_ROWS), "word"), "postings")
+def postings(index: PositionalIndex, anchors: DataFrame) -> DataFrame:
+    """d, k, pos, i, at: the postings of the anchor words, with the places of items that have them."""
+    each = anchors.select("i", "words", F.explode(F.array_distinct(F.flatten("rare"))).alias("at")).select(F.expr("words[at]").alias("word"), F.struct("i", "at").alias("place"))
+    places = materialize(each.groupBy("word").agg(F.collect_list("place").alias("places")).join(index.lexicon, "word"), "anchor-words")
+    if small_enough(places, BROADCAST_ROWS):
+        met = index.postings.join(F.broadcast(places), "word")
+    else:
+        met = join_counted(index.postings, places, "word", "n", index.lexicon.agg(F.sum("n")).first()[0] or 0)
+    return met.select("d", "k", "pos", F.explode("places").alias("p")).select("d", "k", "pos", "p.i", "p.at")
 
 
-def _places(anchors: DataFrame) -> DataFrame:
-    return materialize(anchors.select("i", "words", F.explode(F.array_distinct(F.flatten("rare"))).alias("at")).select("i", "at", F.expr("words[at]").alias("word")), "anchor-places")
-
-
-def diagonals(index: DataFrame, anchors: DataFrame) -> DataFrame:
+def diagonals(index: PositionalIndex, anchors: DataFrame) -> DataFrame:
     """d, k, i, diagonal where the anchors of a window meet."""
-    met = index.join(maybe_broadcast(_places(anchors), BROADCAST_ROWS), "word").select("d", "k", "i", (F.col("pos") - F.col("at")).alias("diagonal"), "at")
+    met = postings(index, anchors).select("d", "k", "i", (F.col("pos") - F.col("at")).alias("diagonal"), "at")
     # A group has at most the item's places.
     lists = met.groupBy("d", "k", "i", "diagonal").agg(F.collect_set("at").alias("at"))
     rare = anchors.select("i", "rare", F.expr("array_min(transform(rare, r -> size(r)))").alias("least"))
@@ -87,48 +127,60 @@ def diagonals(index: DataFrame, anchors: DataFrame) -> DataFrame:
     return met_by.where("exists(rare, r -> size(array_except(r, at)) = 0)").select("d", "k", "i", "diagonal")
 
 
-def exact_hits(docs: DataFrame, found: DataFrame, tests: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, d, k, n_words, hits: per item that occurs, its id and the places of its windows."""
-    found = materialize(found.join(tests, "i"), "diagonals")
-    few = maybe_broadcast(found, BROADCAST_ROWS) is not found
-    by_doc = found.groupBy("d", "k").agg(F.collect_list(F.struct("item_id", "diagonal", "words")).alias("candidates"))
-    by_doc = F.broadcast(by_doc) if few else by_doc
-    same = f"""transform(candidates, c -> struct(c.item_id as item_id, c.diagonal as diagonal, least({window}, size(c.words)) as n,
-      filter(sequence(0, greatest(size(c.words) - {window}, 0)), s ->
-        if(c.diagonal + s >= 0, slice(words, c.diagonal + s + 1, least({window}, size(c.words))) = slice(c.words, s + 1, {window}), false)) as starts))"""
-    joined = docs.join(by_doc, ["d", "k"], "left")
-    return joined.select("doc_id", "d", "k", F.size("words").cast("long").alias("n_words"), F.expr(f"filter({same}, h -> size(h.starts) > 0)").alias("hits"))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, d, k, n_words, n_hit, item_ids of every row."""
-    keyed, tests = _keyed(docs), materialize(items(benchmark), "items")
-    anchors = materialize(anchored(tests, keyed, window), "anchored")
-    found = exact_hits(keyed, diagonals(postings(keyed, anchors), anchors), tests, window)
-    places = "array_distinct(flatten(flatten(transform(hits, h -> transform(h.starts, s -> sequence(h.diagonal + s, h.diagonal + s + h.n - 1))))))"
-    return found.select("doc_id", "d", "k", "n_words", F.coalesce(F.expr(f"cast(if(hits is null, 0, size({places})) as long)"), F.lit(0)).alias("n_hit"), F.expr("coalesce(array_sort(array_distinct(transform(hits, h -> cast(h.item_id as string)))), array())").alias("item_ids"))
+def exact_matches(index: PositionalIndex, found: DataFrame, tests: DataFrame, window: int = WINDOW) -> DataFrame:
+    """d, k, item_id, diagonal, n (words of a window), starts: where an item's windows occur.
 
-
-def proximity(docs: DataFrame, benchmark: DataFrame, slop: int, window: int = WINDOW) -> DataFrame:
+    The postings that a candidate lacks are looked up by document, word and position,
+    so each finds one row at most.
+    """
+    wanted = found.join(tests.select("i", "words"), "i").select("d", "k", "i", "diagonal", F.posexplode("words").alias("at", "word"))
+    wanted = materialize(wanted.select("d", "k", "word", (F.col("diagonal") + F.col("at")).alias("pos"), "i", "diagonal", "at").where("pos >= 0"), "wanted-postings")
+    places = wanted.groupBy("d", "k", "word", "pos").agg(F.collect_set(F.struct("i", "diagonal", "at")).alias("places"))
+    if small_enough(wanted, BROADCAST_ROWS):
+        there = index.postings.join(F.broadcast(places), ["d", "k", "word", "pos"])
+    else:
+        some = maybe_broadcast(materialize(wanted.select("d", "k").distinct(), "candidate-documents"), BROADCAST_ROWS)
+        there = index.postings.join(some, ["d", "k"], "left_semi").join(places, ["d", "k", "word", "pos"])
+    each = there.select("d", "k", F.explode("places").alias("p")).groupBy("d", "k", "p.i", "p.diagonal").agg(F.sort_array(F.collect_set("p.at")).alias("at"))
+    sized = each.join(tests.select("i", "item_id", F.least(F.size("words"), F.lit(window)).alias("n")), "i")
+    return sized.select("d", "k", "item_id", "diagonal", "n", F.expr("filter(at, (x, j) -> get(at, j + n - 1) = x + n - 1)").alias("starts")).where("size(starts) > 0")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, index: PositionalIndex | None = None) -> DataFrame:
+    """doc_id, d, k, n_words, n_hit, item_ids of every row; ``index`` is that of ``docs``, which is built otherwise."""
+    tests = materialize(items(benchmark), "items")
+    index = index or build_index(docs, new_path(docs.sparkSession, "positional-index"))
+    anchors = materialize(anchored(tests, index, window), "anchored")
+    found = materialize(diagonals(index, anchors), "diagonals")
+    places = "array_distinct(flatten(flatten(collect_list(transform(starts, s -> sequence(diagonal + s, diagonal + s + n - 1))))))"
+    hits = exact_matches(index, found, tests, window).groupBy("d", "k").agg(F.expr(f"cast(size({places}) as long)").alias("n_hit"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    known = index.documents().join(maybe_broadcast(materialize(hits, "hits"), BROADCAST_ROWS), ["d", "k"], "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_keys()).join(known, ["d", "k"], "left")
+    none = F.lit(0).cast("long")
+    return rows.select("doc_id", "d", "k", F.coalesce("n_words", none).alias("n_words"), F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("item_ids", F.expr("cast(array() as array<string>)")).alias("item_ids"))
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame, slop: int = SLOP, window: int = WINDOW, index: PositionalIndex | None = None) -> DataFrame:
     """doc_id, item_id, n: pairs of anchors of a window that lie within ``slop`` words of their distance in the item.
 
     Diagonals are cut into buckets of slop + 1, so each posting meets only those in
     its own and the two next buckets.
     """
-    keyed, tests = _keyed(docs), materialize(items(benchmark), "items")
-    anchors = materialize(anchored(tests, keyed, window), "anchored")
-    index = postings(keyed, anchors)
-    windows = anchors.select("i", "words", F.explode("rare").alias("r")).where("size(r) > 1").distinct()
+    tests = materialize(items(benchmark), "items")
+    index = index or build_index(docs, new_path(docs.sparkSession, "positional-index"))
+    anchors = materialize(anchored(tests, index, window), "anchored")
+    windows = anchors.select("i", F.explode("rare").alias("r")).where("size(r) > 1").distinct()
+    met = materialize(postings(index, anchors).distinct(), "anchor-postings")
 
     def side(n: int) -> DataFrame:
-        at = F.expr(f"r[{n}]")
-        return windows.select("i", F.col("r"), at.alias("at"), F.expr(f"words[r[{n}]]").alias("word")).join(index, "word").select("d", "k", "i", "r", (F.col("pos") - F.col("at")).alias(f"diagonal{n}"))
+        mine = windows.select("i", "r", F.expr(f"r[{n}]").alias("at"))
+        return met.join(maybe_broadcast(materialize(mine, "windows"), BROADCAST_ROWS), ["i", "at"]).select("d", "k", "i", "r", (F.col("pos") - F.col("at")).alias(f"diagonal{n}"))
 
     left = side(0).withColumn("bucket", F.floor(F.col("diagonal0") / (slop + 1)))
     right = side(1).withColumn("bucket", F.explode(F.expr(f"sequence(floor(diagonal1 / {slop + 1}) - 1, floor(diagonal1 / {slop + 1}) + 1)")))
     near = left.join(right, ["d", "k", "i", "r", "bucket"]).where(F.abs(F.col("diagonal0") - F.col("diagonal1")) <= slop)
     counted = near.groupBy("d", "k", "i").agg(F.count(F.lit(1)).alias("n")).join(tests.select("i", "item_id"), "i")
-    return counted.join(keyed.select("d", "k", "doc_id"), ["d", "k"]).select("doc_id", "item_id", "n")
+    return counted.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_keys()), ["d", "k"]).select("doc_id", "item_id", "n")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -143,6 +195,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def proximity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proximity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 ORACLE = r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),

@@ -2,13 +2,16 @@
 
 The index is a Parquet table bucketed and sorted by digest. A batch is reduced to
 one row per digest with map-side aggregation, anti-joined to the index without
-moving the index, and what is new is appended. Only built-in expressions are used.
+moving the index, and what is new is appended. What the index says about the batch's
+digests is looked up the same way, so nothing else of the index is ever read into a
+join or broadcast. Only built-in expressions are used.
 
 Defined results: a null text counts as empty; texts are equal when they are after
 deleting every space, tab, line feed, vertical tab, form feed and carriage return.
 Of equal texts the row with the most code points in the original stays, then the
 smallest doc_id (a null doc_id comes last). Rows that repeat a doc_id and its text
-are one document and share its decision. An empty table gives an empty result.
+are one document and share its decision. A group's size counts the copies in all
+batches up to and including the one that is decided. An empty table gives an empty result.
 Other columns, whatever their names, pass through ``drop_copies`` untouched.
 """
 
@@ -56,8 +59,10 @@ def representatives(rows: DataFrame) -> DataFrame:
 class DigestIndex:
     """A bucketed, sorted table of the digests seen so far.
 
-    Give the ``path`` of an earlier index to continue it; the metastore entry is
-    made anew for each session from the bucket specification.
+    A digest has one row that says which document stays, from the batch that brought it
+    (``first``), and one row with its count from each later batch. Give the ``path`` of an
+    earlier index to continue it; the metastore entry is made anew for each session from
+    the bucket specification.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
@@ -66,27 +71,36 @@ class DigestIndex:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.table = f"textloom_digests_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, keep_code_points BIGINT, copies BIGINT) USING parquet "
+            f"CREATE TABLE {self.table} (digest BINARY, first BOOLEAN, keep_id BIGINT, keep_code_points BIGINT, copies BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
-    def read(self) -> DataFrame:
+    def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def read(self) -> DataFrame:
+        """digest, keep_id, keep_code_points, copies (in all batches): one row per digest; the index is not moved."""
+        kept = F.max(F.when(F.col("first"), F.struct("keep_id", "keep_code_points"))).alias("kept")
+        return self.rows().groupBy("digest").agg(kept, F.sum("copies").alias("copies")).select("digest", "kept.keep_id", "kept.keep_code_points", "copies")
+
     def append(self, rows: DataFrame) -> DataFrame:
-        """Adds the digests of a batch that the index lacks; returns the index after that.
+        """Adds the digests of a batch; returns the batch's digests as the index has them then.
 
-        A digest that is already there keeps its earlier row: an index never takes
-        back a decision on a batch that has gone out.
+        Those that the index lacks are found by a sort-merge anti-join. A digest that is
+        already there keeps its earlier document: an index never takes back a decision on
+        a batch that has gone out. ``in_batch`` counts the copies in this batch.
         """
-        fresh = representatives(rows).hint("merge").join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+        batch = materialize(representatives(rows), "batch-digests")
+        known = self.rows().where("first").select("digest")
+        fresh = batch.hint("merge").join(known.hint("merge"), "digest", "left_anti").withColumn("first", F.lit(True))
+        again = batch.hint("merge").join(known.hint("merge"), "digest", "left_semi").select("digest", F.lit(None).cast("long").alias("keep_id"), F.lit(None).cast("long").alias("keep_code_points"), "copies", F.lit(False).alias("first"))
         (
-            fresh.repartition(self.buckets, "digest")
+            fresh.unionByName(again).select("digest", "first", "keep_id", "keep_code_points", "copies").repartition(self.buckets, "digest")
             .write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest")
             .option("path", self.path).saveAsTable(self.table)
         )
         self.spark.catalog.refreshTable(self.table)
-        return self.read()
+        return batch.select("digest", F.col("copies").alias("in_batch")).hint("merge").join(self.read().hint("merge"), "digest")
 
     def forget(self) -> None:
         """Removes the session's metastore entry; the files stay."""
@@ -95,12 +109,14 @@ class DigestIndex:
 
 def _decided(docs: DataFrame, index: DigestIndex | None) -> DataFrame:
     """doc_id, digest, code_points, keep_id, copies, kept of every row."""
-    spark = docs.sparkSession
     rows = materialize(digests(docs), "digests")
-    found = (index or DigestIndex(spark)).append(rows)
-    total = rows.count()
+    used = index or DigestIndex(docs.sparkSession)
+    # Only the batch's digests go on, and its own counts tell which of them are hot.
+    found = materialize(used.append(rows), "batch-decisions")
+    if index is None:
+        used.forget()
     kept = F.expr("doc_id <=> keep_id AND code_points = keep_code_points").alias("kept")
-    return join_counted(rows, found, "digest", "copies", total).select("doc_id", "digest", "code_points", "keep_id", "copies", kept)
+    return join_counted(rows, found, "digest", "in_batch", rows.count()).select("doc_id", "digest", "code_points", "keep_id", "copies", kept)
 
 
 def exact_groups(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:

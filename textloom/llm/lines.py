@@ -6,9 +6,12 @@ distinct line puts its segments into an index under (length, segment number,
 segment), and probes the index with the substrings of itself that could be a
 segment of a line that is as long or up to ``threshold`` characters shorter; the
 admissible places follow from how many edits can lie left and right of the segment
-(Li et al., PASS-JOIN). Keys that many lines share are compared in blocks. Pairs that meet are verified with a banded bit-parallel edit
-distance: a band of 2 * threshold + 1 diagonals in one integer that slides along the
-lines (Hyyro, 2003). Only built-in expressions are used.
+(Li et al., PASS-JOIN). Index and probes go through one exchange by key; a key under
+which the index has no other line ends there. Keys that hold a thousandth of the
+lines are dealt out before it, and keys that many lines share are compared in
+blocks. Pairs that meet are verified with a banded bit-parallel edit distance: a band
+of 2 * threshold + 1 diagonals in one integer that slides along the lines (Hyyro,
+2003). Only built-in expressions are used.
 
 Links make classes. The first occurrence of a class (smallest doc_id, then line
 number) stays and all other occurrences go, exact copies included.
@@ -16,14 +19,15 @@ number) stays and all other occurrences go, exact copies included.
 Defined results: lines end at a line feed; white space (space, 0x09-0x0D) is trimmed
 and its runs count as one space. Lines that are empty then are no lines: they are not
 counted and never removed. Lines shorter than ``min_chars`` code points have exact
-copies only. Lines are told apart by a 64-bit hash. A null text has no lines, a null
-doc_id comes last in the order. Rows that repeat a doc_id and its text are one
-document. Empty tables give empty results.
+copies only. Lines meet by 63-bit hashes, but are told apart by their MD5 and verified
+by their characters. A null text has no lines, a null doc_id comes last in the order.
+Rows that repeat a doc_id and its text are one document. Empty tables give empty
+results. Columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.components import components
@@ -34,6 +38,8 @@ THRESHOLD, MIN_CHARS = 2, 20
 BROADCAST_ROWS = 200_000
 #: A key of the index with more lines than this is hot; lines of a block that such keys are cut into.
 HOT_LINES, BLOCK_LINES = 32, 256
+#: A key of at least so many lines, and of a thousandth of all, is dealt out to SALTS tasks.
+SALTED_LINES, SALTS = 10_000, 64
 #: Letters whose counts make the signature of a line.
 SIGNED = "etaoinsrhldcumfpgb"
 _LAST = (1 << 63) - 1
@@ -50,6 +56,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return split.select("doc", "k", "at", tidy.alias("line")).where("line <> ''")
 
 
+def _id() -> Column:
+    return F.unhex(F.md5("line"))
+
+
 def _segments(threshold: int) -> list[tuple[str, str]]:
     """Start (from 0) and length of each segment of a line of ``n`` characters, as SQL over n."""
     parts = threshold + 1
@@ -57,22 +67,23 @@ def _segments(threshold: int) -> list[tuple[str, str]]:
     return [(f"({i} * {base} + greatest(0, {i} - {short}))", f"({base} + if({i} >= {short}, 1, 0))") for i in range(parts)]
 
 
-def index_keys(threshold: int) -> Column:
-    keys = [f"xxhash64(n, {i}, substring(line, {start} + 1, {size}))" for i, (start, size) in enumerate(_segments(threshold))]
-    return F.expr(f"array({', '.join(keys)})")
-
+def keys(threshold: int, min_chars: int) -> Column:
+    """Keys of a line's own segments, then of its other substrings that can be segments of lines up to ``threshold`` shorter.
 
-def probe_keys(threshold: int, min_chars: int) -> Column:
-    """Keys of the substrings that can be segments of lines up to ``threshold`` shorter."""
-    keys = []
+    Null where a substring would not lie in the line.
+    """
+    own, others = [], []
     for shorter in range(threshold + 1):
         for i, (start, size) in enumerate(_segments(threshold)):
             start, size = (x.replace("n ", f"(n - {shorter}) ") for x in (start, size))
             # i edits at most are to the left of the segment, threshold - i to its right.
             for move in range(max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i)) + 1):
                 key = f"xxhash64(n - {shorter}, {i}, substring(line, {start} + {move} + 1, {size}))"
-                keys.append(f"if(n - {shorter} >= {min_chars} and {start} + {move} >= 0 and {start} + {move} + {size} <= n, {key}, null)")
-    return F.expr(f"array_distinct(array_compact(array({', '.join(keys)})))")
+                if shorter == move == 0:
+                    own.append(key)
+                else:
+                    others.append(f"if(n - {shorter} >= {min_chars} and {start} + {move} >= 0 and {start} + {move} + {size} <= n, {key}, null)")
+    return F.expr(f"array({', '.join(own + others)})")
 
 
 def signature(line: Column) -> Column:
@@ -80,40 +91,65 @@ def signature(line: Column) -> Column:
     return F.array(*[(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).alias(c) for c in SIGNED])
 
 
-def candidates(lines: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """a, b: hashes of lines that meet in the index; ``lines`` has the distinct lines.
+def _ref() -> Column:
+    """A line's hash with the last bit free."""
+    return F.xxhash64("line").bitwiseAND(F.lit(-2))
+
+
+def met_keys(lines: DataFrame, threshold: int, min_chars: int, total: int) -> DataFrame:
+    """key, ref, n_own: lines under keys where the index has a line and something else meets it.
+
+    ``lines`` has the distinct lines, of at most ``total`` occurrences. The last bit of
+    ``ref`` tells the index from the probes; n_own counts the key's lines in the index.
+    """
+    sized = lines.select("line", F.length("line").alias("n"))
+    parts = threshold + 1
+    exploded = sized.select(_ref().alias("h"), F.posexplode(keys(threshold, min_chars)).alias("at", "key")).where("key is not null")
+    index = sized.select(F.explode(F.slice(keys(threshold, min_chars), 1, parts)).alias("key"))
+    # At most 1000 keys for each segment can be that hot, whatever the input.
+    hot = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(SALTED_LINES, total // 1000)).select("key", F.lit(True).alias("hot"))
+    tagged = exploded.join(F.broadcast(hot), "key", "left").select("key", F.when(F.col("at") < parts, F.col("h") + 1).otherwise(F.col("h")).alias("ref"), F.when(F.col("hot"), F.pmod("h", F.lit(2 * SALTS)).cast("int")).alias("salt"))
+    by_key = Window.partitionBy("key", "salt")
+    counted = tagged.repartition("key", "salt").withColumns({"n_own": F.sum(F.col("ref").bitwiseAND(F.lit(1))).over(by_key), "n": F.count(F.lit(1)).over(by_key)})
+    return materialize(counted.where("salt is not null or n > 1 and n_own > 0").select("key", "ref", F.when(F.col("salt").isNotNull(), F.lit(1 << 62)).otherwise(F.col("n_own")).alias("n_own")), "line-keys")
+
+
+def candidates(lines: DataFrame, threshold: int, min_chars: int, total: int, texts: DataFrame) -> DataFrame:
+    """a, b: refs of lines that meet in the index; ``texts`` has lines from which signatures are made.
 
     A key with over HOT_LINES lines in the index makes no rows of pairs. Its lines are
     dealt into blocks, and pairs of blocks are compared by signature within a row.
     """
-    sized = lines.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("h")).where(F.col("n") >= min_chars)
-    index = sized.select(F.col("h").alias("s"), F.explode(index_keys(threshold)).alias("key")).repartition("key")
-    probes = sized.select(F.col("h").alias("r"), F.explode(probe_keys(threshold, min_chars)).alias("key")).repartition("key")
-    # Counting and both joins use the partitioning by key.
-    hot = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_LINES).select("key")
-    cold = probes.join(index.join(hot.hint("shuffle_hash"), "key", "left_anti").hint("shuffle_hash"), "key").where("r <> s")
-    none = F.lit(None).cast("long")
-    found = cold.select(none.alias("key"), F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b"))
-    in_hot = [side.join(hot.hint("shuffle_hash"), "key", "left_semi") for side in (probes, index)]
-    found = found.unionByName(in_hot[0].select("key", F.col("r").alias("a"), none.alias("b"))).unionByName(in_hot[1].select("key", none.alias("a"), F.col("s").alias("b")))
-    found = materialize(found, "line-keys")
-    pairs = found.where("key is null").select("a", "b")
-    return pairs.unionByName(_hot_pairs(found.where("key is not null"), lines, threshold)).distinct()
-
-
-def _hot_pairs(rows: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
-    """a, b: lines of the same hot key whose signatures allow for the threshold."""
-    wanted = materialize(rows.select(F.coalesce("a", "b").alias("h")).distinct(), "hot-line-ids")
-    signed = lines.select("line", F.xxhash64("line").alias("h")).join(maybe_broadcast(wanted, BROADCAST_ROWS), "h").select("h", F.length("line").alias("n"), signature(F.col("line")).alias("signed"))
+    met = met_keys(lines, threshold, min_chars, total)
+    line = F.col("ref").bitwiseAND(F.lit(-2))
+    sides = [met.where(f"n_own <= {HOT_LINES}").select("key", line.alias("r")), met.where(f"n_own <= {HOT_LINES} and ref & 1 = 1").select("key", line.alias("s"))]
+    pairs = sides[0].join(sides[1], "key").where("r <> s").select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b"))
+    hot = met.where(f"n_own > {HOT_LINES}").select("key", line.alias("h"), (F.col("ref").bitwiseAND(F.lit(1)) == 1).alias("own"))
+    if not hot.isEmpty():
+        pairs = pairs.unionByName(_hot_pairs(hot, texts, threshold))
+    return materialize(pairs.distinct(), "line-pairs")
+
+
+def _hot_pairs(rows: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """a, b: lines of the same hot key (key, h, own) whose signatures allow for the threshold.
+
+    A part of a key holds a block of its lines as probes and a block as the index.
+    """
+    wanted = materialize(rows.select("h").distinct(), "hot-line-ids")
+    signed = texts.select("line", _ref().alias("h")).join(maybe_broadcast(wanted, BROADCAST_ROWS), "h").select("h", F.length("line").alias("n"), signature(F.col("line")).alias("signed"))
     signed = materialize(signed.distinct(), "signatures")
-    known = materialize(rows.select("key", F.coalesce("a", "b").alias("h"), F.col("a").isNotNull().alias("probe")).join(signed, "h"), "hot-lines")
-    blocks = known.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_LINES).alias("blocks"))
-    dealt = known.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")))
-    sides = [dealt.where(f"probe = {probe}").groupBy("key", "block").agg(F.collect_list(F.struct("h", "n", "signed")).alias(name)) for probe, name in (("true", "x"), ("false", "y"))]
-    met = sides[0].join(sides[1].withColumnRenamed("block", "other"), "key")
+    sizes = materialize(rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_LINES).alias("x_blocks"), F.ceil(F.count_if("own") / BLOCK_LINES).alias("y_blocks"), F.count(F.lit(1)).alias("lines")), "hot-blocks")
+    dealt = join_counted(rows, sizes, "key", "lines", rows.count())
+
+    def side(own: str, mine: str, other: str, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("h"), f"{mine}_blocks").alias(mine)
+        each = dealt.where(own).select("key", "h", block, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_blocks") - 1)).alias(other))
+        return each.join(signed, "h").groupBy("key", "x", "y").agg(F.collect_list(F.struct("h", "n", "signed")).alias(name))
+
+    met = side("true", "x", "y", "probes").join(side("own", "y", "x", "index"), ["key", "x", "y"])
     change = "aggregate(zip_with(p.signed, q.signed, (u, v) -> abs(u - v)), 0, (t, e) -> t + e)"
-    close = f"filter(y, q -> p.h <> q.h and p.n - q.n between 0 and {threshold} and {change} <= {2 * threshold})"
-    pairs = met.select(F.explode(F.expr(f"flatten(transform(x, p -> transform({close}, q -> struct(least(p.h, q.h) as a, greatest(p.h, q.h) as b))))")).alias("pair"))
+    close = f"filter(index, q -> p.h <> q.h and p.n - q.n between 0 and {threshold} and {change} <= {2 * threshold})"
+    pairs = met.select(F.explode(F.expr(f"flatten(transform(probes, p -> transform({close}, q -> struct(least(p.h, q.h) as a, greatest(p.h, q.h) as b))))")).alias("pair"))
     return pairs.select("pair.a", "pair.b")
 
 
@@ -139,56 +175,63 @@ def edit_distance(a: str, b: str, threshold: int) -> str:
     return f"aggregate(if(size({b}) = 0, array(), sequence(1, size({b}))), {start}, (s, j) -> if(s.score > {2 * k}, s, {chain}), s -> if(size({b}) = 0, size({a}), least(s.score, {k + 1})))"
 
 
-def verified(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
-    """The pairs within the threshold; only the lines of pairs are looked up."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-ids")
-    texts = lines.select("line", F.xxhash64("line").alias("h")).join(maybe_broadcast(wanted, BROADCAST_ROWS), "h").distinct()
-    texts = materialize(texts, "line-texts").select("h", signature(F.col("line")).alias("signed"), F.expr("transform(regexp_extract_all(line, '(?s).', 0), c -> ascii(c))").alias("points"))
-    sides = [texts.select(F.col("h").alias(c), F.col("points").alias(f"points_{c}"), F.col("signed").alias(f"signed_{c}")) for c in "ab"]
+def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """a, b (MD5 of lines), distance: the pairs of refs within the threshold; only the lines of pairs are looked up."""
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-refs")
+    found = texts.select("line", _ref().alias("h")).join(maybe_broadcast(wanted, BROADCAST_ROWS), "h").distinct()
+    found = materialize(found, "line-texts").select("h", _id().alias("id"), signature(F.col("line")).alias("signed"), F.expr("transform(regexp_extract_all(line, '(?s).', 0), c -> ascii(c))").alias("points"))
+    sides = [found.select(F.col("h").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("id", "points", "signed"))) for c in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
     # Most pairs differ by so many letters that nothing else needs to be compared.
     change = "aggregate(zip_with(signed_a, signed_b, (u, v) -> abs(u - v)), 0, (t, e) -> t + e)"
     both = both.where(f"abs(size(points_a) - size(points_b)) <= {threshold} and {change} <= {2 * threshold}")
-    ordered = both.selectExpr("a", "b", "if(size(points_a) >= size(points_b), points_a, points_b) x", "if(size(points_a) >= size(points_b), points_b, points_a) y")
-    return ordered.withColumn("distance", F.expr(edit_distance("x", "y", threshold))).where(f"distance <= {threshold}").select("a", "b", "distance")
+    ordered = both.selectExpr("id_a", "id_b", "if(size(points_a) >= size(points_b), points_a, points_b) x", "if(size(points_a) >= size(points_b), points_b, points_a) y")
+    near = ordered.withColumn("distance", F.expr(edit_distance("x", "y", threshold))).where(f"distance <= {threshold}")
+    return near.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "distance")
 
 
-def links(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """a, b, distance: pairs of different lines, by hash, within the threshold."""
-    distinct = occurrences(docs).select("line").distinct()
-    pairs = materialize(candidates(distinct, threshold, min_chars), "line-pairs")
-    return materialize(verified(pairs, occurrences(docs).select("line"), threshold), "line-links")
+def links(docs: DataFrame, total: int, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """a, b, distance: pairs of different lines, by MD5, within the threshold."""
+    texts = occurrences(docs).select("line").where(F.length("line") >= min_chars)
+    pairs = candidates(texts.distinct(), threshold, min_chars, total, texts)
+    return materialize(verified(pairs, texts, threshold), "line-links")
 
 
 def decisions(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc, k, at, h, n_links, kept for each line of each document."""
-    each = materialize(occurrences(docs).select("doc", "k", "at", F.xxhash64("line").alias("h")).distinct(), "lines")
-    near = links(docs, threshold, min_chars)
+    """doc, k, at, id, n_links, kept for each line of each row."""
+    each = materialize(occurrences(docs).select("doc", "k", "at", _id().alias("id")), "lines")
+    total = each.count()
+    near = links(docs, total, threshold, min_chars)
     roots = components(near.select("a", "b"))
-    degree = near.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
-    first = each.groupBy("h").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    classes = first.join(roots.withColumnRenamed("node", "h"), "h", "left").join(degree, "h", "left").withColumn("root", F.coalesce("root", "h"))
-    heads = classes.groupBy("root").agg(F.min("first").alias("head"))
+    degree = near.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    first = each.groupBy("id").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = first.join(roots.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left").withColumn("root", F.coalesce("root", "id"))
     # Lines that occur once and are like no other stay and need no lookup.
-    shared = materialize(classes.where("copies > 1 or n_links is not null").join(heads, "root").select("h", "copies", "head", F.coalesce("n_links", F.lit(0)).alias("n_links")), "line-classes")
-    found = join_counted(each, shared, "h", "copies", each.count(), "left")
-    return found.select("doc", "k", "at", "h", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("head").isNull() | ((F.col("doc") == F.col("head.doc")) & (F.col("at") == F.col("head.at")))).alias("kept"))
+    classes = materialize(classes.where("copies > 1 or n_links is not null"), "line-classes")
+    heads = classes.groupBy("root").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("members"))
+    heads = materialize(heads, "line-heads")
+    shared = join_counted(classes.select("id", "root", "copies", "n_links"), heads, "root", "members", classes.count())
+    shared = materialize(shared.select("id", "copies", "head", F.coalesce("n_links", F.lit(0)).alias("n_links")), "shared-lines")
+    found = join_counted(each, shared, "id", "copies", total, "left")
+    return found.select("doc", "k", "at", "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("head").isNull() | ((F.col("doc") == F.col("head.doc")) & (F.col("at") == F.col("head.at")))).alias("kept"))
 
 
 def summaries(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """Per row: doc_id, n_lines, n_links, n_removed, kept_lines_sha256.
 
     n_links counts the different lines that are near each of its lines. The digest
-    covers the hashes of the lines that stay, in order, as comma-joined decimals.
+    covers the MD5 of the lines that stay, in order, in hex and comma-joined.
     """
-    per_doc = decisions(docs, threshold, min_chars).groupBy("doc", "k").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum("n_links").alias("n_links"), F.count_if(~F.col("kept")).alias("n_removed"),
-        F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("at", "h")))).alias("lines"),
-    )
+    # Rows that repeat a document bring the same lines, of which the set holds one.
+    lines = F.array_sort(F.collect_set(F.struct("at", "id", "n_links", "kept"))).alias("lines")
+    per_doc = decisions(docs, threshold, min_chars).groupBy("doc", "k").agg(lines)
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("k"))
-    none = F.lit(0).cast("long")
-    kept = F.sha2(F.concat_ws(",", F.transform(F.coalesce("lines", F.expr("cast(array() as array<struct<at:int,h:bigint>>)")), lambda x: x["h"].cast("string"))), 256)
-    return keys.join(per_doc, ["doc", "k"], "left").select("doc_id", *(F.coalesce(c, none).alias(c) for c in ("n_lines", "n_links", "n_removed")), kept.alias("kept_lines_sha256"))
+    found = keys.join(per_doc, ["doc", "k"], "left").withColumn("lines", F.coalesce("lines", F.expr("cast(array() as array<struct<at:int,id:binary,n_links:bigint,kept:boolean>>)")))
+    kept = F.expr("array_join(transform(filter(lines, x -> x.kept), x -> lower(hex(x.id))), ',')")
+    return found.select(
+        "doc_id", F.size("lines").cast("long").alias("n_lines"), F.expr("aggregate(lines, 0L, (t, x) -> t + x.n_links)").alias("n_links"),
+        F.expr("cast(size(filter(lines, x -> not x.kept)) as long)").alias("n_removed"), F.sha2(kept, 256).alias("kept_lines_sha256"),
+    )
 
 
 def drop_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:

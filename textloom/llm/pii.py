@@ -1,16 +1,20 @@
 """Personal data: fixed forms as seeds, and contextual extraction bootstrapped from them.
 
 Base spans are e-mail addresses, IPv4 addresses, payment card numbers and telephone
-numbers of fixed forms. The bootstrap then treats them as seed instances:
-
-1. Every mention (a seed, or a candidate: a token with at least four digits that
-   overlaps no base span) gives lexical patterns from its neighbouring words: the
-   word before, the two words before, and the words on both sides.
+numbers of fixed forms. The bootstrap treats them as seed instances, and so it does
+access secrets of the strictest form: a key word, an equals sign and a quoted run of
+at least 32 lower-case hexadecimal digits.
+
+1. Every mention gives lexical patterns from the words and marks around it: one to
+   three before it, alone and with the one behind it. Mentions are seeds and
+   candidates. A candidate is a run of identifier characters, however long, that
+   overlaps no seed and has four digits or follows an equals sign or colon.
 2. Patterns and instances form a graph. In each round a pattern's confidence for a
    kind is the mean confidence of its distinct instances, if enough different seeds
    support it; an instance's is that of any of its confident patterns being right
    (noisy or). Seeds keep confidence 1 for their kind and 0 for others.
-3. Candidates that end above the limit are spans of that kind, besides the base ones.
+3. Candidates that end above the limit are spans of that kind, besides the base ones
+   and the seed secrets.
 
 Offsets are code points. They come from the lengths of the pieces between matches, so
 Spark's own regular expressions do all the scanning; the forms use possessive
@@ -31,6 +35,8 @@ from textloom.functions.text import lower_ascii
 from textloom.storage import materialize, read_table
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of all spans, in their order.
+ALL_KINDS = (*KINDS, "secret")
 #: By kind: the form, and what a text must match to be worth searching.
 _LOCAL = "[A-Za-z0-9._%+-]"
 FORMS = {
@@ -40,7 +46,12 @@ FORMS = {
     "card": (r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){12}"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 }
-_CANDIDATE = (r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._@+-]{3,63}", r"[0-9]")
+_IDENTIFIER, _MARKS = "[A-Za-z0-9._@+-]", "[._@+-]"
+#: A run with four digits, tried from its first character only, or one that is assigned.
+_CANDIDATE = (rf"(?<!{_IDENTIFIER})(?=(?:[A-Za-z._@+-]*+[0-9]){{4}}){_IDENTIFIER}++|(?<=[=:]\x20?[\x22\x27]?){_IDENTIFIER}{{4,}}+", r"[0-9=:]")
+#: Key words that may stand before a seed secret, and its form.
+KEY_WORDS = ("token", "secret", "password", "api_key", "access_key")
+_SECRET = (rf"(?<=\b(?:{'|'.join(KEY_WORDS)})\x20?=\x20?\x22)[0-9a-f]{{32,}}+(?=\x22)", "=\x20?\x22[0-9a-f]{32}")
 #: Characters on each side of a mention that its patterns may look at.
 REACH = 80
 #: Distinct seeds of a pattern, its least confidence, an instance's least confidence, rounds.
@@ -74,7 +85,7 @@ def mentions(docs: DataFrame, form: str, worth: str, kind: str | None) -> DataFr
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """Mentions of all kinds that pass the checks of their kind."""
+    """Mentions of all base kinds that pass the checks of their kind."""
     found = None
     for kind in KINDS:
         one = mentions(docs, *FORMS[kind], kind)
@@ -83,34 +94,41 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def candidates(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """Mentions of tokens with at least four digits that overlap no base span."""
-    found = mentions(docs, *_CANDIDATE, None).where(F.length(F.regexp_replace("value", "[^0-9]", "")) >= 4).distinct()
-    taken = base.select("d", "k", F.col("start").alias("b"), F.col("stop").alias("e"))
+def _apart(found: DataFrame, taken: DataFrame) -> DataFrame:
+    """The mentions that overlap none of the others."""
+    taken = taken.select("d", "k", F.col("start").alias("b"), F.col("stop").alias("e"))
     return found.join(taken, (found["d"] == taken["d"]) & (found["k"] == taken["k"]) & (found["start"] < F.col("e")) & (found["stop"] > F.col("b")), "left_anti")
 
 
+def candidates(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Mentions of identifiers that overlap no seed, without marks at their ends."""
+    found = mentions(docs, *_CANDIDATE, None)
+    lead, trail = F.length(F.regexp_extract("value", rf"^{_MARKS}*", 0)), F.length(F.regexp_extract("value", rf"{_MARKS}*$", 0))
+    found = found.withColumns({"lead": lead, "trail": trail}).where("lead + trail < length(value)")
+    bare = F.expr("substring(value, lead + 1, length(value) - lead - trail)")
+    found = found.select("d", "k", "kind", (F.col("start") + F.col("lead")).alias("start"), (F.col("stop") - F.col("trail")).alias("stop"), bare.alias("value"), F.expr("concat(before, left(value, lead))").alias("before"), F.expr("concat(right(value, trail), after)").alias("after"))
+    return _apart(found.where(F.length("value") >= 4).distinct(), seeds)
+
+
 def patterns(found: DataFrame) -> DataFrame:
     """The rows of ``found`` with one row per pattern of each mention."""
 
-    def word(text: Column) -> Column:
-        return F.regexp_replace(lower_ascii(text), "[0-9]+", "0")
+    def parts(side: str) -> Column:
+        # A word, with any number as 0, or a mark.
+        return F.regexp_extract_all(F.regexp_replace(lower_ascii(F.col(side)), "[0-9]+", "0"), F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"), F.lit(0))
 
-    before, after = F.split(F.regexp_replace("before", r"\s+$", ""), r"\s+"), F.split(F.regexp_replace("after", r"^\s+", ""), r"\s+")
-    parts = found.withColumns({"w1": word(F.coalesce(F.try_element_at(before, F.lit(-1)), F.lit(""))), "w2": word(F.coalesce(F.try_element_at(before, F.lit(-2)), F.lit(""))), "v1": word(F.coalesce(F.try_element_at(after, F.lit(1)), F.lit("")))})
-    made = F.array(
-        F.when(F.col("w1") != "", F.concat_ws(" ", F.lit("1"), "w1")),
-        F.when((F.col("w1") != "") & (F.col("w2") != ""), F.concat_ws(" ", F.lit("2"), "w2", "w1")),
-        F.when((F.col("w1") != "") & (F.col("v1") != ""), F.concat_ws(" ", F.lit("3"), "w1", "v1")),
-    )
-    return parts.withColumn("pattern", F.explode(F.array_compact(made))).drop("w1", "w2", "v1", "before", "after")
+    with_parts = found.withColumns({"left": parts("before"), "right": F.coalesce(F.get(parts("after"), F.lit(0)), F.lit(""))})
+    made = []
+    for n in (1, 2, 3):
+        left = F.concat_ws(" ", F.lit(str(n)), F.slice("left", -n, n))
+        made += [F.when(F.size("left") >= n, left), F.when((F.size("left") >= n) & (F.col("right") != ""), F.concat_ws(" ", left, F.lit("_"), "right"))]
+    return with_parts.withColumn("pattern", F.explode(F.array_compact(F.array(*made)))).drop("left", "right", "before", "after")
 
 
-def bootstrap(base: DataFrame, others: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """d, k, kind, start, stop of the candidates that the bootstrap takes for personal data."""
-    edges = materialize(patterns(base.unionByName(others)).select("pattern", "value", F.col("kind").alias("seed")).distinct(), "edges")
+def bootstrap(known: DataFrame, others: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """d, k, kind, start, stop of the candidates ``others`` that the bootstrap, from the seeds ``known``, takes for personal data."""
+    edges = materialize(patterns(known.unionByName(others)).select("pattern", "value", F.col("kind").alias("seed")).distinct(), "edges")
     seeds = edges.where("seed is not null").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("confidence")).distinct()
-    open_edges = edges.where("seed is null").select("pattern", "value")
     instances = edges.groupBy("pattern").agg(F.count_distinct("value").alias("instances"))
     support = edges.where("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count_distinct("value").alias("seeds")).where(F.col("seeds") >= SUPPORT)
     # Only patterns with enough seeds can ever be confident.
@@ -118,14 +136,14 @@ def bootstrap(base: DataFrame, others: DataFrame, rounds: int = ROUNDS) -> DataF
     names = usable.select("pattern").distinct()
     edges = materialize(edges.join(names, "pattern", "left_semi"), "usable-edges")
     open_edges = edges.where("seed is null").select("pattern", "value")
-    known = seeds
-    taken = None
+    believed = seeds
     for _ in range(rounds):
-        held = edges.select("pattern", "value").distinct().join(known, "value").groupBy("pattern", "kind").agg(F.sum("confidence").alias("mass"))
+        held = edges.select("pattern", "value").distinct().join(believed, "value").groupBy("pattern", "kind").agg(F.sum("confidence").alias("mass"))
         scored = usable.join(held, ["pattern", "kind"]).select("pattern", "kind", (F.col("mass") / F.col("instances")).alias("confidence")).where(F.col("confidence") >= PATTERN_LIMIT)
+        scored = materialize(scored, "confident-patterns")
         doubt = F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))
         taken = materialize(open_edges.join(scored, "pattern").groupBy("value", "kind").agg((1 - doubt).alias("confidence")), "instances")
-        known = seeds.unionByName(taken)
+        believed = seeds.unionByName(taken)
     best = taken.where(F.col("confidence") >= INSTANCE_LIMIT).groupBy("value").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
     sure = materialize(best, "found-instances")
     good = scored.select("pattern", "kind")
@@ -136,8 +154,10 @@ def spans(docs: DataFrame) -> DataFrame:
     """d, k, kind, start, stop, base for every span; d and k identify the document."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64("text").alias("k"), "text")
     base = materialize(base_spans(keyed), "base-spans")
-    others = materialize(candidates(keyed, base), "candidate-mentions")
-    more = bootstrap(base, others)
+    secrets = materialize(_apart(mentions(keyed, *_SECRET, "secret").distinct(), base), "seed-secrets")
+    seeds = base.unionByName(secrets)
+    others = materialize(candidates(keyed, seeds), "candidate-mentions")
+    more = secrets.select("d", "k", "kind", "start", "stop").unionByName(bootstrap(seeds, others))
     return base.select("d", "k", "kind", "start", "stop", F.lit(True).alias("base")).unionByName(more.withColumn("base", F.lit(False)))
 
 
@@ -153,8 +173,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def summaries(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, counts of base spans by kind, base_sha256, spans."""
-    order = F.struct(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("o"), "start", "stop", "kind", "base")
+    """Per row: doc_id, counts of base spans by kind, base_sha256, spans, and the count of all spans."""
+    order = F.struct(F.array_position(F.array(*map(F.lit, ALL_KINDS)), F.col("kind")).alias("o"), "start", "stop", "kind", "base")
     per_doc = spans(docs).groupBy("d", "k").agg(F.array_sort(F.collect_list(order)).alias("all"))
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64("text").alias("k"))
     joined = keys.join(per_doc, ["d", "k"], "left")
@@ -164,7 +184,7 @@ def summaries(docs: DataFrame) -> DataFrame:
 
     counts = [F.expr(f"cast(coalesce(size(filter(all, s -> s.base and s.kind = '{kind}')), 0) as long)").alias(f"n_{kind}") for kind in KINDS]
     counts = [F.when(F.col("all").isNull(), F.lit(0).cast("long")).otherwise(c).alias(f"n_{kind}") for c, kind in zip(counts, KINDS, strict=True)]
-    return joined.select("doc_id", *counts, F.sha2(text("filter(all, s -> s.base)"), 256).alias("base_sha256"), text("all").alias("spans"))
+    return joined.select("doc_id", *counts, F.sha2(text("filter(all, s -> s.base)"), 256).alias("base_sha256"), text("all").alias("spans"), F.coalesce(F.array_size("all"), F.lit(0)).cast("long").alias("n_spans"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
