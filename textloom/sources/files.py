@@ -107,12 +107,20 @@ def office_scan(files: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """Elements of all files, by format. PDF needs a layout library and is left to a plug-in."""
-    text = files.withColumn("text", F.decode("content", "UTF-8"))
+    """Elements of all files, by format. PDF needs a layout library and is left to a plug-in.
+
+    Bytes that are not UTF-8 become U+FFFD, each file for itself.
+    """
+    text = files.withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
     html = html_scan(text.where("format = 'html'").select("doc_id", F.col("text").alias("html")), "doc_id")
     return text_scan(text.where("format = 'text'")).unionByName(markdown_scan(text.where("format = 'markdown'"))).unionByName(html).unionByName(office_scan(files.where("format in ('docx', 'pptx')")))
 
 
+def page_counts(elements: DataFrame) -> DataFrame:
+    """doc_id, page_count, n_elements of every document with elements."""
+    return elements.groupBy("doc_id").agg(F.max("page").alias("page_count"), F.count(F.lit(1)).alias("n_elements"))
+
+
 def convert(elements: DataFrame) -> DataFrame:
     """Elements with known labels, their modality, and defaults for page and confidence."""
     label = labels.known_label(F.col("label"))
