@@ -12,7 +12,7 @@ from textloom.operators import enrich, graphs, render, retrieval, safety, store
 from textloom.operators.components import components
 from textloom.skew import join_counted
 from textloom.sources import files
-from textloom.sources.html import page_elements
+from textloom.sources.html import html_scan
 from textloom.sources.text import markdown_scan, text_scan
 
 
@@ -164,8 +164,26 @@ def test_scans(spark):
     assert [(r.text, r.page) for r in text_scan(docs).collect()] == [("one", 1), ("two", 3)]
     md = spark.createDataFrame([("a", "# T\n#### x\n- i\n> q\n\nplain")], "doc_id string, text string")
     assert [(r.label, r.text) for r in markdown_scan(md).collect()] == [("document_title", "T"), ("paragraph", "#### x"), ("list_item", "i"), ("blockquote", "q"), ("paragraph", "plain")]
-    assert page_elements("<title>t</title><h1>H</h1>x<p>a<li>b</p><pre>c</pre>") == [("paragraph", "t"), ("document_title", "H"), ("paragraph", "xa"), ("list_item", "b"), ("code_block", "c")] or page_elements("<h1>H</h1><p>a") == [("document_title", "H"), ("paragraph", "a")]
-    assert page_elements(None) == []
+
+
+def test_html_elements_follow_the_tags(spark):
+    pages = {
+        1: ("<title>t</title><h1>H</h1>x<p>a<li>b</p><pre>c</pre>", [("paragraph", "t"), ("document_title", "H"), ("paragraph", "x"), ("paragraph", "a"), ("list_item", "b"), ("code_block", "c")]),
+        2: (None, []),
+        3: ("a &lt;p&gt; &notit; &amp;amp; &#65;&#x42;&#128; &nbsp;&hellip;&nbsp;", [("paragraph", "a <p> ¬it; &amp; AB€ \xa0…")]),
+        4: ("<P CLASS='a>b'>x &unknown; y<br/>z</P>q", [("paragraph", "x &unknown; yz"), ("paragraph", "q")]),
+        5: ("<!-- <p>no</p> --><h4>f", [("subsection_title", "f")]),
+        6: ("x<script>if(a<b && c){'<p>'}</script>y", [("paragraph", "xif(a<b && c){'<p>'}y")]),
+        7: ("<p>ok</p>tail &am", [("paragraph", "ok")]),
+        8: ("<p>ok</p>tail <a hre", [("paragraph", "ok"), ("paragraph", "tail")]),
+        9: ("&#xD800; &#0; &#99999999999;", [("paragraph", "� � �")]),
+    }
+    df = spark.createDataFrame([(k, v[0]) for k, v in pages.items()], "page_id long, html string")
+    got = {k: [] for k in pages}
+    for r in html_scan(df).orderBy("page_id", "seq").collect():
+        assert r.seq == len(got[r.page_id])
+        got[r.page_id].append((r.label, r.text))
+    assert got == {k: v[1] for k, v in pages.items()}
 
 
 def _office(name, body):
@@ -185,7 +203,8 @@ def test_files_of_all_formats(spark, tmp_path):
     (tmp_path / "c.docx").write_bytes(b"PK broken")
     (tmp_path / "d.md").write_text("# T")
     (tmp_path / "e.html").write_text("<p>x</p>")
+    (tmp_path / "bad.txt").write_bytes(b"caf\xe9 au lait")
     (tmp_path / "f.txt").write_text("plain")
     found = files.scan(files.load(spark, str(tmp_path))).collect()
-    assert sorted((r.label, r.text) for r in found if r.confidence) == sorted([("section_title", "Sec"), ("paragraph", "para"), ("table", "c1 | c2"), ("section_title", "Top"), ("paragraph", "below"), ("document_title", "T"), ("paragraph", "x"), ("paragraph", "plain")])
+    assert sorted((r.label, r.text) for r in found if r.confidence) == sorted([("section_title", "Sec"), ("paragraph", "para"), ("table", "c1 | c2"), ("section_title", "Top"), ("paragraph", "below"), ("document_title", "T"), ("paragraph", "x"), ("paragraph", "plain"), ("paragraph", "caf\ufffd au lait")])
     assert [r.text.startswith("[Parse error") for r in found if not r.confidence] == [True]

@@ -10,6 +10,7 @@ the page cuts off is left out with what would have been its text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
@@ -31,10 +32,16 @@ _BLANK = r"[\s\x1C-\x1F\x85\xA0  -     　]+"
 _LESS, _AND = "", ""
 
 
-def _interleaved(text: Column, pattern: str, change) -> Column:
+def _bound(value: Column, change: Callable[[Column], Column]) -> Column:
+    """``change`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), change), F.lit(0))
+
+
+def _interleaved(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
     """``text`` with each match of a pattern changed by a function of the match."""
+    # There is one piece more than there are matches.
     between, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(change(F.get(found, i)), F.lit("")))), "")
+    return F.array_join(F.zip_with(between, found, lambda x, y: F.concat(x, F.coalesce(change(y), F.lit("")))), "")
 
 
 def _unmarked(raw: Column) -> Column:
@@ -63,21 +70,23 @@ def _character(reference: Column) -> Column:
 
 def page_elements(html: Column) -> Column:
     """Array of (label, text): the elements of one page; none for a null page."""
-    page = F.coalesce(html, F.lit(""))
-    page = F.when(page.rlike(_RAW), _interleaved(page, _RAW, _unmarked)).otherwise(page)
-    # What the end cuts off: a tag, or the text that holds an open reference.
-    page = F.regexp_replace(page, r"""(?s)<[A-Za-z/!?](?:"[^"]*+"|'[^']*+'|[^'">])*+(?:["'][^>]*+)?$""", "")
-    page = F.regexp_replace(page, r"(?s)(?<=^|>)[^<>]*&[^\s;<>]{0,33}$", "")
-    tags = F.regexp_extract_all(page, F.lit(_BLOCK), F.lit(1))
     label = F.create_map(*[F.lit(x) for pair in _OPENS.items() for x in pair])
 
     def text(piece: Column) -> Column:
-        bare = F.regexp_replace(piece, _TAG, "")
-        plain = F.when(bare.contains("&"), _interleaved(bare, _REFERENCE, _character)).otherwise(bare)
+        plain = _bound(F.regexp_replace(piece, _TAG, ""), lambda bare: F.when(bare.contains("&"), _interleaved(bare, _REFERENCE, _character)).otherwise(bare))
         return F.regexp_replace(F.translate(plain, _LESS + _AND, "<&"), f"^{_BLANK}|{_BLANK}$", "")
 
-    made = F.transform(F.split(page, _BLOCK), lambda x, i: F.struct(F.coalesce(F.try_element_at(label, F.lower(F.get(tags, i - 1))), F.lit("paragraph")).alias("label"), text(x).alias("text")))
-    return F.filter(made, lambda x: x["text"] != "")
+    def whole(page: Column) -> Column:
+        # What the end cuts off: a tag, or the text that holds an open reference.
+        page = F.regexp_replace(page, r"""(?s)<[A-Za-z/!?](?:"[^"]*+"|'[^']*+'|[^'">])*+(?:["'][^>]*+)?$""", "")
+        return F.regexp_replace(page, r"(?s)(?<=^|>)[^<>]*&[^\s;<>]{0,33}$", "")
+
+    def elements(page: Column) -> Column:
+        tags = F.concat(F.array(F.lit("")), F.regexp_extract_all(page, F.lit(_BLOCK), F.lit(1)))
+        return F.zip_with(F.split(page, _BLOCK), tags, lambda x, tag: F.struct(F.coalesce(F.try_element_at(label, F.lower(tag)), F.lit("paragraph")).alias("label"), text(x).alias("text")))
+
+    raw = _bound(F.coalesce(html, F.lit("")), lambda page: whole(F.when(page.rlike(_RAW), _interleaved(page, _RAW, _unmarked)).otherwise(page)))
+    return F.filter(_bound(raw, elements), lambda x: x["text"] != "")
 
 
 def html_scan(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
