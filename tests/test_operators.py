@@ -1,5 +1,6 @@
 import datetime
 import io
+import json
 import zipfile
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tests.harness import SF
 from textloom.functions.hashing import md5_bucket, murmur3, murmur3_bucket
 from textloom.functions.text import entity_id, lower_ascii, relation_name, strip, token_count, truncate_tokens
+from textloom.jobs import export
 from textloom.operators import enrich, graphs, render, retrieval, safety, store
 from textloom.operators.components import components
 from textloom.skew import join_counted
@@ -208,3 +210,34 @@ def test_files_of_all_formats(spark, tmp_path):
     found = files.scan(files.load(spark, str(tmp_path))).collect()
     assert sorted((r.label, r.text) for r in found if r.confidence) == sorted([("section_title", "Sec"), ("paragraph", "para"), ("table", "c1 | c2"), ("section_title", "Top"), ("paragraph", "below"), ("document_title", "T"), ("paragraph", "x"), ("paragraph", "plain"), ("paragraph", "caf\ufffd au lait")])
     assert [r.text.startswith("[Parse error") for r in found if not r.confidence] == [True]
+
+
+def test_graph_store_adds_composes_and_removes(spark, tmp_path):
+    store = graphs.GraphStore(spark, f"file://{tmp_path}/graphs")
+    node, edge = "doc_id string, id string, label string, type string", "doc_id string, source string, target string, relation string"
+    store.add(spark.createDataFrame([("d", "a", "A", "x"), ("d", "b", "B", "x"), ("e", "a", "A", "x")], node), spark.createDataFrame([("d", "a", "b", "knows")], edge))
+    store.add(spark.createDataFrame([("d", "a", "new", "y")], node), spark.createDataFrame([("d", "a", "b", "likes")], edge))
+    nodes, edges = store.get()
+    assert sorted(map(tuple, nodes.collect())) == [("d", "a", "new", "y"), ("d", "b", "B", "x"), ("e", "a", "A", "x")]
+    assert [tuple(r) for r in edges.collect()] == [("d", "a", "b", "likes")]
+    store.remove(spark.createDataFrame([("d",)], "doc_id string"))
+    assert [tuple(r) for r in store.get()[0].collect()] == [("e", "a", "A", "x")]
+    store.add(spark.createDataFrame([("d", "c", "C", "x")], node), spark.createDataFrame([], edge))
+    assert sorted(r.id for r in store.get()[0].collect()) == ["a", "c"]
+
+
+def test_chunks_and_markdown_are_written(spark, tmp_path):
+    chunks = spark.createDataFrame([("c1", "d", "line\nbreak", ["S"])], "chunk_id string, doc_id string, text string, section_path array<string>")
+    export.write_chunks(chunks, f"file://{tmp_path}/chunks")
+    row = json.loads(spark.read.text(f"file://{tmp_path}/chunks").first().value)
+    assert list(row) == list(export.PAYLOAD) and row["text"] == "line\nbreak" and row["section_path"] == ["S"] and row["html"] is None
+
+
+def test_token_counter_is_a_plug_in(spark):
+    row = spark.createDataFrame([("a b c",), ("",), (None,)], "t string").select(token_count(F.col("t")).alias("n"), token_count(F.col("t"), F.length).alias("m"))
+    assert [tuple(r) for r in row.collect()] == [(3, 5), (0, 0), (0, 0)]
+
+
+def test_page_counts_of_elements(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 3), ("b", 1)], "doc_id string, page int")
+    assert sorted(map(tuple, files.page_counts(df).collect())) == [("a", 3, 2), ("b", 1, 1)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,9 +37,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{WHITE}|{WHITE}$", "")
 
 
-def token_count(text: Column) -> Column:
-    """White-space words: the default counter; 0 for null and empty texts."""
-    return F.size(words(text))
+def token_count(text: Column, counter: Callable[[Column], Column] | None = None) -> Column:
+    """White-space words, or what another ``counter`` of texts says; 0 for null and empty texts."""
+    if counter is None:
+        return F.size(words(text))
+    return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(counter(text)).cast("int")
 
 
 def truncate_tokens(text: Column, n: int, from_end: bool = False) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom import labels
 from textloom.functions.hashing import murmur3_bucket
 from textloom.functions.text import cache_key, document_id, words
-from textloom.jobs import fixtures
+from textloom.jobs import export, fixtures
 from textloom.operators import chunking, enrich, graphs, render, retrieval, safety, store, xref
 from textloom.sources import files, html, text
 from textloom.storage import read_table
@@ -616,3 +616,67 @@ def ttl_valid(spark, d):
 def api_keys(spark, d):
     keys = read_table(spark, d, "customer").select(F.col("c_custkey").alias("conv_id"))
     return read_table(spark, d, "conversations").join(keys, "conv_id", "left_semi").select("conv_id", "turn")
+
+
+# Small reports and payloads
+
+
+@query("graph_node_count", "SELECT event_id AS doc_id, (CASE WHEN event_id % 10 <> 0 THEN 1 ELSE 0 END)::BIGINT AS nodes FROM events")
+def graph_node_count(spark, d):
+    return fixtures.graph_texts(spark, d).select("doc_id", graphs.node_count(F.col("graph")).alias("nodes"))
+
+
+@query("most_central_node", f"""WITH {_TRADE}, g AS (SELECT relation, id, count(*) AS degree FROM (SELECT relation, source AS id FROM tr UNION ALL SELECT relation, target FROM tr) GROUP BY ALL)
+SELECT relation, id, degree FROM (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY degree DESC, id) AS n FROM g) WHERE n = 1""")
+def most_central_node(spark, d):
+    edges = fixtures.trade_edges(spark, d)
+    nodes = edges.select("relation", F.explode(F.array("source", "target")).alias("id"))
+    return graphs.most_central(nodes, edges, "relation")
+
+
+@query("latency_share", "SELECT event_type, round(avg(value), 9) AS mean, min(value) AS least, max(value) AS most, round(avg(CASE WHEN value >= 50 THEN 1.0::DOUBLE ELSE 0.0 END), 9) AS share FROM events GROUP BY event_type")
+def latency_share(spark, d):
+    return retrieval.latency(read_table(spark, d, "events"), "event_type", "value", 50)
+
+
+@query("top_tokens", f"SELECT token AS value, count(*) AS count FROM (SELECT unnest({_WORDS}) AS token FROM documents) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def top_tokens(spark, d):
+    return retrieval.top_values(read_table(spark, d, "documents").select(F.explode(words(F.lower("text"))).alias("token")), F.col("token"))
+
+
+@query("large_figures", "SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND doc_id % 97 >= 40 AND n_chars % 89 >= 40")
+def large_figures(spark, d):
+    box = F.struct(F.lit(0).alias("x0"), F.lit(0).alias("y0"), (F.col("doc_id") % 97).alias("x1"), (F.col("n_chars") % 89).alias("y1"))
+    rows = read_table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "figure").otherwise("paragraph").alias("label"), box.alias("bbox"))
+    return retrieval.large_figures(rows).select("doc_id")
+
+
+@query("chunk_payload", """SELECT doc_id, json_object('chunk_id', doc_id, 'doc_id', doc_id::VARCHAR, 'source_file', source, 'page', NULL, 'element_types', NULL, 'modality', NULL, 'text', text, 'latex', NULL, 'html', NULL, 'is_atomic', NULL, 'token_count', n_chars,
+  'section_path', [lang, source], 'cross_refs', NULL, 'graph_json', NULL, 'concept_tags', NULL, 'confidence', NULL, 'caption_json', NULL, 'enriched_text', NULL)::VARCHAR AS payload FROM documents""")
+def chunk_payload(spark, d):
+    chunks = read_table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("source_file"), "text", F.col("n_chars").alias("token_count"), F.array("lang", "source").alias("section_path"))
+    return chunks.select(F.col("chunk_id").alias("doc_id"), export.payload(chunks).alias("payload"))
+
+
+@query("rerank_model", f"""WITH {_VECTORS}, s AS (SELECT query_id, chunk_id, score AS first_score, CASE chunk_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN score ELSE 0.25 END::DOUBLE AS score FROM d WHERE rank <= 20)
+SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""")
+def rerank_model(spark, d):
+    hits = _dense(spark, d, 20).withColumns({"query": F.col("query_id").cast("string"), "text": F.col("chunk_id").cast("string")})
+    answer = F.when(F.col("chunk_id") % 4 == 0, " 1.7").when(F.col("chunk_id") % 4 == 1, "no idea").when(F.col("chunk_id") % 4 == 3, "0.25")
+    return retrieval.rescored(hits, lambda pairs: pairs.withColumn("answer", answer), 10).select("query_id", "chunk_id", "score", "rank")
+
+
+@query("hash_embed", f"""WITH t AS (SELECT conv_id, turn, unnest({_WORDS}) AS token FROM conversations), b AS (SELECT conv_id, turn, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 131072 % 64 AS b, count(*) AS n FROM t GROUP BY ALL),
+z AS (SELECT conv_id, turn, b, n / sqrt(sum(n * n) OVER (PARTITION BY conv_id, turn)) AS x FROM b)
+SELECT c.conv_id, c.turn, list_transform(range(0, 64), lambda i: round(coalesce(m[i], 0.0), 9)) AS embedding FROM conversations c LEFT JOIN (SELECT conv_id, turn, map(list(b), list(x)) AS m FROM z GROUP BY ALL) USING (conv_id, turn)""")
+def hash_embed(spark, d):
+    made = retrieval.embed(read_table(spark, d, "conversations").select("conv_id", "turn", "text"))
+    return made.select("conv_id", "turn", F.transform("embedding", lambda x: F.round(x, 9)).alias("embedding"))
+
+
+@query("graph_vector_topk", f"""WITH {_VECTORS}, g AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM p WHERE modality = 'graph')
+SELECT query_id, chunk_id, score, rank, 'graph' AS retrieval_source FROM g WHERE rank <= 10""")
+def graph_vector_topk(spark, d):
+    chunks = fixtures.chunk_vectors(spark, d)
+    graph = chunks.select("chunk_id", F.when(F.col("modality") == "graph", F.col("embedding")).alias("embedding"))
+    return retrieval.graph_topk(fixtures.vector_queries(chunks), graph, 10)

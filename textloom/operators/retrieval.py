@@ -7,6 +7,8 @@ lets Spark cut each query's candidates before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,6 +121,59 @@ def rerank(hits: DataFrame, top_n: int, limit: int | None = None) -> DataFrame:
     return ranked(scored.drop("rank"), top_n, [F.desc("score"), F.desc("first_score"), F.col("chunk_id")])
 
 
+def rescored(hits: DataFrame, model: Callable[[DataFrame], DataFrame], top_n: int) -> DataFrame:
+    """The best ``top_n`` hits of each query by a model's scores.
+
+    ``model`` takes query_id, query, chunk_id, text and returns query_id, chunk_id and
+    answer, a number or a text. Numbers are kept within [0, 1]; an answer that is no
+    number counts as 0.5; a pair without an answer keeps its score.
+    """
+    said = model(hits.select("query_id", "query", "chunk_id", "text")).select("query_id", "chunk_id", F.col("answer").cast("string").alias("_answer"))
+    number = F.regexp_extract("_answer", r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$", 1).try_cast("double")
+    new = F.when(F.col("_answer").isNull(), F.col("score")).when(number.isNull(), 0.5).otherwise(F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)))
+    scored = hits.drop("rank").join(said, ["query_id", "chunk_id"], "left").withColumn("first_score", F.col("score")).withColumn("score", F.round(new, 9)).drop("_answer")
+    return ranked(scored, top_n, [F.desc("score"), F.desc("first_score"), F.col("chunk_id")])
+
+
+def hash_embedding(text: Column, size: int = 64) -> Column:
+    """The default embedder: how often a text's words fall into each of ``size`` buckets, at unit length; zeros without words."""
+    buckets = F.transform(words(F.lower(text)), lambda w: F.pmod(md5_bucket(w), F.lit(size)).cast("int"))
+    counts = F.aggregate(buckets, F.array_repeat(F.lit(0.0), size), lambda a, b: F.transform(a, lambda x, i: F.when(i == b, x + 1).otherwise(x)))
+    return F.get(F.transform(F.array(counts), lambda c: F.transform(c, lambda x: F.coalesce(x / F.nullif(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y * y)), F.lit(0.0)), F.lit(0.0)))), F.lit(0))
+
+
+def embed(texts: DataFrame, model: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``texts`` (key, text, ...) with ``embedding``; each distinct text goes to the model once, in no set order.
+
+    ``model`` takes a table with text and returns text and embedding.
+    """
+    if model is None:
+        return texts.withColumn("embedding", hash_embedding(F.coalesce("text", F.lit(""))))
+    return texts.join(model(texts.select("text").distinct()).select("text", "embedding"), "text", "left").select(*texts.columns, "embedding")
+
+
+def graph_topk(queries: DataFrame, graphs: DataFrame, limit: int) -> DataFrame:
+    """Chunks by the cosine of their graph's vector; ``graphs`` has chunk_id and embedding, null where a chunk has no graph."""
+    return dense_topk(queries, graphs.where("embedding is not null"), limit).withColumn("retrieval_source", F.lit("graph"))
+
+
+def latency(events: DataFrame, by: str, value: str, threshold: float) -> DataFrame:
+    """``by``, mean, least and greatest value, and the share of rows that reach the threshold."""
+    v = F.col(value)
+    return events.groupBy(by).agg(F.round(F.avg(v), 9).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.avg(F.when(v >= threshold, 1.0).when(v.isNotNull(), 0.0)), 9).alias("share"))
+
+
+def top_values(rows: DataFrame, by: Column, n: int = 10) -> DataFrame:
+    """value, count of the ``n`` most frequent values, smaller ones first among equals; a report for the driver."""
+    return rows.groupBy(by.alias("value")).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "value").limit(n)
+
+
+def large_figures(elements: DataFrame, least: int = 40) -> DataFrame:
+    """Figures whose box (bbox with x0, y0, x1, y1) is at least so wide and high."""
+    wide, high = F.col("bbox.x1") - F.col("bbox.x0"), F.col("bbox.y1") - F.col("bbox.y0")
+    return elements.where((F.col("label") == "figure") & (wide >= least) & (high >= least))
+
+
 def groundedness(hits: DataFrame) -> DataFrame:
     """query_id, groundedness: mean of the scores weighted by themselves, negative ones as 0, within [0, 1]."""
     s = F.greatest(F.col("score"), F.lit(0.0))
