@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom import labels
 from textloom.functions.hashing import murmur3_bucket
 from textloom.functions.text import cache_key, document_id, words
-from textloom.jobs import export, fixtures
+from textloom.jobs import export, fixtures, search
 from textloom.operators import chunking, enrich, graphs, render, retrieval, safety, store, xref
 from textloom.sources import files, html, text
 from textloom.storage import read_table
@@ -680,3 +680,57 @@ def graph_vector_topk(spark, d):
     chunks = fixtures.chunk_vectors(spark, d)
     graph = chunks.select("chunk_id", F.when(F.col("modality") == "graph", F.col("embedding")).alias("embedding"))
     return retrieval.graph_topk(fixtures.vector_queries(chunks), graph, 10)
+
+
+# Whole searches: a router, both channels under its filter, the graph around the hits, reranking, gate and web results
+
+
+_ROUTES = "CASE item_id % 5 WHEN 0 THEN 'visual' WHEN 1 THEN 'code' WHEN 2 THEN 'analytical' ELSE 'general' END"
+_SEARCH = f"""ck AS (SELECT doc_id AS chunk_id, text, source, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, label, ['text', 'image', 'table', 'formula', 'algorithm', 'graph', 'code'][label % 7 + 1] AS modality FROM documents JOIN embeddings ON vec_id = doc_id),
+qs AS (SELECT item_id AS query_id, b.text AS query, e AS qe, {_ROUTES} AS intent, CASE WHEN item_id % 5 = 2 THEN 2 ELSE 1 END AS factor, CASE item_id % 5 WHEN 0 THEN ['image', 'graph'] WHEN 1 THEN ['algorithm', 'code'] END AS allowed FROM benchmark b JOIN ck ON ck.chunk_id = b.item_id),
+dn AS (SELECT query_id, chunk_id, factor, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(e, qe) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(qe, qe))), 9) DESC, chunk_id) AS rank FROM qs, ck WHERE allowed IS NULL OR list_contains(allowed, modality)),
+ct AS (SELECT chunk_id, modality, token, tf / max(tf) OVER (PARTITION BY chunk_id) AS weight FROM (SELECT chunk_id, modality, token, count(*) AS tf FROM (SELECT chunk_id, modality, unnest({_WORDS}) AS token FROM ck) GROUP BY ALL)),
+qt AS (SELECT query_id, factor, allowed, token, tf / max(tf) OVER (PARTITION BY query_id) AS weight FROM (SELECT query_id, factor, allowed, token, count(*) AS tf FROM (SELECT query_id, factor, allowed, unnest({_WORDS.replace("text", "query")}) AS token FROM qs) GROUP BY ALL)),
+ss AS (SELECT query_id, chunk_id, factor, round(sum(qt.weight * ct.weight), 9) AS score FROM ct JOIN qt USING (token) WHERE allowed IS NULL OR list_contains(allowed, modality) GROUP BY ALL),
+sn AS (SELECT query_id, chunk_id, factor, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ss),
+un1 AS (SELECT query_id, chunk_id, 0 AS list, rank - 1 AS r FROM dn WHERE rank <= 45 * factor UNION ALL SELECT query_id, chunk_id, 1, rank - 1 FROM sn WHERE rank <= 45 * factor),
+fs AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + r + 1)), 12) AS score, min({{'list': list, 'r': r}}) AS first FROM un1 GROUP BY ALL),
+fh AS (SELECT query_id, chunk_id, score, 'vector' AS retrieval_source, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS rank FROM fs) JOIN qs USING (query_id) WHERE rank <= 15 * factor),
+nc AS (SELECT chunk_id, 'l' || label AS node FROM ck WHERE chunk_id % 10 = 0), ed AS (SELECT 'l' || i AS source, 'l' || (i + 1) AS target FROM range(0, 9) t(i)), un AS (SELECT source, target FROM ed UNION SELECT target, source FROM ed),
+st AS (SELECT DISTINCT query_id, node FROM fh JOIN nc USING (chunk_id) WHERE rank <= 5), h1 AS (SELECT query_id, st.node AS start, u.target AS reached, 1 AS hops FROM st JOIN un u ON u.source = st.node),
+h2 AS (SELECT query_id, start, u.target, 2 FROM h1 JOIN un u ON u.source = h1.reached WHERE u.target <> start), nr AS (SELECT query_id, reached, min(hops) AS hops FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY ALL),
+nn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hops, reached) AS n FROM nr), gh AS (SELECT DISTINCT query_id, chunk_id FROM nn JOIN nc ON nc.node = nn.reached WHERE n <= 20),
+ah AS (SELECT query_id, chunk_id, score, retrieval_source FROM fh UNION ALL SELECT query_id, chunk_id, 0.5, 'graph' FROM gh WHERE (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM fh)),
+al AS (SELECT ah.*, ck.text, ck.source, ck.modality, qs.query, qs.factor, ck.source = 'web' AS ok FROM ah JOIN ck USING (chunk_id) JOIN qs USING (query_id)),
+pf AS (SELECT * FROM (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS any_ok FROM al) WHERE ok OR NOT any_ok),
+cv AS (SELECT *, list_distinct({_WORDS.replace("text", "query")}) AS a, list_distinct({_WORDS}) AS b FROM pf),
+rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rescore DESC, score DESC, chunk_id) AS rank FROM (SELECT *, CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, b)) / len(a), 9) ELSE 0.0 END AS rescore FROM cv)),
+sr AS (SELECT query_id, chunk_id, rescore AS score, rank, retrieval_source, source FROM rr WHERE rank <= 5 * factor),
+gt AS (SELECT qs.query_id, coalesce(round(least(greatest(sum(score ** 2) / nullif(sum(score), 0), 0), 1), 9), 0) AS groundedness FROM qs LEFT JOIN sr USING (query_id) GROUP BY 1)"""
+
+
+def _searched(spark, d):
+    vectors = fixtures.chunk_vectors(spark, d)
+    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("source").alias("source_file"))
+    chunks = docs.join(vectors, "chunk_id").withColumns({"section_path": F.expr("cast(array() as array<string>)"), "enriched_text": F.lit(None).cast("string"), "page": F.lit(1)})
+    items = read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    asked = items.join(chunks.select(F.col("chunk_id").alias("query_id"), "embedding"), "query_id")
+    route = F.when(F.col("query_id") % 5 == 0, "visual").when(F.col("query_id") % 5 == 1, "code").when(F.col("query_id") % 5 == 2, "analytical").otherwise("general")
+    nodes = chunks.where("chunk_id % 10 = 0").select("chunk_id", F.concat(F.lit("l"), F.col("label").cast("string")).alias("node"))
+    edges = spark.range(9).select(F.concat(F.lit("l"), F.col("id").cast("string")).alias("source"), F.concat(F.lit("l"), (F.col("id") + 1).cast("string")).alias("target"))
+    return asked, search.search(asked, chunks, 5, route, search.Graph(edges, nodes), F.col("source_file") == "web")
+
+
+@query("search_batch", f"WITH {_SEARCH} SELECT query_id, chunk_id, score, rank, retrieval_source FROM sr")
+def search_batch(spark, d):
+    return _searched(spark, d)[1].select("query_id", "chunk_id", "score", "rank", "retrieval_source")
+
+
+@query("answer_sources", f"""WITH {_SEARCH}, wb AS (SELECT page_id AS query_id, 'web:' || url AS chunk_id, url AS source_file, substr(title || chr(10) || chr(10) || html, 1, 80) AS title FROM (SELECT page_id, coalesce(url, '') AS url, 'Page ' || page_id AS title, coalesce(html, '') AS html FROM pages) JOIN gt ON gt.query_id = page_id WHERE groundedness < 0.45),
+al2 AS (SELECT query_id, chunk_id::VARCHAR AS chunk_id, source AS source_file, NULL AS title, rank FROM sr UNION ALL SELECT query_id, chunk_id, source_file, title, 1000000 FROM wb)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id)::INTEGER AS source, chunk_id, source_file, 1 AS page, title FROM al2""")
+def answer_sources(spark, d):
+    asked, hits = _searched(spark, d)
+    web = read_table(spark, d, "pages").select(F.col("page_id").alias("query_id"), F.coalesce("url", F.lit("")).alias("url"), F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"), F.coalesce("html", F.lit("")).alias("snippet"), F.lit(1.0).alias("score"))
+    web = web.join(asked.select("query_id"), "query_id", "left_semi")
+    return search.answer(asked, hits.withColumn("chunk_id", F.col("chunk_id").cast("string")), web).sources

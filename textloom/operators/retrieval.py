@@ -61,22 +61,36 @@ def ranked(scores: DataFrame, limit: int, order: list[Column] | None = None) ->
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*by))).where(F.col("rank") <= limit)
 
 
+def _allowed(pairs: DataFrame) -> DataFrame:
+    """The pairs whose chunk has a modality that the query allows."""
+    return pairs.where("allowed is null or array_contains(allowed, modality)") if "allowed" in pairs.columns else pairs
+
+
 def sparse_topk(queries: DataFrame, chunks: DataFrame, limit: int, on: str = "token") -> DataFrame:
-    """Dot products of the weights of shared tokens; both sides have ``on`` and weight."""
-    asked = maybe_broadcast(queries.select("query_id", on, F.col("weight").alias("wq")), BROADCAST_ROWS)
-    scores = chunks.select("chunk_id", on, "weight").join(asked, on).groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("wq") * F.col("weight")), 9).alias("score"))
+    """Dot products of the weights of shared tokens; both sides have ``on`` and weight.
+
+    Where queries have ``allowed``, null or a list, only chunks of these modalities count.
+    """
+    limits = [c for c in ("allowed",) if c in queries.columns]
+    asked = maybe_broadcast(queries.select("query_id", on, F.col("weight").alias("wq"), *limits), BROADCAST_ROWS)
+    met = _allowed(chunks.select("chunk_id", on, "weight", *(["modality"] if limits else [])).join(asked, on))
+    scores = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("wq") * F.col("weight")), 9).alias("score"))
     return ranked(scores, limit)
 
 
 def dense_topk(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
-    """Cosine of every query with every chunk (a stated query set against all rows)."""
+    """Cosine of every query with every chunk (a stated query set against all rows).
+
+    Where queries have ``allowed``, null or a list, only chunks of these modalities count.
+    """
+    limited = "allowed" in queries.columns
 
     def unit(df: DataFrame, key: str, vector: str) -> DataFrame:
-        return df.select(key, F.col("embedding").alias(vector), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias(f"{vector}_size"))
+        return df.select(key, *([{"query_id": "allowed", "chunk_id": "modality"}[key]] if limited else []), F.col("embedding").alias(vector), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias(f"{vector}_size"))
 
     pairs = unit(chunks, "chunk_id", "v").crossJoin(maybe_broadcast(unit(queries, "query_id", "q"), BROADCAST_ROWS))
     size = F.col("v_size") * F.col("q_size")
-    return ranked(pairs.where(size > 0).select("query_id", "chunk_id", F.round(dot(F.col("v"), F.col("q")) / size, 9).alias("score")), limit)
+    return ranked(_allowed(pairs).where(size > 0).select("query_id", "chunk_id", F.round(dot(F.col("v"), F.col("q")) / size, 9).alias("score")), limit)
 
 
 def candidate_limits(analytical: bool, top_k: int) -> tuple[int, int, int]:
