@@ -4,7 +4,10 @@ Each stage takes what the one before kept, as a table of documents, and returns
 table that goes on; the last returns packed pieces. ``run`` writes every stage's
 result to the shared folder before the next one reads it, so a lost executor repeats
 one stage at most. The stages' defined results for nulls, empty texts, ties and
-repeated rows are those of the operators that they call.
+repeated rows are those of the operators that they call. Rows that repeat both a doc_id
+and its text are one document: they stay or go together. Of rows that share a doc_id with
+other texts, and of rows without one, none is taken for another. Columns besides doc_id
+and text pass through, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations

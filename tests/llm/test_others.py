@@ -159,6 +159,15 @@ def base_spans(text):
     return out
 
 
+def test_token_counts_of_odd_tables(spark, tmp_path):
+    """Empty tables, null ids and texts, clashing columns."""
+    plain, clashing, empty = brute.frames(spark)
+    for name, df in (("plain", plain), ("clashing", clashing), ("empty", empty)):
+        df.coalesce(1).write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+    got = {name: sorted(map(repr, counts.query(spark, f"file://{tmp_path}/{name}").collect())) for name in ("plain", "clashing", "empty")}
+    assert got["plain"] == got["clashing"] and len(got["plain"]) == len(brute.awkward()) and got["empty"] == []
+
+
 def test_pii_base_spans_equal_brute_force(spark):
     r = random.Random(3)
     parts = ["a", "@", ".", "1", "23", "456", "-", " ", "+1", "(", ")", "x@y.de", "é😀", "4111 1111 1111 1111", "10.0.0.1", "255", "%"]
@@ -356,3 +365,28 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert {r.doc_id for r in pieces.collect()} == set(left)
     assert pipeline.run(spark, folder).agg(F.sum("length")).first()[0] == pieces.agg(F.sum("length")).first()[0]
     assert json.dumps(pipeline.ORACLE_SQL) == "null"
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Ids on several texts, null ids, repeated rows, clashing columns; nothing to learn from and nothing to test against."""
+    import corpus_pipeline as pipeline
+
+    base, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    single = " ".join(f"u{i}" for i in range(20))
+    rows = [(3, base), (5, base + " end"), (5, other), (None, base + "  "), (None, None), (7, other.upper()), (9, single), (9, single)]
+    extra = (5, 6, "x", 7, ["w"], 0.5, False, 8, 9)
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([(i, t, "en", "s", 1, *extra) for i, t in rows], brute.CLASHING).write.parquet(f"{folder}/odd/documents.parquet")
+    spark.createDataFrame([], brute.SCHEMA).write.parquet(f"{folder}/none/documents.parquet")
+    for name in ("odd", "none"):
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/{name}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/{name}/benchmark.parquet")
+    df = spark.read.parquet(f"{folder}/odd/documents.parquet")
+    columns = df.columns
+    for _, stage in pipeline.STAGES[:-1]:
+        df = stage(spark, df, f"{folder}/odd")
+        assert df.columns == columns
+    want = [(5, base + " end"), (5, other), (None, base + "  "), (None, None), (9, single), (9, single)]
+    assert sorted(((r.doc_id, r.text) for r in df.collect()), key=str) == sorted(want, key=str)
+    assert pipeline.run(spark, f"{folder}/odd").where("start = 0").count() == len(want)
+    assert pipeline.run(spark, f"{folder}/none").count() == 0

@@ -60,30 +60,46 @@ def _id() -> Column:
     return F.unhex(F.md5("line"))
 
 
-def _segments(threshold: int) -> list[tuple[str, str]]:
-    """Start (from 0) and length of each segment of a line of ``n`` characters, as SQL over n."""
+def measured(lines: DataFrame, threshold: int) -> DataFrame:
+    """h, body (four bytes a character), and the segments of lines up to ``threshold`` shorter.
+
+    Segment i of a line that is k shorter begins at byte s{k}_{i} and has z{k}_{i} bytes.
+    The places are columns so that no expression that uses them grows beyond what the
+    JVM compiles; characters of equal width spare it from counting them.
+    """
     parts = threshold + 1
-    base, short = f"(n div {parts})", f"({parts} - n % {parts})"
-    return [(f"({i} * {base} + greatest(0, {i} - {short}))", f"({base} + if({i} >= {short}, 1, 0))") for i in range(parts)]
+    sized = lines.select(_ref().alias("h"), F.length("line").alias("n"), F.encode("line", "UTF-32").alias("body"))
+    places = []
+    for k in range(parts):
+        for i in range(parts):
+            # The last n % parts segments are longer by one.
+            base, short = f"((n - {k}) div {parts})", f"({parts} - (n - {k}) % {parts})"
+            places.append(F.expr(f"cast(4 * ({i} * {base} + greatest(0, {i} - {short})) + 1 as int)").alias(f"s{k}_{i}"))
+            places.append(F.expr(f"cast(4 * ({base} + if({i} >= {short}, 1, 0)) as int)").alias(f"z{k}_{i}"))
+    return sized.select("h", "body", "n", *places)
+
+
+def _key(shorter: int, i: int, move: int) -> str:
+    return f"xxhash64(n - {shorter}, {i}, substring(body, s{shorter}_{i} + {4 * move}, z{shorter}_{i}))"
 
 
-def keys(threshold: int, min_chars: int) -> Column:
+def index_keys(threshold: int) -> Column:
+    """Keys of a line's own segments."""
+    return F.expr(f"array({', '.join(_key(0, i, 0) for i in range(threshold + 1))})")
+
+
+def keys(threshold: int) -> Column:
     """Keys of a line's own segments, then of its other substrings that can be segments of lines up to ``threshold`` shorter.
 
-    Null where a substring would not lie in the line.
+    Segment i of those has at most i edits on its left and threshold - i on its right. All
+    places lie within a line of more than 2 * threshold characters.
     """
-    own, others = [], []
+    others = []
     for shorter in range(threshold + 1):
-        for i, (start, size) in enumerate(_segments(threshold)):
-            start, size = (x.replace("n ", f"(n - {shorter}) ") for x in (start, size))
-            # i edits at most are to the left of the segment, threshold - i to its right.
-            for move in range(max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i)) + 1):
-                key = f"xxhash64(n - {shorter}, {i}, substring(line, {start} + {move} + 1, {size}))"
-                if shorter == move == 0:
-                    own.append(key)
-                else:
-                    others.append(f"if(n - {shorter} >= {min_chars} and {start} + {move} >= 0 and {start} + {move} + {size} <= n, {key}, null)")
-    return F.expr(f"array({', '.join(own + others)})")
+        for i in range(threshold + 1):
+            moves = range(max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i)) + 1)
+            others += [_key(shorter, i, move) for move in moves if shorter or move]
+    return F.expr(f"array({', '.join([_key(0, i, 0) for i in range(threshold + 1)] + others)})")
 
 
 def signature(line: Column) -> Column:
@@ -102,15 +118,18 @@ def met_keys(lines: DataFrame, threshold: int, min_chars: int, total: int) -> Da
     ``lines`` has the distinct lines, of at most ``total`` occurrences. The last bit of
     ``ref`` tells the index from the probes; n_own counts the key's lines in the index.
     """
-    sized = lines.select("line", F.length("line").alias("n"))
-    parts = threshold + 1
-    exploded = sized.select(_ref().alias("h"), F.posexplode(keys(threshold, min_chars)).alias("at", "key")).where("key is not null")
-    index = sized.select(F.explode(F.slice(keys(threshold, min_chars), 1, parts)).alias("key"))
-    # At most 1000 keys for each segment can be that hot, whatever the input.
-    hot = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(SALTED_LINES, total // 1000)).select("key", F.lit(True).alias("hot"))
-    tagged = exploded.join(F.broadcast(hot), "key", "left").select("key", F.when(F.col("at") < parts, F.col("h") + 1).otherwise(F.col("h")).alias("ref"), F.when(F.col("hot"), F.pmod("h", F.lit(2 * SALTS)).cast("int")).alias("salt"))
+    if min_chars <= 2 * threshold:
+        raise ValueError("lines have to be longer than twice the threshold")
+    sized = measured(lines, threshold)
+    index = sized.select(F.explode(index_keys(threshold)).alias("key"))
+    # At most 1000 keys for each segment can be that hot, whatever the input; most often there are none.
+    hot = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(SALTED_LINES, total // 1000)).select("key")
+    each = sized.select("h", F.posexplode(keys(threshold)).alias("at", "key"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int")).alias("salt")
+    # In one plan with the hot keys, so that the distinct lines are found once.
+    dealt = each.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left").select("key", F.when(F.col("at") <= threshold, F.col("h") + 1).otherwise(F.col("h")).alias("ref"), salt)
     by_key = Window.partitionBy("key", "salt")
-    counted = tagged.repartition("key", "salt").withColumns({"n_own": F.sum(F.col("ref").bitwiseAND(F.lit(1))).over(by_key), "n": F.count(F.lit(1)).over(by_key)})
+    counted = dealt.repartition("key", "salt").withColumns({"n_own": F.sum(F.col("ref").bitwiseAND(F.lit(1))).over(by_key), "n": F.count(F.lit(1)).over(by_key)})
     return materialize(counted.where("salt is not null or n > 1 and n_own > 0").select("key", "ref", F.when(F.col("salt").isNotNull(), F.lit(1 << 62)).otherwise(F.col("n_own")).alias("n_own")), "line-keys")
 
 

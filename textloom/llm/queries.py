@@ -15,6 +15,8 @@ QUERIES = {
     "op8_substring_dedup": substrings.query,
     "op9_toxicity": toxicity.query,
     "op10_token_counts": counts.query,
+    # What op5's index finds besides exact passages.
+    "proximity_matches": decontam.proximity_query,
 }
 ORACLES = {
     "op2_minhash_neardup": neardup.ORACLE,

@@ -13,8 +13,9 @@ the windows that start at least twice, that is, every maximal repeat of at least
 Both comparisons use one routine, ``repeated``: blocks of hashes are deduplicated
 where they are, cut into hash ranges of bounded size, compared per range, and
 answered with one bit per hash. A hash that a third of all documents share thus
-arrives once per block, no pairs are made, and no row is kept per window.
-Hashes have 64 bits.
+arrives once per block, no pairs are made, and no row is kept per window. Anchors,
+which only say where to look, are compared by 64 bits, and the windows, which are
+removed, by 128 bits from two independent hashes of their words.
 
 Defined results: words are runs of anything but space and 0x09-0x0D; a null text has
 none. Rows that repeat a doc_id and its text count as two occurrences and get the
@@ -58,31 +59,44 @@ def anchors(words: Words, window: int, seed: int) -> tuple[np.ndarray, np.ndarra
     return starts, np.cumsum(new) - 1, chosen[new], seeds[chosen[new]]
 
 
-def repeated(table: DataFrame) -> DataFrame:
+def _grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the rows of ``h``, group of each row in that order, and size of each group of equal rows."""
+    order = np.lexsort(h.T[::-1])
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]).any(axis=1)
+    group = np.cumsum(new) - 1
+    return order, group, np.bincount(group) if len(group) else np.zeros(0, int)
+
+
+def _read(raw: pa.Scalar, lanes: int) -> np.ndarray:
+    return np.frombuffer(raw.as_py(), np.uint64).reshape(-1, lanes)
+
+
+def repeated(table: DataFrame, lanes: int) -> DataFrame:
     """block, flags: one bit for each hash of a block's ``h``, set when the hash occurs twice in the table.
 
-    ``table`` is materialised and has block (unique) and h (uint64 values).
+    ``table`` is materialised and has block (unique) and h (hashes of ``lanes`` uint64 values each).
     """
     total = table.agg(F.sum(F.octet_length("h"))).first()[0] or 0
-    ranges = max(1, total // 8 // RANGE_HASHES + 1)
+    ranges = max(1, total // (8 * lanes) // RANGE_HASHES + 1)
     edges = (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.uint64)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, raw in zip(batch["block"].to_pylist(), batch["h"], strict=True):
-                once = np.unique(np.frombuffer(raw.as_py(), np.uint64))
-                parts = np.split(once, np.searchsorted(once, edges))
+                h = _read(raw, lanes)
+                order, group, _ = _grouped(h)
+                once = h[order[np.flatnonzero(np.diff(group, prepend=-1))]]
+                parts = np.split(once, np.searchsorted(once[:, 0], edges))
                 rows = [(i, block, part.tobytes()) for i, part in enumerate(parts) if len(part)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["part", "block", "h"])
 
     def compare(group: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_py(), np.uint64) for x in group["h"]]
-        every = np.concatenate(parts)
-        values, counts = np.unique(every, return_counts=True)
-        twice = values[counts > 1]
-        at = np.minimum(np.searchsorted(twice, every), max(0, len(twice) - 1))
-        flags = twice[at] == every if len(twice) else np.zeros(len(every), bool)
+        parts = [_read(x, lanes) for x in group["h"]]
+        order, at, counts = _grouped(np.concatenate(parts))
+        flags = np.zeros(len(order), bool)
+        flags[order] = counts[at] > 1
         bits = [np.packbits(x).tobytes() for x in np.split(flags, np.cumsum([len(p) for p in parts])[:-1])]
         return pa.table({"block": group["block"], "part": group["part"], "n": pa.array([len(p) for p in parts], pa.int64()), "bits": pa.array(bits, pa.binary())})
 
@@ -90,11 +104,12 @@ def repeated(table: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for raw, parts in zip(batch["h"], batch["parts"], strict=True):
-                h = np.frombuffer(raw.as_py(), np.uint64)
-                _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
+                order, at, counts = _grouped(_read(raw, lanes))
                 known = [np.unpackbits(np.frombuffer(p["bits"], np.uint8), count=p["n"]) for p in parts.as_py()]
-                flags = np.concatenate(known or [np.zeros(0, np.uint8)]).astype(bool) | (counts > 1)
-                out.append(np.packbits(flags[inverse]).tobytes())
+                twice = np.concatenate(known or [np.zeros(0, np.uint8)]).astype(bool) | (counts > 1)
+                flags = np.zeros(len(order), bool)
+                flags[order] = twice[at]
+                out.append(np.packbits(flags).tobytes())
             yield pa.RecordBatch.from_arrays([batch["block"], pa.array(out, pa.binary())], ["block", "flags"])
 
     scattered = table.select("block", "h").mapInArrow(scatter, "part long, block long, h binary")
@@ -151,7 +166,7 @@ def marks(found: DataFrame) -> DataFrame:
                 some = np.array([x.any() for x in each], bool)
                 yield pa.RecordBatch.from_arrays([pa.array(d[some]), pa.array(k[some]), pa.array([np.packbits(x).tobytes() for x, s in zip(each, some, strict=True) if s], pa.binary())], ["d", "k", "marks"])
 
-    flagged = found.select("block", "d", "k", "n").join(repeated(found), "block").select("d", "k", "n", "flags")
+    flagged = found.select("block", "d", "k", "n").join(repeated(found, 1), "block").select("d", "k", "n", "flags")
     # Rows that repeat a document have the same marks.
     return materialize(flagged.mapInArrow(task, "d long, k long, marks binary").dropDuplicates(["d", "k"]), "marks")
 
@@ -183,7 +198,7 @@ def extend(docs: DataFrame, marked: DataFrame, window: int, seed: int) -> DataFr
             for i, n, words in blocks(batch["text"]):
                 if any(m is not None for m in known[i : i + n]):
                     starts, anchor, places, _ = anchors(words, window, seed)
-                    runs = words.runs(window)
+                    runs = np.stack([words.runs(window, lane) for lane in (0, 1)], axis=1)
                     at, of = np.searchsorted(starts, words.first), np.searchsorted(places, words.first)
                 for j in range(n):
                     text, mark = batch["text"][i + j].as_py() or "", known[i + j]
@@ -215,7 +230,7 @@ def cut(extended: DataFrame, window: int, keep_text: bool = False) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts, counts, asked, raw, flags in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "n", "asked", "h", "flags")), strict=True):
-                found, at, rows = _bits(flags, len(raw) // 8), 0, []
+                found, at, rows = _bits(flags, len(raw) // 16), 0, []
                 for doc_id, text, n, mask in zip(ids, texts, counts, asked, strict=True):
                     windows = np.flatnonzero(_bits(mask, n - window + 1))
                     hit = windows[found[at : at + len(windows)]]
@@ -231,7 +246,7 @@ def cut(extended: DataFrame, window: int, keep_text: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], [x.split()[0] for x in schema.split(", ")])
 
     asked = extended.where("block is not null")
-    return asked.join(repeated(asked), "block").select("doc_id", "text", "n", "asked", "h", "flags").mapInArrow(task, schema)
+    return asked.join(repeated(asked, 2), "block").select("doc_id", "text", "n", "asked", "h", "flags").mapInArrow(task, schema)
 
 
 def removals(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
