@@ -1,6 +1,7 @@
 import datetime
 import io
 import json
+import os
 import zipfile
 
 import pytest
@@ -16,6 +17,7 @@ from textloom.skew import join_counted
 from textloom.sources import files
 from textloom.sources.html import html_scan
 from textloom.sources.text import markdown_scan, text_scan
+from textloom.storage import discard, materialize, new_path
 
 
 def one(spark, column, **values):
@@ -159,6 +161,15 @@ def test_collection(spark, tmp_path):
     assert sorted(map(tuple, c.read().collect())) == [("1", "a"), ("2", "c")]
     c.delete(spark.createDataFrame([("a",)], "doc_id string"))
     assert [tuple(r) for r in c.read().collect()] == [("2", "c")]
+    c.upsert(spark.createDataFrame([("1", "a")], "chunk_id string, doc_id string"))
+    c.compact()
+    assert sorted(map(tuple, c.read().collect())) == [("1", "a"), ("2", "c")]
+    c.delete(spark.createDataFrame([("c",)], "doc_id string"))
+    assert [tuple(r) for r in c.read().collect()] == [("1", "a")]
+    c.clear()
+    assert c.read().count() == 0
+    c.upsert(spark.createDataFrame([("9", "z")], "chunk_id string, doc_id string"))
+    assert [tuple(r) for r in c.read().collect()] == [("9", "z")]
 
 
 def test_scans(spark):
@@ -241,3 +252,12 @@ def test_token_counter_is_a_plug_in(spark):
 def test_page_counts_of_elements(spark):
     df = spark.createDataFrame([("a", 1), ("a", 3), ("b", 1)], "doc_id string, page int")
     assert sorted(map(tuple, files.page_counts(df).collect())) == [("a", 3, 2), ("b", 1, 1)]
+
+
+def test_intermediate_tables_can_be_discarded(spark):
+    assert materialize(spark.range(3), "some").count() == 3
+    folder = new_path(spark, "x").rpartition("/")[0].removeprefix("file://")
+    assert os.path.exists(folder)
+    discard(spark)
+    assert not os.path.exists(folder)
+    assert materialize(spark.range(3), "some").count() == 3

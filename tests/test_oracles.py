@@ -1,5 +1,10 @@
 """Every core query against its oracle, on whole tables."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import pytest
 
 from tests.harness import SF, same
@@ -21,3 +26,15 @@ def test_entry_point(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_corpus_operators(tmp_path, pipeline):
+    """Their folders may be deleted, with or without the pipeline's module; the rest still imports."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/textloom", tmp_path / "textloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    if pipeline and os.path.exists(f"{root}/corpus_pipeline.py"):
+        shutil.copy(f"{root}/corpus_pipeline.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q) and not [n for n in q if n.startswith('op') or n == 'pipeline']"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)

@@ -1,14 +1,17 @@
 """A chunk store on Parquet, and caches with a time to live.
 
-A collection is a folder of versions, each a whole table; a marker table names the
-current one. Writers never touch a version that is being read: they write the next and
-then the marker.
+A collection is a log: every upsert and every deletion adds its own rows under the next
+number and touches nothing that is stored. What it holds is, for each key, the newest
+row that no later deletion names. Numbers count from their entry in ``steps`` on, which
+is written last; what a failed writer left behind is overwritten by the next one.
+``compact`` puts what is left under one number, before which nothing is read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,40 +67,76 @@ def invalidate(cached: DataFrame, gone: DataFrame) -> DataFrame:
     return cached.join(hit, "key", "left_anti")
 
 
+@dataclass
+class Log:
+    """Tables of a folder to which rows are only added, each addition under a number ``n``."""
+
+    spark: SparkSession
+    path: str
+
+    def last(self) -> int:
+        return self._rows("steps", "step long").agg(F.max("step")).first()[0] or 0
+
+    def _rows(self, name: str, schema: str) -> DataFrame:
+        schema = f"{schema}, n long"
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def table(self, name: str, schema: str) -> DataFrame:
+        """The rows of all additions that are whole, with their numbers; a condition on n skips whole files."""
+        return self._rows(name, schema).where(F.col("n") <= self.last())
+
+    def add(self, **tables: DataFrame) -> int:
+        """Adds rows to some tables at once; returns their number."""
+        n = self.last() + 1
+        for name, rows in tables.items():
+            rows.write.mode("overwrite").parquet(f"{self.path}/{name}/n={n}")
+        self.spark.range(n, n + 1).toDF("step").write.mode("overwrite").parquet(f"{self.path}/steps/n={n}")
+        return n
+
+
 @dataclass
 class Collection:
-    """A named collection of chunks in a folder."""
+    """A named collection of chunks in a folder; ``key`` tells chunks apart, ``document`` names what deletions go by."""
 
     spark: SparkSession
     path: str
     schema: str
+    key: str = "chunk_id"
+    document: str = "doc_id"
 
-    def _current(self) -> int | None:
-        marks = f"{self.path}/_versions"
-        try:
-            return self.spark.read.schema("version long").parquet(marks).agg(F.max("version")).first()[0]
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
+    @property
+    def _log(self) -> Log:
+        return Log(self.spark, self.path)
 
-    def read(self) -> DataFrame:
-        version = self._current()
-        if version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{version:08d}")
+    @property
+    def _columns(self) -> list[str]:
+        return self.spark.createDataFrame([], self.schema).columns
 
-    def _write(self, df: DataFrame) -> None:
-        version = (self._current() or 0) + 1
-        columns = self.spark.createDataFrame([], self.schema).columns
-        df.select(*columns).write.mode("overwrite").parquet(f"{self.path}/v{version:08d}")
-        self.spark.createDataFrame([(version,)], "version long").write.mode("append").parquet(f"{self.path}/_versions")
+    def read(self) -> DataFrame:
+        start = self._log.table("starts", "start long").agg(F.max("start")).first()[0] or 0
+        rows = self._log.table("rows", self.schema).where(F.col("n") >= start)
+        gone = self._log.table("gone", f"{self.document} string").where(F.col("n") >= start).groupBy(self.document).agg(F.max("n").alias("last"))
+        there = rows.join(gone, self.document, "left").where("last is null or n > last")
+        newest = F.max_by(F.struct(*self._columns), F.col("n")).alias("row")
+        return there.groupBy(self.key).agg(newest).select("row.*")
 
-    def upsert(self, chunks: DataFrame, key: str = "chunk_id") -> None:
-        self._write(upserted(self.read(), chunks, key))
+    def upsert(self, chunks: DataFrame) -> None:
+        """Adds chunks, or puts them in the place of those with their keys."""
+        self._log.add(rows=chunks.select(*self._columns))
 
     def delete(self, gone: DataFrame) -> None:
-        self._write(without_documents(self.read(), gone))
+        """Takes out all chunks of the documents in ``gone``."""
+        self._log.add(gone=gone.select(F.col(self.document).cast("string").alias(self.document)).distinct())
 
     def clear(self) -> None:
-        self._write(self.read().limit(0))
+        self._log.add(starts=self.spark.range(1).select(F.lit(self._log.last() + 1).cast("long").alias("start")))
+
+    def compact(self) -> None:
+        """Writes what the collection holds once more, as its new beginning."""
+        n = self._log.last() + 1
+        self._log.add(rows=self.read().select(*self._columns), starts=self.spark.range(1).select(F.lit(n).cast("long").alias("start")))

@@ -19,8 +19,9 @@ def rate_limits(events: DataFrame, key: str, window: str = "1 minute", limit: in
 def fresh_values(events: DataFrame, key: str, ttl_seconds: int) -> DataFrame:
     """Per event of a stream: whether its key's value was still fresh (a hit) or is stored anew.
 
-    ``events`` has key, value (double), ts. State is one value and its expiry per key; it
-    leaves the store by event time once it is over.
+    ``events`` has key, value (double), ts. A key's events are taken a frame at a time, in
+    the order of their frames and of ts within one. State is one value and its expiry per
+    key; it leaves the store by event time once it is over.
     """
     kind = events.schema[key].dataType.simpleString()
 
@@ -29,17 +30,18 @@ def fresh_values(events: DataFrame, key: str, ttl_seconds: int) -> DataFrame:
             state.remove()
             return
         value, expires = state.get if state.exists else (None, -1)
-        out = []
-        for row in pd.concat(frames).sort_values("ts", kind="stable").itertuples():
-            now = int(row.ts.timestamp() * 1000)
-            hit = now < expires
-            if not hit:
-                value, expires = float(row.value), now + 1000 * ttl_seconds
-            out.append((group[0], row.ts, value, hit))
+        for frame in frames:
+            out = []
+            for row in frame.sort_values("ts", kind="stable").itertuples():
+                now = int(row.ts.timestamp() * 1000)
+                hit = now < expires
+                if not hit:
+                    value, expires = float(row.value), now + 1000 * ttl_seconds
+                out.append((group[0], row.ts, value, hit))
+            yield pd.DataFrame(out, columns=[key, "ts", "value", "hit"])
         state.update((value, expires))
         # Never before the watermark, which the store would refuse.
         state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[key, "ts", "value", "hit"])
 
     rows = events.withWatermark("ts", "5 minutes")
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp, value double, hit boolean", "value double, expires long", "append", "EventTimeTimeout")
