@@ -23,10 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.skew import join_counted
-from textloom.storage import materialize, new_path, read_table
+from textloom.storage import maybe_broadcast, materialize, new_path, read_table
 
 _WHITE = "[\\x20\\x09-\\x0D]+"
 _NO_ID = (1 << 63) - 1
+#: Copies that go, counted to be at most so many, are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def normalised(text: Column) -> Column:
@@ -132,7 +134,8 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     anti-joined by all three.
     """
     losers = _decided(docs, index).where(~F.col("kept")).select(F.col("doc_id").alias("_tl_id"), F.col("digest").alias("_tl_digest"), F.col("code_points").alias("_tl_points")).distinct()
-    losers = materialize(losers, "copies")
+    # Where the losers are counted to be few, texts stay where they are.
+    losers = maybe_broadcast(materialize(losers, "copies"), BROADCAST_ROWS)
     keyed = docs.withColumns({"_tl_digest": F.unhex(F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256)), "_tl_id": F.col("doc_id").cast("long"), "_tl_points": F.length(F.coalesce("text", F.lit(""))).cast("long")})
     same = keyed["_tl_id"].eqNullSafe(losers["_tl_id"]) & (keyed["_tl_digest"] == losers["_tl_digest"]) & (keyed["_tl_points"] == losers["_tl_points"])
     kept = keyed.join(losers, same, "left_anti")
