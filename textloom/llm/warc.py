@@ -170,7 +170,8 @@ def write(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, revisit_byt
         ranged = rows.withColumn("shard", shard_of("url", F.col("page_id").isNotNull(), F.coalesce("page_id", F.lit(0)), "digest"))
     else:
         ranged = rows.withColumn("shard", F.lit(0).cast("long"))
-    ranged = ranged.repartition(len(firsts) + 1, "shard").sortWithinPartitions("shard", *_ORDER)
+    # A partition for each shard, which hashing would not give.
+    ranged = ranged.repartitionById(len(firsts) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", *_ORDER)
     ranged.mapInArrow(task, _MANIFEST).write.parquet(f"{path}/_manifest")
     return open_archive(spark, path)
 
