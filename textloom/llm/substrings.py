@@ -27,7 +27,7 @@ text are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -68,23 +68,39 @@ def _grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, group, np.bincount(group) if len(group) else np.zeros(0, int)
 
 
-def _read(raw: pa.Scalar, lanes: int) -> np.ndarray:
-    return np.frombuffer(raw.as_py(), np.uint64).reshape(-1, lanes)
+def seed_hashes(h: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(h.as_py(), np.uint64).reshape(-1, 1)
 
 
-def repeated(table: DataFrame, lanes: int) -> DataFrame:
-    """block, flags: one bit for each hash of a block's ``h``, set when the hash occurs twice in the table.
+def window_hashes(window: int) -> Callable[[pa.Scalar, pa.Scalar], np.ndarray]:
+    """Two hashes of each asked window of a block's texts, made anew, which costs less than to keep them."""
 
-    ``table`` is materialised and has block (unique) and h (hashes of ``lanes`` uint64 values each).
+    def read(texts: pa.Scalar, asked: pa.Scalar) -> np.ndarray:
+        out, masks = [np.zeros((0, 2), np.uint64)], asked.as_py()
+        for i, n, words in blocks(texts.values):
+            runs = np.stack([words.runs(window, lane) for lane in (0, 1)], axis=1)
+            for j in range(n):
+                begin, end = words.first[j], words.first[j + 1] - window + 1
+                out.append(runs[begin:end][_bits(masks[i + j], int(end - begin))])
+        return np.concatenate(out)
+
+    return read
+
+
+def repeated(table: DataFrame, columns: list[str], read: Callable[..., np.ndarray], lanes: int) -> DataFrame:
+    """block, parts: by range, one bit for each different hash of a block, set when other blocks have it.
+
+    ``flagged`` reads them. ``table`` is materialised and has block (unique), hashes (their number) and the
+    ``columns`` from which ``read`` makes them, ``lanes`` uint64 values each.
     """
-    total = table.agg(F.sum(F.octet_length("h"))).first()[0] or 0
-    ranges = max(1, total // (8 * lanes) // RANGE_HASHES + 1)
+    total = table.agg(F.sum("hashes")).first()[0] or 0
+    ranges = max(1, total // RANGE_HASHES + 1)
     edges = (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.uint64)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, raw in zip(batch["block"].to_pylist(), batch["h"], strict=True):
-                h = _read(raw, lanes)
+            for block, *given in zip(batch["block"].to_pylist(), *(batch[c] for c in columns), strict=True):
+                h = read(*given)
                 order, group, _ = _grouped(h)
                 once = h[order[np.flatnonzero(np.diff(group, prepend=-1))]]
                 parts = np.split(once, np.searchsorted(once[:, 0], edges))
@@ -93,29 +109,26 @@ def repeated(table: DataFrame, lanes: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["part", "block", "h"])
 
     def compare(group: pa.Table) -> pa.Table:
-        parts = [_read(x, lanes) for x in group["h"]]
+        parts = [np.frombuffer(x.as_py(), np.uint64).reshape(-1, lanes) for x in group["h"]]
         order, at, counts = _grouped(np.concatenate(parts))
         flags = np.zeros(len(order), bool)
         flags[order] = counts[at] > 1
         bits = [np.packbits(x).tobytes() for x in np.split(flags, np.cumsum([len(p) for p in parts])[:-1])]
         return pa.table({"block": group["block"], "part": group["part"], "n": pa.array([len(p) for p in parts], pa.int64()), "bits": pa.array(bits, pa.binary())})
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for raw, parts in zip(batch["h"], batch["parts"], strict=True):
-                order, at, counts = _grouped(_read(raw, lanes))
-                known = [np.unpackbits(np.frombuffer(p["bits"], np.uint8), count=p["n"]) for p in parts.as_py()]
-                twice = np.concatenate(known or [np.zeros(0, np.uint8)]).astype(bool) | (counts > 1)
-                flags = np.zeros(len(order), bool)
-                flags[order] = twice[at]
-                out.append(np.packbits(flags).tobytes())
-            yield pa.RecordBatch.from_arrays([batch["block"], pa.array(out, pa.binary())], ["block", "flags"])
-
-    scattered = table.select("block", "h").mapInArrow(scatter, "part long, block long, h binary")
+    scattered = table.select("block", *columns).mapInArrow(scatter, "part long, block long, h binary")
     compared = scattered.groupBy("part").applyInArrow(compare, "block long, part long, n long, bits binary")
-    gathered = compared.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "n", "bits"))).alias("parts"))
-    return table.select("block", "h").join(gathered, "block").select("block", "h", "parts").mapInArrow(answer, "block long, flags binary")
+    return compared.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "n", "bits"))).alias("parts"))
+
+
+def flagged(h: np.ndarray, parts: list[dict]) -> np.ndarray:
+    """Whether each hash of a block occurs twice in the table."""
+    order, at, counts = _grouped(h)
+    known = [np.unpackbits(np.frombuffer(p["bits"], np.uint8), count=p["n"]) for p in parts]
+    twice = np.concatenate(known or [np.zeros(0, np.uint8)]).astype(bool) | (counts > 1)
+    flags = np.zeros(len(order), bool)
+    flags[order] = twice[at]
+    return flags
 
 
 def _bits(raw: bytes, n: int) -> np.ndarray:
@@ -160,18 +173,19 @@ def marks(found: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, k, n, raw in zip(*(batch[c] for c in ("d", "k", "n", "flags")), strict=True):
+            for d, k, n, h, parts in zip(*(batch[c] for c in ("d", "k", "n", "h", "parts")), strict=True):
                 d, k, n = (np.array(x.as_py(), np.int64) for x in (d, k, n))
-                each = np.split(_bits(raw.as_py(), int(n.sum())), np.cumsum(n)[:-1])
+                each = np.split(flagged(seed_hashes(h), parts.as_py()), np.cumsum(n)[:-1])
                 some = np.array([x.any() for x in each], bool)
                 yield pa.RecordBatch.from_arrays([pa.array(d[some]), pa.array(k[some]), pa.array([np.packbits(x).tobytes() for x, s in zip(each, some, strict=True) if s], pa.binary())], ["d", "k", "marks"])
 
-    flagged = found.select("block", "d", "k", "n").join(repeated(found, 1), "block").select("d", "k", "n", "flags")
+    counted = found.withColumn("hashes", (F.octet_length("h") / 8).cast("long"))
+    known = found.join(repeated(counted, ["h"], seed_hashes, 1), "block").select("d", "k", "n", "h", "parts")
     # Rows that repeat a document have the same marks.
-    return materialize(flagged.mapInArrow(task, "d long, k long, marks binary").dropDuplicates(["d", "k"]), "marks")
+    return materialize(known.mapInArrow(task, "d long, k long, marks binary").dropDuplicates(["d", "k"]), "marks")
 
 
-_EXTENDED = "block long, doc_id array<long>, text array<string>, n array<long>, asked array<binary>, h binary, one long, n_words long, kept_sha256 string"
+_EXTENDED = "block long, doc_id array<long>, text array<string>, n array<long>, asked array<binary>, hashes long, one long, n_words long, kept_sha256 string"
 
 
 def extend(docs: DataFrame, marked: DataFrame, window: int, seed: int) -> DataFrame:
@@ -186,10 +200,10 @@ def extend(docs: DataFrame, marked: DataFrame, window: int, seed: int) -> DataFr
         def flush() -> pa.RecordBatch:
             nonlocal block, size, hashes
             block += 1
-            ids, texts, n, asked, h = zip(*held, strict=True)
+            ids, texts, n, asked = zip(*held, strict=True)
             held.clear()
-            size = hashes = 0
-            rows = [pa.array([block]), pa.array([list(ids)], pa.list_(pa.int64())), pa.array([list(texts)], pa.list_(pa.string())), pa.array([list(n)], pa.list_(pa.int64())), pa.array([list(asked)], pa.list_(pa.binary())), pa.array([b"".join(h)], pa.binary())]
+            count, size, hashes = hashes, 0, 0
+            rows = [pa.array([block]), pa.array([list(ids)], pa.list_(pa.int64())), pa.array([list(texts)], pa.list_(pa.string())), pa.array([list(n)], pa.list_(pa.int64())), pa.array([list(asked)], pa.list_(pa.binary())), pa.array([count], pa.int64())]
             return pa.RecordBatch.from_arrays([*rows, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string())], names)
 
         for batch in batches:
@@ -198,7 +212,6 @@ def extend(docs: DataFrame, marked: DataFrame, window: int, seed: int) -> DataFr
             for i, n, words in blocks(batch["text"]):
                 if any(m is not None for m in known[i : i + n]):
                     starts, anchor, places, _ = anchors(words, window, seed)
-                    runs = np.stack([words.runs(window, lane) for lane in (0, 1)], axis=1)
                     at, of = np.searchsorted(starts, words.first), np.searchsorted(places, words.first)
                 for j in range(n):
                     text, mark = batch["text"][i + j].as_py() or "", known[i + j]
@@ -207,15 +220,14 @@ def extend(docs: DataFrame, marked: DataFrame, window: int, seed: int) -> DataFr
                         done.append((ids[i + j], count, hashlib.sha256(b" ".join(text.encode().split())).hexdigest()))
                         continue
                     asked = _bits(mark, int(of[j + 1] - of[j]))[anchor[at[j] : at[j + 1]] - of[j]]
-                    h = runs[starts[at[j] : at[j + 1]][asked]]
-                    held.append((ids[i + j], text, count, np.packbits(asked).tobytes(), h.tobytes()))
-                    size, hashes = size + len(text), hashes + len(h)
+                    held.append((ids[i + j], text, count, np.packbits(asked).tobytes()))
+                    size, hashes = size + len(text), hashes + int(asked.sum())
                     if size >= BLOCK_TEXT or hashes >= BLOCK_HASHES:
                         yield flush()
             if done:
                 one, n_words, kept = zip(*done, strict=True)
                 n = len(done)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.binary())), pa.nulls(n, pa.binary()), pa.array(one, pa.int64()), pa.array(n_words, pa.int64()), pa.array(kept)], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.binary())), pa.nulls(n, pa.int64()), pa.array(one, pa.int64()), pa.array(n_words, pa.int64()), pa.array(kept)], names)
         if held:
             yield flush()
 
@@ -226,11 +238,12 @@ def extend(docs: DataFrame, marked: DataFrame, window: int, seed: int) -> DataFr
 def cut(extended: DataFrame, window: int, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of the documents in blocks."""
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
+    read = window_hashes(window)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts, counts, asked, raw, flags in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "n", "asked", "h", "flags")), strict=True):
-                found, at, rows = _bits(flags, len(raw) // 16), 0, []
+            for ids, texts, counts, asked, parts, *given in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "n", "asked", "parts")), batch["text"], batch["asked"], strict=True):
+                found, at, rows = flagged(read(*given), parts), 0, []
                 for doc_id, text, n, mask in zip(ids, texts, counts, asked, strict=True):
                     windows = np.flatnonzero(_bits(mask, n - window + 1))
                     hit = windows[found[at : at + len(windows)]]
@@ -246,7 +259,7 @@ def cut(extended: DataFrame, window: int, keep_text: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], [x.split()[0] for x in schema.split(", ")])
 
     asked = extended.where("block is not null")
-    return asked.join(repeated(asked, 2), "block").select("doc_id", "text", "n", "asked", "h", "flags").mapInArrow(task, schema)
+    return asked.join(repeated(asked, ["text", "asked"], read, 2), "block").select("doc_id", "text", "n", "asked", "parts").mapInArrow(task, schema)
 
 
 def removals(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
