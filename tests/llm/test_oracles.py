@@ -14,5 +14,5 @@ def test_query_matches_oracle(spark, name):
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(entry.queries())

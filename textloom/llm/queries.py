@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import counts, decontam, exact, lines, neardup, packing, pii, substrings, toxicity, warc
+from textloom.llm import counts, decontam, exact, lines, merkle, neardup, packing, pii, repair, simhash, substrings, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": lines.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_substring_dedup": substrings.query,
     "op9_toxicity": toxicity.query,
     "op10_token_counts": counts.query,
+    "op11_structure_repair": repair.query,
+    "op12_simhash_neardup": simhash.query,
+    "op13_merkle_manifest": merkle.query,
     # What op5's index finds besides exact passages.
     "proximity_matches": decontam.proximity_query,
 }
