@@ -15,11 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import decontam, exact, neardup, packing, toxicity
-from textloom.storage import materialize, read_table
+from textloom.storage import bound_batches, materialize, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
+    bound_batches(spark)
     model = toxicity.learn(docs, read_table(spark, sf_dir, "labels"))
     return toxicity.reject(docs, model)
 
@@ -31,6 +32,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity of 0.8) one stays."""
+    bound_batches(spark)
     return neardup.keep_one(docs, shingle=5, similarity=0.8)
 
 
@@ -41,6 +43,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as pieces of full windows."""
+    bound_batches(spark)
     return packing.production(docs)
 
 

@@ -19,16 +19,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, after bounding the bytes of the Arrow batches that its session sends to Python.
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the Arrow batches that a session sends to Python, for good.
 
     Rows of long texts then come a few at a time, whatever the number of rows in a batch
-    is set to. A smaller bound of the session stays.
+    is set to. A smaller bound stays. Operators leave the session as it is; whoever opens it,
+    such as the registered queries, calls this once.
     """
-    conf = df.sparkSession.conf
-    if int(conf.get(_BATCH_BYTES, str(1 << 26)).rstrip("b")) > ARROW_BYTES:
-        conf.set(_BATCH_BYTES, str(ARROW_BYTES))
-    return df
+    said = spark.conf.get(_BATCH_BYTES, str(1 << 26))
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(said) <= ARROW_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
