@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from textloom.llm import counts, decontam, packing, pii, toxicity, warc
+from textloom.llm import counts, decontam, exact, lines, neardup, packing, pii, toxicity, warc
 from textloom.storage import new_path
 
 public = pytest.importorskip("public_tokenizers")
@@ -389,5 +389,35 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
         assert df.columns == columns
     want = [(5, base + " end"), (5, other), (None, base + "  "), (None, None), (9, single), (9, single)]
     assert sorted(((r.doc_id, r.text) for r in df.collect()), key=str) == sorted(want, key=str)
+    assert all(tuple(r)[5:] == extra for r in df.collect())
     assert pipeline.run(spark, f"{folder}/odd").where("start = 0").count() == len(want)
     assert pipeline.run(spark, f"{folder}/none").count() == 0
+
+
+#: Names that operators use, or have used, for columns of their own, and names that need quotes.
+OWN = ("_key0", "_KEY1", "_key2", "_key3", "_key4", "_key5", "_key6", "_key7", "_tl_id", "_tl_digest", "_tl_points", "_tl_hash", "_tl_d", "_tl_k", "_tl_doc", "_tl_gone", "d", "k", "doc", "at", "id", "digest", "code_points", "keep_id", "copies", "fp1", "fp2", "node", "root", "text_hash", "word", "pos", "row", "kind", "start", "stop", "value", "spans", "gone", "s", "x", "i", "score", "a.b", "a b")
+
+
+@pytest.mark.parametrize("name", ["keep_one", "drop_copies", "clean", "drop_lines", "redact", "reject"])
+def test_columns_pass_through_row_filters_with_their_values(spark, name):
+    base = " ".join(f"w{i}" for i in range(40))
+    texts = [base, base + " ", base + " more", None, "", "mail a@b.de or +1 555 123 4567", "one line of twenty letters\none line of twenty letters\nend", "bench0 bench1 bench2"]
+    rows = [(i, t, *(100 * i + n for n in range(len(OWN)))) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in OWN))
+    items = spark.createDataFrame([(1, "bench0 bench1 bench2")], "item_id long, text string")
+    run = {
+        "keep_one": neardup.keep_one, "drop_copies": exact.drop_copies, "clean": lambda d: decontam.clean(d, items), "drop_lines": lines.drop_lines, "redact": pii.redact,
+        "reject": lambda d: toxicity.reject(d, toxicity.learn(d, labels_for(spark, [(0, 1, 0), (7, 1, 1)]))),
+    }[name]
+    got = run(docs)
+    assert got.columns == docs.columns
+    by_id = {r[0]: r for r in rows}
+    found = [tuple(r) for r in got.collect()]
+    assert all(r[2:] == by_id[r[0]][2:] for r in found)
+    left = {r[0]: r[1] for r in found}
+    if name in ("keep_one", "drop_copies", "clean", "reject"):
+        gone = {"keep_one": {1, 2}, "drop_copies": {0, 4}, "clean": {7}, "reject": set()}[name]
+        assert left == {i: t for i, t in enumerate(texts) if i not in gone}
+    else:
+        assert left.keys() == by_id.keys()
+        assert left[5] == (texts[5] if name == "drop_lines" else "mail <EMAIL> or <PHONE>") and left[6].count("twenty") == (1 if name == "drop_lines" else 2)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.files import committed, filesystem
 from textloom.llm.tokens import encode
-from textloom.storage import bounded_batches, materialize, maybe_broadcast, new_path, read_table
+from textloom.storage import materialize, maybe_broadcast, new_path, read_table
 
 #: Bytes of a block.
 BLOCK_BYTES = 1 << 22
@@ -54,7 +54,7 @@ def write_token_files(docs: DataFrame, path: str, ranks: str, separator: int, wi
                 ordinal += n
                 batch = next(batches, None)
 
-    return materialize(bounded_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(task, "shard long, ordinal long, doc_id long"), "token-docs")
+    return materialize(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(task, "shard long, ordinal long, doc_id long"), "token-docs")
 
 
 def blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:

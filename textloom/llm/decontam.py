@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.text import lower_ascii, words
+from textloom.rows import without_rows
 from textloom.skew import join_counted
 from textloom.storage import maybe_broadcast, materialize, new_path, read_table, small_enough
 
@@ -185,9 +186,7 @@ def proximity(docs: DataFrame, benchmark: DataFrame, slop: int = SLOP, window: i
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without any hit, with all their columns."""
-    bad = materialize(contamination(docs, benchmark, window).where("n_hit > 0").select(F.col("d").alias("_tl_d"), F.col("k").alias("_tl_k")).distinct(), "contaminated")
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col("_tl_d")) & (F.xxhash64("text") == F.col("_tl_k"))
-    return docs.join(maybe_broadcast(bad, BROADCAST_ROWS), same, "left_anti")
+    return without_rows(docs, _keys(), contamination(docs, benchmark, window).where("n_hit > 0").select("d", "k"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,25 +22,32 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.rows import without_rows
 from textloom.skew import join_counted
-from textloom.storage import maybe_broadcast, materialize, new_path, read_table
+from textloom.storage import materialize, new_path, read_table
 
 _WHITE = "[\\x20\\x09-\\x0D]+"
 _NO_ID = (1 << 63) - 1
-#: Copies that go, counted to be at most so many, are broadcast.
-BROADCAST_ROWS = 200_000
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), _WHITE, "")
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.encode(normalised(text), "UTF-8"), 256))
+
+
+def _code_points(text: Column) -> Column:
+    return F.length(F.coalesce(text, F.lit(""))).cast("long")
+
+
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, digest (SHA-256 of the normalised text) and code points of every row."""
     return docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
-        F.unhex(F.sha2(F.encode(normalised(F.col(text)), "UTF-8"), 256)).alias("digest"),
-        F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("code_points"),
+        _digest(F.col(text)).alias("digest"),
+        _code_points(F.col(text)).alias("code_points"),
     )
 
 
@@ -129,17 +136,12 @@ def exact_groups(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame
 def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    The shuffle moves digests, never texts: a row is recognised by its doc_id, text
-    digest and code points, which also settle whether it is kept, and the losers are
-    anti-joined by all three.
+    A row is recognised by its doc_id, text digest and code points, which also settle
+    whether it is kept. Digests are shuffled. Texts are not where the losers are few, and
+    else only those that a filter of the losers' keys does not rule out.
     """
-    losers = _decided(docs, index).where(~F.col("kept")).select(F.col("doc_id").alias("_tl_id"), F.col("digest").alias("_tl_digest"), F.col("code_points").alias("_tl_points")).distinct()
-    # Where the losers are counted to be few, texts stay where they are.
-    losers = maybe_broadcast(materialize(losers, "copies"), BROADCAST_ROWS)
-    keyed = docs.withColumns({"_tl_digest": F.unhex(F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256)), "_tl_id": F.col("doc_id").cast("long"), "_tl_points": F.length(F.coalesce("text", F.lit(""))).cast("long")})
-    same = keyed["_tl_id"].eqNullSafe(losers["_tl_id"]) & (keyed["_tl_digest"] == losers["_tl_digest"]) & (keyed["_tl_points"] == losers["_tl_points"])
-    kept = keyed.join(losers, same, "left_anti")
-    return kept.select(*docs.columns)
+    losers = _decided(docs, index).where(~F.col("kept")).select("doc_id", "digest", "code_points")
+    return without_rows(docs, [F.col("doc_id").cast("long"), _digest(F.col("text")), _code_points(F.col("text"))], losers)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.components import components
+from textloom.rows import with_value
 from textloom.skew import join_counted
 from textloom.storage import maybe_broadcast, materialize, read_table
 
@@ -255,11 +256,10 @@ def summaries(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_
 
 def drop_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the repeated lines taken out of the texts; all columns and rows stay."""
-    gone = decisions(docs, threshold, min_chars).where("not kept").groupBy(F.col("doc").alias("_tl_doc"), F.col("k").alias("_tl_k")).agg(F.collect_set("at").alias("_tl_gone"))
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("_tl_doc")) & (F.xxhash64("text") == F.col("_tl_k"))
-    left = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(_tl_gone, i)), '\\n')")
-    joined = docs.join(gone, same, "left")
-    return joined.withColumn("text", F.when(F.col("_tl_gone").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    gone = decisions(docs, threshold, min_chars).where("not kept").groupBy("doc", "k").agg(F.collect_set("at").alias("gone"))
+    joined, added = with_value(docs, [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.xxhash64("text")], gone)
+    left = F.expr(f"array_join(filter(split(text, '\\n'), (x, i) -> not array_contains({added[-1]}, i)), '\\n')")
+    return joined.withColumn("text", F.when(F.col(added[-1]).isNull(), F.col("text")).otherwise(left)).drop(*added)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import lower_ascii
 from textloom.skew import join_counted
-from textloom.storage import bounded_batches, materialize, read_table
+from textloom.storage import materialize, read_table
 
 FAN, LEVELS = 8, 4
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -243,7 +243,7 @@ def folded(manifest: Manifest) -> DataFrame:
                 columns = [pa.array([x["key"] for x in nodes], pa.int64()), pa.array([x["digest"] for x in nodes]), pa.array([subroot] * n), pa.array([root] * n), pa.array(proofs), pa.array(roots), pa.array([r == root for r in roots])]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"])
 
-    met = bounded_batches(manifest.groups).join(manifest.paths, ["tree", "grp"])
+    met = manifest.groups.join(manifest.paths, ["tree", "grp"])
     return met.select("size", "nodes", "path", "subroot", "root").mapInArrow(task, _FOLDED)
 
 

@@ -41,8 +41,9 @@ from pyspark.sql import functions as F
 
 from textloom.llm.wordhash import blocks, mix
 from textloom.operators.components import components
+from textloom.rows import without_rows
 from textloom.skew import join_counted
-from textloom.storage import bounded_batches, maybe_broadcast, materialize, read_table
+from textloom.storage import maybe_broadcast, materialize, read_table
 
 #: Bands, registers of a band; base and largest value of the registers.
 BANDS, ROWS = 32, 4
@@ -395,7 +396,7 @@ def _hub_pairs(entries: DataFrame) -> DataFrame:
 
 def _decided(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept of every row."""
-    rows = materialize(sketches(bounded_batches(docs), shingle), "sketches")
+    rows = materialize(sketches(docs, shingle), "sketches")
     alike = rows.where("sketch is not null and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     # Ids of nodes are given once and written; a fingerprint's half might not be unique.
     nodes = materialize(alike.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -436,9 +437,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     A row is recognised by its doc_id and its text's hash, as a doc_id may be on
     several rows with different texts.
     """
-    losers = _decided(docs, shingle, similarity).where("not kept").select(F.col("doc_id").alias("_tl_id"), F.col("text_hash").alias("_tl_hash")).distinct()
-    losers = maybe_broadcast(materialize(losers, "near-copies"), BROADCAST_ROWS)
-    return docs.join(losers, (F.col("doc_id").cast("long") == F.col("_tl_id")) & (F.xxhash64("text") == F.col("_tl_hash")), "left_anti")
+    losers = _decided(docs, shingle, similarity).where("not kept").select("doc_id", "text_hash")
+    return without_rows(docs, [F.col("doc_id").cast("long"), F.xxhash64("text")], losers)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import lower_ascii
+from textloom.rows import with_value
 from textloom.storage import materialize, read_table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -163,13 +164,13 @@ def spans(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; all rows and columns stay."""
-    per_doc = spans(docs).groupBy(F.col("d").alias("_tl_d"), F.col("k").alias("_tl_k")).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kind"))).alias("_tl_spans"))
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col("_tl_d")) & (F.xxhash64("text") == F.col("_tl_k"))
-    cut = F.expr("""aggregate(_tl_spans, named_struct('out', cast('' as string), 'at', 0L), (s, x) -> if(x.start < s.at,
+    per_doc = spans(docs).groupBy("d", "k").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kind"))).alias("spans"))
+    joined, added = with_value(docs, [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64("text")], per_doc)
+    cut = F.expr(f"""aggregate({added[-1]}, named_struct('out', cast('' as string), 'at', 0L), (s, x) -> if(x.start < s.at,
       named_struct('out', s.out, 'at', greatest(s.at, x.stop)),
       named_struct('out', concat(s.out, substring(text, cast(s.at as int) + 1, cast(x.start - s.at as int)), '<', upper(x.kind), '>'), 'at', x.stop)),
       s -> concat(s.out, substring(text, cast(s.at as int) + 1)))""")
-    return docs.join(per_doc, same, "left").withColumn("text", F.when(F.col("_tl_spans").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col(added[-1]).isNull(), F.col("text")).otherwise(cut)).drop(*added)
 
 
 def summaries(docs: DataFrame) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 from textloom.llm import counts, decontam, exact, lines, merkle, neardup, packing, pii, repair, simhash, substrings, toxicity, warc
+from textloom.storage import bound_batches
 
-QUERIES = {
+_OPERATORS = {
     "op1_line_dedup": lines.query,
     "op2_minhash_neardup": neardup.query,
     "op3_packing": packing.query,
@@ -21,6 +26,17 @@ QUERIES = {
     # What op5's index finds besides exact passages.
     "proximity_matches": decontam.proximity_query,
 }
+
+
+def _entry(operator: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return operator(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: _entry(operator) for name, operator in _OPERATORS.items()}
 ORACLES = {
     "op2_minhash_neardup": neardup.ORACLE,
     "op4_warc": warc.ORACLE,

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.storage import bounded_batches, maybe_broadcast, materialize, read_table
+from textloom.storage import maybe_broadcast, materialize, read_table
 
 KEEP, REROLE, DELETE, INSERT, BROKEN = 0, 1, 2, 5, 5
 #: A conversation of more turns, or more bytes of text, is searched by segments.
@@ -261,7 +261,7 @@ def _solved(make: Callable[[int | None, Conversation, int, str], Iterator[tuple]
 
 
 def _ordinary(rows: DataFrame, make, schema: pa.Schema) -> DataFrame:
-    dealt = bounded_batches(rows).repartition("conv_id").sortWithinPartitions(F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), "role", "text")
+    dealt = rows.repartition("conv_id").sortWithinPartitions(F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), "role", "text")
     return dealt.mapInArrow(_solved(make, schema), _ddl(schema))
 
 

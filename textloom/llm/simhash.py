@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators.components import components
 from textloom.skew import join_counted
-from textloom.storage import bounded_batches, materialize, read_table
+from textloom.storage import materialize, read_table
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Bytes of a text whose words are held as objects at a time.
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             made = np.array([fingerprint(t.as_py(), shingle) for t in batch["text"]], np.uint64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(made.view(np.int64))], ["doc_id", "fp"])
 
-    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, fp long")
 
 
 def _masks(distance: int) -> list[int]:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.wordhash import PUNCTUATION, blocks
-from textloom.storage import bounded_batches, materialize, maybe_broadcast, read_table
+from textloom.storage import materialize, maybe_broadcast, read_table
 
 #: At most so many positive and so many unlabelled rows are used to fit the weights.
 SAMPLE = (5_000, 12_000)
@@ -240,7 +240,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, features: int = FEATURES) -> Model:
-    words = choose(*training_texts(bounded_batches(docs), labels), features)
+    words = choose(*training_texts(docs, labels), features)
     rows, prior = training_rows(docs, labels, sample)
     if not len(words) or not 0 < prior < 1:
         prior = min(max(prior, 1e-6), 1 - 1e-6)
@@ -263,9 +263,12 @@ def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(scores(batch["text"], sent.value) < threshold))
+            yield batch.filter(pa.array(scores(batch[at], sent.value) < threshold))
 
-    return bounded_batches(docs).mapInArrow(task, docs.schema)
+    # Columns go by their places, as names may need quotes.
+    at = docs.columns.index("text")
+    placed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return placed.mapInArrow(task, placed.schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
