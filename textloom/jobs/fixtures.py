@@ -67,6 +67,14 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trade_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, label of the customers, suppliers and nations in ``trade_edges``."""
+    def one(table, key, name):
+        return read_table(spark, sf_dir, table).select(key.alias("id"), F.col(name).alias("label"))
+
+    return one("customer", _id("c", "c_custkey"), "c_name").unionByName(one("supplier", _id("s", "s_suppkey"), "s_name")).unionByName(one("nation", _id("n", "n_nationkey"), "n_name"))
+
+
 def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, target: orders to customers, parts and suppliers."""
     orders, lines = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "lineitem")

@@ -11,9 +11,9 @@ from textloom import labels
 from textloom.functions.hashing import murmur3_bucket
 from textloom.functions.text import cache_key, document_id, words
 from textloom.jobs import export, fixtures, search
-from textloom.operators import chunking, enrich, graphs, render, retrieval, safety, store, xref
+from textloom.operators import chunking, enrich, graphs, postings, render, retrieval, safety, store, xref
 from textloom.sources import files, html, text
-from textloom.storage import read_table
+from textloom.storage import new_path, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,6 +76,14 @@ def sparse_topk(spark, d):
     return _sparse(spark, d, 10)
 
 
+@query("sparse_topk_blocks", f"WITH {_SPARSE} SELECT query_id, chunk_id, score, rank FROM sp WHERE rank <= 10")
+def sparse_topk_blocks(spark, d):
+    """The same search through a posting store, which leaves blocks out."""
+    stored = postings.build(read_table(spark, d, "documents").withColumnRenamed("doc_id", "chunk_id"), new_path(spark, "postings"))
+    asked = retrieval.token_weights(read_table(spark, d, "benchmark"), "item_id").withColumnRenamed("item_id", "query_id")
+    return stored.topk(asked, 10)
+
+
 def _dense(spark, d, limit, keep=lambda c: c):
     chunks = fixtures.chunk_vectors(spark, d)
     return retrieval.dense_topk(fixtures.vector_queries(chunks), keep(chunks), limit)
@@ -161,9 +169,9 @@ def fallback_gate(spark, d):
   WHEN regexp_matches(q, '\b(chart|figure|diagram|image|picture|plot|graph)s?\b') THEN 'visual' WHEN regexp_matches(q, '\b(formula|equation|theorem|integral|derive)s?\b') THEN 'mathematical'
   WHEN regexp_matches(q, '\b(code|algorithm|function|pseudocode|implementation)s?\b') THEN 'code' WHEN regexp_matches(q, '\b(relate|relates|related|relationship|depends|connected)\b') THEN 'relational'
   WHEN regexp_matches(q, '\b(why|compare|analyse|analyze|explain|trend|impact)\b') THEN 'analytical' WHEN regexp_matches(q, '\b(what|who|when|where|which|how many|how much)\b') THEN 'factual' ELSE 'general' END AS intent
-FROM (SELECT conv_id, turn, lower(substr(text, 1, 500)) AS q FROM conversations)""")
+FROM (SELECT conv_id, turn, lower(text) AS q FROM conversations)""")
 def query_intents(spark, d):
-    return read_table(spark, d, "conversations").select("conv_id", "turn", retrieval.intent(F.col("text"), 500).alias("intent"))
+    return read_table(spark, d, "conversations").select("conv_id", "turn", retrieval.intent(F.col("text")).alias("intent"))
 
 
 def _answers(spark, d):
@@ -173,11 +181,11 @@ def _answers(spark, d):
     hits = _hybrid(spark, d).join(docs, "chunk_id").join(asked, "query_id")
     none = F.lit(None).cast("string")
     hits = hits.withColumns({"enriched_text": none, "page": F.lit(1), "modality": F.lit("text"), "concept_tags": F.lit(None).cast("array<string>"), "retrieval_source": F.lit("vector")})
-    return retrieval.rerank(hits, 5, 2000)
+    return retrieval.rerank(hits, 5)
 
 
 _ANSWERS = f"""{_FUSED}, k AS (SELECT h.query_id, h.chunk_id, h.score AS first_score, t.text, t.source, t.lang, b.text AS query FROM h JOIN documents t ON t.doc_id = h.chunk_id JOIN benchmark b ON b.item_id = h.query_id WHERE rank <= 10),
-o AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(query), {_WS}), lambda w: w <> '')) AS qw, list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 2000)), {_WS}), lambda w: w <> '')) AS tw FROM k),
+o AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(query), {_WS}), lambda w: w <> '')) AS qw, list_distinct(list_filter(regexp_split_to_array(lower(text), {_WS}), lambda w: w <> '')) AS tw FROM k),
 sc AS (SELECT *, round(coalesce(len(list_intersect(qw, tw)) / nullif(len(qw), 0), 0), 9) AS score FROM o),
 a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_score DESC, chunk_id) AS rank FROM sc) WHERE rank <= 5)"""
 
@@ -415,11 +423,11 @@ def semantic_merge(spark, d):
     return chunking.semantic_merge(rows, threshold=0.3)
 
 
-@query("concept_tags", rf"""WITH t AS (SELECT doc_id, list_filter(list_transform(list_filter(regexp_split_to_array(substr(text, 1, 5000), {_WS}), lambda w: w <> ''), lambda w: regexp_replace(w, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g')), lambda w: regexp_matches(w, '^[A-Z][a-z]') AND length(w) > 3) AS c FROM documents),
+@query("concept_tags", rf"""WITH t AS (SELECT doc_id, list_filter(list_transform(list_filter(regexp_split_to_array(text, {_WS}), lambda w: w <> ''), lambda w: regexp_replace(w, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g')), lambda w: regexp_matches(w, '^[A-Z][a-z]') AND length(w) > 3) AS c FROM documents),
 u AS (SELECT DISTINCT doc_id, unnest(c) AS w FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(w) DESC, w) AS n FROM u)
 SELECT t.doc_id, coalesce(string_agg(w, '|' ORDER BY n) FILTER (n <= 10), '') AS tags FROM t LEFT JOIN r USING (doc_id) GROUP BY t.doc_id""")
 def concept_tags(spark, d):
-    return read_table(spark, d, "documents").select("doc_id", F.array_join(enrich.concept_tags(F.col("text"), read=5000), "|").alias("tags"))
+    return read_table(spark, d, "documents").select("doc_id", F.array_join(enrich.concept_tags(F.col("text")), "|").alias("tags"))
 
 
 @query("caption_text", "SELECT event_id, coalesce(json_extract_string(props, '$.k'), props) AS said FROM events")
@@ -532,12 +540,15 @@ def graph_traverse(spark, d):
     return graphs.traverse(_dense(spark, d, 5), nodes, steps)
 
 
-@query("edge_list_text", f"""WITH {_TRADE}, r AS (SELECT target AS doc_id, source, relation, row_number() OVER (PARTITION BY target ORDER BY source) AS n FROM tr)
-SELECT doc_id, string_agg('  ' || source || ' --[' || relation || ']--> ' || doc_id, chr(10) ORDER BY n) AS edges_text FROM r WHERE n <= 50 GROUP BY doc_id""")
+@query("edge_list_text", f"""WITH {_TRADE}, nm AS (SELECT 'c' || c_custkey AS id, c_name AS label FROM customer UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation),
+r AS (SELECT target AS doc_id, source, coalesce(label, source) AS said, relation FROM tr LEFT JOIN nm ON nm.id = source)
+SELECT doc_id, string_agg('  ' || said || ' --[' || relation || ']--> ' || doc_id, chr(10) ORDER BY source) AS edges_text FROM r GROUP BY doc_id""")
 def edge_list_text(spark, d):
+    """All edges, sources under their names; regions, which only are targets here, under their ids."""
     edges = fixtures.trade_edges(spark, d).withColumn("doc_id", F.col("target"))
-    nodes = fixtures.nodes_of(edges).limit(0).select(F.lit("").alias("doc_id"), "id", F.col("id").alias("label"))
-    return graphs.edge_text(edges, nodes)
+    names = fixtures.trade_names(spark, d)
+    nodes = edges.select("doc_id", F.col("source").alias("id")).distinct().join(names, "id")
+    return graphs.edge_text(edges, nodes, limit=None)
 
 
 @query("mean_pool", """WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, 64)) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY ALL)

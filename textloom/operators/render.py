@@ -95,4 +95,4 @@ def extractive_answer(queries: DataFrame, hits: DataFrame, sources: int = 3, tok
     kept = _optional(hits).where(F.col("n") <= sources)
     quoted = F.concat(F.array_join(F.slice(words(F.col("text")), 1, tokens), " "), F.lit(" ["), _label(), F.lit(" "), F.col("n").cast("string"), F.lit("]"))
     answers = _joined(kept, quoted, "\n", "answer")
-    return queries.select("query_id").join(answers, "query_id", "left").select("query_id", F.coalesce("answer", F.lit("I could not find reliable information to answer this question.")).alias("answer"))
+    return queries.select("query_id").join(answers, "query_id", "left").select("query_id", F.coalesce("answer", F.lit("None of the sources found says enough for an answer.")).alias("answer"))
