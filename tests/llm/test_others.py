@@ -192,6 +192,7 @@ def test_pii_bootstrap_finds_unseen_identifiers_in_learnt_contexts(spark):
 def all_spans(docs):
     """(kind, start, stop) of every span of every document: base forms, seed secrets, and a plain bootstrap."""
     import regex
+    import xxhash
 
     def mentions(i, text, form):
         found = list(regex.finditer(form, text))
@@ -218,8 +219,9 @@ def all_spans(docs):
         starts = {(k, a, b) for k, a, b in base}
         for kind, form in FORMS.items():
             seeds += [(*m, kind) for m in mentions(i, text, form) if (kind, m[1], m[2]) in starts]
+        shared = xxhash.xxh64_intdigest(text.encode(), 42) % pii.SEED_SHARE == 0
         secret = rf'(?<=\b(?:{"|".join(pii.KEY_WORDS)}) ?= ?")[0-9a-f]{{32,}}+(?=")'
-        mine = [(*m, "secret") for m in mentions(i, text, secret) if not any(a < m[2] and b > m[1] for _, a, b in base)]
+        mine = [(*m, "secret") for m in mentions(i, text, secret) if shared and not any(a < m[2] and b > m[1] for _, a, b in base)]
         seeds += mine
         spans[i] |= {("secret", m[1], m[2]) for m in mine}
         token = r"""(?<![A-Za-z0-9._@+-])(?=(?:[A-Za-z._@+-]*+[0-9]){4})[A-Za-z0-9._@+-]++|(?<=[=:] ?["']?)[A-Za-z0-9._@+-]{4,}+"""
@@ -229,17 +231,21 @@ def all_spans(docs):
             if len(bare) >= 4 and not any(x < a + lead + len(bare) and y > a + lead for _, x, y in spans[i]):
                 others.append((i, a + lead, a + lead + len(bare), bare, before + value[:lead], value[lead + len(bare) :] + after, None))
     kinds = {*(x[6] for x in seeds)}
-    values, by_seed = {}, {}
+    values, by_seed, in_share = {}, {}, {}
+    share = {i for i, text in docs if xxhash.xxh64_intdigest(text.encode(), 42) % pii.SEED_SHARE == 0}
     for x in seeds + others:
         for p in patterns(x[4], x[5]):
             values.setdefault(p, set()).add(x[3])
+            if x[0] in share:
+                in_share.setdefault(p, set()).add(x[3])
             if x[6]:
                 by_seed.setdefault((p, x[6]), set()).add(x[3])
     usable = [k for k, v in by_seed.items() if len(v) >= pii.SUPPORT]
     certain = {(x[3], x[6]): 1.0 for x in seeds}
     believed, good = dict(certain), {}
-    for _ in range(pii.ROUNDS):
-        good = {(p, k): sum(believed.get((v, k), 0.0) for v in values[p]) / len(values[p]) for p, k in usable}
+    for n in range(pii.ROUNDS):
+        count = lambda p, k: len(values[p] if n or k != "secret" else in_share[p])  # noqa: E731, B023
+        good = {(p, k): sum(believed.get((v, k), 0.0) for v in values[p]) / count(p, k) for p, k in usable}
         good = {x: c for x, c in good.items() if c >= pii.PATTERN_LIMIT}
         doubt = {}
         for v, k in {(x[3], k) for x in others for k in kinds}:
@@ -266,11 +272,11 @@ def test_pii_spans_equal_brute_force(spark):
         return "".join(r.choice("0123456789abcdef") for _ in range(n))
 
     docs = []
-    for i in range(90):
+    for i in range(400):
         secret = r.choice([*[hexes(40) for _ in range(16)], hexes(40).upper(), hexes(12), f"Zq-{hexes(20)}_x"])
         said = r.choice([*[f'token = "{secret}"'] * 5, f'my TOKEN = "{secret}"!!', f"part {r.randrange(10**6)} of 12345", f"at: {some(1)}", f"mail {some(1)}.{i}@h.example.com now"])
         docs.append((i, f"{some(r.randrange(5))} {said} {some(r.randrange(5))}"))
-    docs += [(100, ""), (101, 'token = "' + "ab12" * 5000 + '"'), (102, "-" * 20_000 + "1" * 5), (103, "a." * 20_000)]
+    docs += [(1000, ""), (1001, 'token = "' + "ab12" * 5000 + '"'), (1002, "-" * 20_000 + "1" * 5), (1003, "a." * 20_000)]
     assert sum("token" in t.lower() and not re.search('token = "[0-9a-f]{32,}"', t) for _, t in docs) > 5
     got = {x.doc_id: x for x in pii.summaries(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     want = all_spans(docs)

@@ -1,9 +1,11 @@
 """Personal data: fixed forms as seeds, and contextual extraction bootstrapped from them.
 
 Base spans are e-mail addresses, IPv4 addresses, payment card numbers and telephone
-numbers of fixed forms. The bootstrap treats them as seed instances, and so it does
-access secrets of the strictest form: a key word, an equals sign and a quoted run of
-at least 32 lower-case hexadecimal digits.
+numbers of fixed forms. They are seed instances of their kinds in all documents. Access
+secrets have no form that is searched for everywhere: their seeds are taken from one in
+SEED_SHARE documents by the hash of the text, where a key word, an equals sign and a
+quoted run of at least 32 lower-case hexadecimal digits count. All other secrets, of
+that form too, have to be found by the patterns that these seeds induce.
 
 1. Every mention gives lexical patterns from the words and marks around it: one to
    three before it, alone and with the one behind it. Mentions are seeds and
@@ -12,9 +14,11 @@ at least 32 lower-case hexadecimal digits.
 2. Patterns and instances form a graph. In each round a pattern's confidence for a
    kind is the mean confidence of its distinct instances, if enough different seeds
    support it; an instance's is that of any of its confident patterns being right
-   (noisy or). Seeds keep confidence 1 for their kind and 0 for others.
+   (noisy or). Seeds keep confidence 1 for their kind and 0 for others. The first round
+   takes the mean over the documents in which the kind's seeds were looked for, where
+   what is no seed speaks against the pattern; later ones over all documents.
 3. Candidates that end above the limit are spans of that kind, besides the base ones
-   and the seed secrets.
+   and the seed secrets. A table with fewer than SUPPORT different seeds teaches nothing.
 
 Offsets are code points. They come from the lengths of the pieces between matches, so
 Spark's own regular expressions do all the scanning; the forms use possessive
@@ -33,7 +37,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import lower_ascii
 from textloom.rows import with_value
-from textloom.storage import materialize, read_table
+from textloom.skew import join_counted
+from textloom.storage import materialize, maybe_broadcast, read_table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of all spans, in their order.
@@ -50,13 +55,16 @@ FORMS = {
 _IDENTIFIER, _MARKS = "[A-Za-z0-9._@+-]", "[._@+-]"
 #: A run with four digits, tried from its first character only, or one that is assigned.
 _CANDIDATE = (rf"(?<!{_IDENTIFIER})(?=(?:[A-Za-z._@+-]*+[0-9]){{4}}){_IDENTIFIER}++|(?<=[=:]\x20?[\x22\x27]?){_IDENTIFIER}{{4,}}+", r"[0-9=:]")
-#: Key words that may stand before a seed secret, and its form.
+#: One in so many documents gives seed secrets; key words that may stand before one, and its form.
+SEED_SHARE = 8
 KEY_WORDS = ("token", "secret", "password", "api_key", "access_key")
 _SECRET = (rf"(?<=\b(?:{'|'.join(KEY_WORDS)})\x20?=\x20?\x22)[0-9a-f]{{32,}}+(?=\x22)", "=\x20?\x22[0-9a-f]{32}")
 #: Characters on each side of a mention that its patterns may look at.
 REACH = 80
 #: Distinct seeds of a pattern, its least confidence, an instance's least confidence, rounds.
 SUPPORT, PATTERN_LIMIT, INSTANCE_LIMIT, ROUNDS = 5, 0.6, 0.8, 3
+#: Patterns, of at most three words and a mark within REACH characters, that are broadcast.
+BROADCAST_PATTERNS = 50_000
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -126,36 +134,56 @@ def patterns(found: DataFrame) -> DataFrame:
     return with_parts.withColumn("pattern", F.explode(F.array_compact(F.array(*made)))).drop("left", "right", "before", "after")
 
 
+def _shared() -> Column:
+    """Whether a document, by the hash of its text, is one of those that give seed secrets."""
+    return F.expr(f"pmod(k, {SEED_SHARE})") == 0
+
+
 def bootstrap(known: DataFrame, others: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """d, k, kind, start, stop of the candidates ``others`` that the bootstrap, from the seeds ``known``, takes for personal data."""
-    edges = materialize(patterns(known.unionByName(others)).select("pattern", "value", F.col("kind").alias("seed")).distinct(), "edges")
+    """d, k, kind, start, stop of the candidates ``others`` that the bootstrap, from the seeds ``known``, takes for personal data.
+
+    Joins by pattern broadcast the patterns where they are counted to be few; joins by value
+    keep the rows of hot values where they are.
+    """
+    found = patterns(known.unionByName(others)).groupBy("pattern", "value", F.col("kind").alias("seed")).agg(F.max(_shared()).alias("shared"))
+    edges = materialize(found, "edges")
     seeds = edges.where("seed is not null").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("confidence")).distinct()
-    instances = edges.groupBy("pattern").agg(F.count_distinct("value").alias("instances"))
+    instances = edges.groupBy("pattern").agg(F.count_distinct("value").alias("instances"), F.count_distinct(F.when(F.col("shared"), F.col("value"))).alias("shared_instances"))
     support = edges.where("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count_distinct("value").alias("seeds")).where(F.col("seeds") >= SUPPORT)
     # Only patterns with enough seeds can ever be confident.
     usable = materialize(support.join(instances, "pattern"), "usable-patterns")
-    names = usable.select("pattern").distinct()
+    names = maybe_broadcast(usable.select("pattern").distinct(), BROADCAST_PATTERNS)
     edges = materialize(edges.join(names, "pattern", "left_semi"), "usable-edges")
     open_edges = edges.where("seed is null").select("pattern", "value")
+    pairs = edges.select("pattern", "value").distinct()
+    degrees, n_pairs = pairs.groupBy("value").agg(F.count("*").alias("degree")), pairs.count()
     believed = seeds
-    for _ in range(rounds):
-        held = edges.select("pattern", "value").distinct().join(believed, "value").groupBy("pattern", "kind").agg(F.sum("confidence").alias("mass"))
-        scored = usable.join(held, ["pattern", "kind"]).select("pattern", "kind", (F.col("mass") / F.col("instances")).alias("confidence")).where(F.col("confidence") >= PATTERN_LIMIT)
+    for i in range(rounds):
+        per_value = believed.groupBy("value").agg(F.collect_list(F.struct("kind", "confidence")).alias("beliefs")).join(degrees, "value")
+        held = join_counted(pairs, per_value, "value", "degree", n_pairs).select("pattern", F.explode("beliefs").alias("b"))
+        mass = held.groupBy("pattern", F.col("b.kind").alias("kind")).agg(F.sum("b.confidence").alias("mass"))
+        of = F.col("instances") if i else F.when(F.col("kind").isin(*KINDS), F.col("instances")).otherwise(F.col("shared_instances"))
+        scored = usable.join(mass, ["pattern", "kind"]).select("pattern", "kind", (F.col("mass") / of).alias("confidence")).where(F.col("confidence") >= PATTERN_LIMIT)
         scored = materialize(scored, "confident-patterns")
         doubt = F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))
-        taken = materialize(open_edges.join(scored, "pattern").groupBy("value", "kind").agg((1 - doubt).alias("confidence")), "instances")
-        believed = seeds.unionByName(taken)
+        taken = materialize(open_edges.join(maybe_broadcast(scored, BROADCAST_PATTERNS), "pattern").groupBy("value", "kind").agg((1 - doubt).alias("confidence")), "instances")
+        # A value that is a seed in one place and a candidate in another counts once.
+        believed = seeds.unionByName(taken).groupBy("value", "kind").agg(F.max("confidence").alias("confidence"))
     best = taken.where(F.col("confidence") >= INSTANCE_LIMIT).groupBy("value").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
-    sure = materialize(best, "found-instances")
-    good = scored.select("pattern", "kind")
-    return patterns(others).drop("kind").join(sure, "value").join(good, ["pattern", "kind"], "left_semi").select("d", "k", "kind", "start", "stop").distinct()
+    mentioned = others.groupBy("value").agg(F.count("*").alias("mentions"))
+    sure = materialize(best.join(mentioned, "value"), "found-instances")
+    total = others.count()
+    held = join_counted(others.drop("kind"), sure, "value", "mentions", total).drop("mentions")
+    good = maybe_broadcast(scored.select("pattern", "kind"), BROADCAST_PATTERNS)
+    fit = patterns(held).join(good, ["pattern", "kind"], "left_semi")
+    return fit.select("d", "k", "kind", "start", "stop").distinct()
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """d, k, kind, start, stop, base for every span; d and k identify the document."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64("text").alias("k"), "text")
     base = materialize(base_spans(keyed), "base-spans")
-    secrets = materialize(_apart(mentions(keyed, *_SECRET, "secret").distinct(), base), "seed-secrets")
+    secrets = materialize(_apart(mentions(keyed.where(_shared()), *_SECRET, "secret").distinct(), base), "seed-secrets")
     seeds = base.unionByName(secrets)
     others = materialize(candidates(keyed, seeds), "candidate-mentions")
     more = secrets.select("d", "k", "kind", "start", "stop").unionByName(bootstrap(seeds, others))
