@@ -11,9 +11,9 @@ from textloom import labels
 from textloom.functions.hashing import murmur3_bucket
 from textloom.functions.text import cache_key, document_id, words
 from textloom.jobs import export, fixtures, search
-from textloom.operators import chunking, enrich, graphs, postings, render, retrieval, safety, store, xref
+from textloom.operators import cells, chunking, enrich, graphs, postings, render, retrieval, safety, store, xref
 from textloom.sources import files, html, text
-from textloom.storage import new_path, read_table
+from textloom.storage import bound_batches, new_path, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,6 +94,14 @@ def dense_topk(spark, d):
     return _dense(spark, d, 10)
 
 
+@query("dense_topk_cells", f"WITH {_VECTORS} SELECT query_id, chunk_id, score, rank FROM d WHERE rank <= 10")
+def dense_topk_cells(spark, d):
+    """The same search through an index of cells, in its exact mode."""
+    bound_batches(spark)
+    chunks = fixtures.chunk_vectors(spark, d)
+    return cells.build(chunks).topk(fixtures.vector_queries(chunks), 10)
+
+
 _ITEM_DENSE = """v AS (SELECT vec_id AS chunk_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 p AS (SELECT b.item_id AS query_id, v.chunk_id, round(list_dot_product(v.e, q.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))), 9) AS score
   FROM benchmark b JOIN v AS q ON q.chunk_id = b.item_id, v),
