@@ -27,7 +27,11 @@ _TAG = rf"</?[A-Za-z]{_REST}|<[!?/][^>]*+>"
 #: Comments, and scripts and styles, whose content is no markup.
 _RAW = r"(?is)<!--.*?-->|<(script|style)\b[^>]*+>.*?</\1\s*+>"
 _REFERENCE = r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"
-_BLANK = r"[\s\x1C-\x1F\x85\xA0  -     　]+"
+#: White space of Unicode: the characters that an element's text neither begins nor ends with.
+_BLANK = "".join(chr(n) for n in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+# The references that markup itself needs, which need no search through all names.
+_COMMON = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": "\xa0"}
+_OPEN_REFERENCE = r"&[^\s;<>]{0,33}$"
 #: Stand for < and & where they are no markup.
 _LESS, _AND = "", ""
 
@@ -65,7 +69,11 @@ def _character(reference: Column) -> Column:
     number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
     whole = F.try_element_at(known, F.concat(F.rtrim(name, F.lit(";")), F.lit(";")))
     named = F.coalesce(F.when(reference.endswith(";"), whole), cut, reference)
-    return F.when(reference.startswith("&#"), F.coalesce(whole, number)).otherwise(named)
+    said = F.when(reference.startswith("&#"), F.coalesce(whole, number)).otherwise(named)
+    common = None
+    for name, character in _COMMON.items():
+        common = (F if common is None else common).when(reference == name, F.lit(character))
+    return common.otherwise(said)
 
 
 def page_elements(html: Column) -> Column:
@@ -74,12 +82,12 @@ def page_elements(html: Column) -> Column:
 
     def text(piece: Column) -> Column:
         plain = _bound(F.regexp_replace(piece, _TAG, ""), lambda bare: F.when(bare.contains("&"), _interleaved(bare, _REFERENCE, _character)).otherwise(bare))
-        return F.regexp_replace(F.translate(plain, _LESS + _AND, "<&"), f"^{_BLANK}|{_BLANK}$", "")
+        return F.btrim(F.translate(plain, _LESS + _AND, "<&"), F.lit(_BLANK))
 
     def whole(page: Column) -> Column:
         # What the end cuts off: a tag, or the text that holds an open reference.
         page = F.regexp_replace(page, r"""(?s)<[A-Za-z/!?](?:"[^"]*+"|'[^']*+'|[^'">])*+(?:["'][^>]*+)?$""", "")
-        return F.regexp_replace(page, r"(?s)(?<=^|>)[^<>]*&[^\s;<>]{0,33}$", "")
+        return _bound(page, lambda x: F.when(x.rlike(_OPEN_REFERENCE), F.regexp_replace(x, rf"(?s)(?<=^|>)[^<>]*{_OPEN_REFERENCE}", "")).otherwise(x))
 
     def elements(page: Column) -> Column:
         tags = F.concat(F.array(F.lit("")), F.regexp_extract_all(page, F.lit(_BLOCK), F.lit(1)))
