@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +171,22 @@ def test_substrings_with_small_ranges_and_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute.removals(docs, 12)
 
 
+@pytest.mark.parametrize("size", [1, 7, 1 << 19])
+def test_repeated_hashes_by_ranges_of_any_number(spark, monkeypatch, size):
+    monkeypatch.setattr(substrings, "RANGE_HASHES", size)
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    values[:3] = 0, 1 << 63, (1 << 64) - 1
+    held = {b: rng.choice(values, n) for b, n in enumerate([200, 1, 0, 90, 90])}
+    rows = [(b, len(h), h.tobytes()) for b, h in held.items()]
+    found = substrings.repeated(spark.createDataFrame(rows, "block long, hashes long, h binary"), ["h"], substrings.seed_hashes, 1)
+    parts = {r.block: [p.asDict() for p in r.parts] for r in found.collect()}
+    counts = Counter(x for h in held.values() for x in h.tolist())
+    assert set(parts) == {0, 1, 3, 4} and all(len(p) <= len(held[b]) for b, p in parts.items())
+    for b, h in held.items():
+        assert substrings.flagged(h.reshape(-1, 1), parts.get(b, [])).tolist() == [counts[x] > 1 for x in h.tolist()]
+
+
 def test_substring_texts(spark):
     docs = [(1, "a b c d e f"), (2, "x b c d e y"), (3, "only here")]
     got = substrings.kept_texts(spark.createDataFrame(docs, "doc_id long, text string"), window=4, seed=2)

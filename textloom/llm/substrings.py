@@ -91,11 +91,12 @@ def repeated(table: DataFrame, columns: list[str], read: Callable[..., np.ndarra
     """block, parts: by range, one bit for each different hash of a block, set when other blocks have it.
 
     ``flagged`` reads them. ``table`` is materialised and has block (unique), hashes (their number) and the
-    ``columns`` from which ``read`` makes them, ``lanes`` uint64 values each.
+    ``columns`` from which ``read`` makes them, ``lanes`` uint64 values each. A block sends one row to each
+    range that it meets, at most one for each of its hashes.
     """
     total = table.agg(F.sum("hashes")).first()[0] or 0
-    ranges = max(1, total // RANGE_HASHES + 1)
-    edges = (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.uint64)
+    # Ranges are those of a hash's first bits, so what a block costs does not grow with their number.
+    bits = int(total // RANGE_HASHES).bit_length()
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,8 +104,8 @@ def repeated(table: DataFrame, columns: list[str], read: Callable[..., np.ndarra
                 h = read(*given)
                 order, group, _ = _grouped(h)
                 once = h[order[np.flatnonzero(np.diff(group, prepend=-1))]]
-                parts = np.split(once, np.searchsorted(once[:, 0], edges))
-                rows = [(i, block, part.tobytes()) for i, part in enumerate(parts) if len(part)]
+                met, at = np.unique(once[:, 0] >> np.uint64(64 - bits) if bits else np.zeros(len(once), np.uint64), return_index=True)
+                rows = [(int(i), block, once[a:b].tobytes()) for i, a, b in zip(met, at, np.append(at, len(once))[1:], strict=True)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["part", "block", "h"])
 
