@@ -12,7 +12,7 @@ from textloom.functions.hashing import murmur3_bucket
 from textloom.functions.text import cache_key, document_id, words
 from textloom.jobs import export, fixtures, search
 from textloom.operators import cells, chunking, enrich, graphs, postings, render, retrieval, safety, store, xref
-from textloom.sources import files, html, text
+from textloom.sources import files, html, statements, text
 from textloom.storage import bound_batches, new_path, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -559,6 +559,17 @@ def edge_list_text(spark, d):
     return graphs.edge_text(edges, nodes, limit=None)
 
 
+@query("graph_statements", f"""WITH {_TRADE}, nm AS (SELECT 'c' || c_custkey AS id, c_name AS label, 'customer' AS type FROM customer UNION ALL SELECT 's' || s_suppkey, s_name, 'supplier' FROM supplier UNION ALL SELECT 'n' || n_nationkey, n_name, 'nation' FROM nation)
+SELECT DISTINCT 'nodes' AS stage, 'UNWIND $rows AS r MERGE (n:`' || type || '` {{id: r.id}}) SET n.name = r.name, n.doc_id = r.doc_id' AS statement, id, label AS name, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS target FROM nm
+UNION ALL SELECT DISTINCT 'edges', 'UNWIND $rows AS r MATCH (a {{id: r.source}}), (b {{id: r.target}}) MERGE (a)-[:`' || upper(replace(replace(relation, ' ', '_'), '-', '_')) || '`]->(b)', NULL, NULL, source, target FROM tr""")
+def graph_statements(spark, d):
+    """The batches of merge statements that the graph of trade is exported by, as their rows."""
+    kind = F.when(F.col("id").startswith("c"), "customer").when(F.col("id").startswith("s"), "supplier").otherwise("nation")
+    nodes = fixtures.trade_names(spark, d).withColumns({"type": kind, "doc_id": F.lit("trade")})
+    rows = statements.batched(nodes, fixtures.trade_edges(spark, d)).select("stage", "statement", F.explode("rows").alias("r"))
+    return rows.select("stage", "statement", *[F.try_element_at("r", F.lit(x)).alias(x) for x in ("id", "name", "source", "target")])
+
+
 @query("mean_pool", """WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, 64)) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY ALL)
 SELECT label, i AS dim, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS x FROM m""")
 def mean_pool(spark, d):
