@@ -628,6 +628,20 @@ def cache_hit_miss(spark, d):
     return store.cache_lookup(rows.select("event_id", "key").crossJoin(F.broadcast(now)), entries.crossJoin(F.broadcast(now)).where("expires_at > now").drop("now"), F.lit("1900-01-01").cast("timestamp")).select("event_id", "key", "value", "hit")
 
 
+@query("cache_hit_miss_streamed", ORACLES["cache_hit_miss"])
+def cache_hit_miss_streamed(spark, d):
+    """The same lookups in what a stream of the events holds when its watermark, a day behind, has come to its end."""
+    from textloom.streaming.values import replay
+
+    files = read_table(spark, d, "events")
+    # A stream takes a single file by a pattern only; this one matches nothing else.
+    events = spark.readStream.schema(files.schema).parquet(f"{d}/events.parque[t]")
+    stream = events.select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    held = replay(stream, "key", 3600, "1 day", new_path(spark, "cache-state"), new_path(spark, "cache-changes"))
+    asked = files.select("event_id", F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"))
+    return asked.join(held.select("key", "value"), "key", "left").select("event_id", "key", "value", F.col("value").isNotNull().alias("hit"))
+
+
 @query("rate_limit_windows", "SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS requests, count(*) > 1 AS limited FROM events GROUP BY 1, 2")
 def rate_limit_windows(spark, d):
     from textloom.streaming.limits import rate_limits
