@@ -14,14 +14,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-CHANGES = "change string, value double, ts timestamp, expires_ms long"
+CHANGES = "change string, value double, ts_us long, expires_ms long"
 
 
 @contextmanager
@@ -46,13 +45,12 @@ class _Newest(StatefulProcessor):
         self.handle = handle
         self.held = handle.getValueState("held", "ts_us long, value double, expires_ms long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         before = self.held.get()
         best = (before[0], before[1]) if before else None
-        for frame in rows:
-            newest = frame.sort_values(["ts_us", "value"]).iloc[-1]
-            found = (int(newest.ts_us), float(newest.value))
-            best = found if best is None or found > best else best
+        for row in rows:
+            if best is None or (row.ts_us, row.value) > best:
+                best = (row.ts_us, row.value)
         expires = best[0] // 1000 + self.ttl_ms
         if (before and (before[0], before[1]) == best) or expires <= timerValues.getCurrentWatermarkInMs():
             return
@@ -60,16 +58,16 @@ class _Newest(StatefulProcessor):
             self.handle.deleteTimer(before[2])
         self.held.update((*best, expires))
         self.handle.registerTimer(expires)
-        yield self._changes(key, "stored", *best, expires)
+        yield self._change(key, "stored", *best, expires)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         held = self.held.get()
         if held and held[2] <= expiredTimerInfo.getExpiryTimeInMs():
             self.held.clear()
-            yield self._changes(key, "expired", *held)
+            yield self._change(key, "expired", *held)
 
-    def _changes(self, key, change: str, ts_us: int, value: float, expires: int) -> pd.DataFrame:
-        return pd.DataFrame({self.key: [key[0]], "change": [change], "value": [value], "ts": [pd.Timestamp(ts_us, unit="us", tz="UTC")], "expires_ms": [expires]})
+    def _change(self, key, change: str, ts_us: int, value: float, expires: int) -> Row:
+        return Row(**{self.key: key[0], "change": change, "value": value, "ts_us": ts_us, "expires_ms": expires})
 
 
 def newest_values(events: DataFrame, key: str, ttl_seconds: int, lateness: str = "5 minutes") -> DataFrame:
@@ -80,7 +78,7 @@ def newest_values(events: DataFrame, key: str, ttl_seconds: int, lateness: str =
     kind = events.schema[key].dataType.simpleString()
     given = events.withWatermark("ts", lateness).where(F.col(key).isNotNull() & F.col("value").isNotNull() & F.col("ts").isNotNull())
     rows = given.where(~F.isnan(F.col("value").cast("double"))).select(key, "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.col("value").cast("double").alias("value"))
-    return rows.groupBy(key).transformWithStateInPandas(_Newest(key, 1000 * ttl_seconds), f"`{key}` {kind}, {CHANGES}", "append", "eventTime")
+    return rows.groupBy(key).transformWithState(_Newest(key, 1000 * ttl_seconds), f"`{key}` {kind}, {CHANGES}", "append", "eventTime")
 
 
 def held_values(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
