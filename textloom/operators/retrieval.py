@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions.hashing import md5_bucket
 from textloom.functions.text import head, words
-from textloom.functions.vectors import dot
-from textloom.storage import maybe_broadcast
+from textloom.operators import nearest
+from textloom.storage import materialize, maybe_broadcast
 
 RRF_K = 60
 GROUNDED = 0.45
@@ -79,18 +79,11 @@ def sparse_topk(queries: DataFrame, chunks: DataFrame, limit: int, on: str = "to
 
 
 def dense_topk(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
-    """Cosine of every query with every chunk (a stated query set against all rows).
+    """Cosine of every query with every chunk (a stated query set against all rows), worked out by blocks; the hits are written.
 
     Where queries have ``allowed``, null or a list, only chunks of these modalities count.
     """
-    limited = "allowed" in queries.columns
-
-    def unit(df: DataFrame, key: str, vector: str) -> DataFrame:
-        return df.select(key, *([{"query_id": "allowed", "chunk_id": "modality"}[key]] if limited else []), F.col("embedding").alias(vector), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias(f"{vector}_size"))
-
-    pairs = unit(chunks, "chunk_id", "v").crossJoin(maybe_broadcast(unit(queries, "query_id", "q"), BROADCAST_ROWS))
-    size = F.col("v_size") * F.col("q_size")
-    return ranked(_allowed(pairs).where(size > 0).select("query_id", "chunk_id", F.round(dot(F.col("v"), F.col("q")) / size, 9).alias("score")), limit)
+    return materialize(ranked(nearest.scores(queries, chunks, limit), limit), "dense-hits")
 
 
 def candidate_limits(analytical: bool, top_k: int) -> tuple[int, int, int]:
