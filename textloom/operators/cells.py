@@ -13,8 +13,8 @@ Cells that hold many vectors are written in parts of about PART_ROWS rows, and a
 joins parts, so no task gets a whole hot cell. What is known of the cells (centre, radius,
 rows) is bounded by MAX_CELLS and travels with the tasks.
 
-Defined results: vectors that are null, have a null or NaN in them, have no length or
-another number of dimensions than the sample are in no result, as chunks or as queries.
+Defined results: vectors that are null, have a null or NaN in them, have no length, a length
+that is not finite or another number of dimensions than the sample are in no result, as chunks or as queries.
 Ids of queries and chunks are unique; an empty table gives no hits.
 """
 
@@ -29,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.vectors import dot
-from textloom.operators.retrieval import BROADCAST_ROWS, _allowed, ranked
+from textloom.operators import nearest
+from textloom.operators.retrieval import BROADCAST_ROWS, ranked
 from textloom.storage import materialize, maybe_broadcast, new_path
 
 #: Vectors that cells are fitted on, at most; cells, at most; rows of one part of a cell.
@@ -62,7 +63,7 @@ def fit(sample: np.ndarray, cells: int) -> np.ndarray:
 def _usable(rows: DataFrame, dimensions: int | None = None) -> DataFrame:
     e = F.col("embedding")
     sized = e.isNotNull() & (F.size(e) == dimensions) if dimensions else e.isNotNull()
-    return rows.where(sized & ~F.exists(e, lambda x: x.isNull() | F.isnan(x)) & (dot(e, e) > 0))
+    return rows.where(sized & ~F.exists(e, lambda x: x.isNull() | F.isnan(x)) & (dot(e, e) > 0) & (dot(e, e) < float("inf")))
 
 
 @dataclass
@@ -91,15 +92,18 @@ class CellIndex:
 
         return plan("q")
 
-    def _scored(self, routes: DataFrame, asked: DataFrame) -> DataFrame:
-        """query_id, chunk_id, score of the routed queries with all vectors of their cells."""
+    def _scored(self, routes: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+        """query_id, chunk_id, score: what may be among the best ``limit`` of the routed queries in their cells, from ``worst`` on where routes have it."""
         # At most MAX_CELLS numbers; they become the partitions that the scan lists.
         opened = [r.cell for r in routes.select("cell").distinct().collect()]
-        each = routes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("query_id", "cell", "part")
-        told = maybe_broadcast(each.join(maybe_broadcast(asked, BROADCAST_ROWS), "query_id"), BROADCAST_ROWS)
-        met = _allowed(self.table.where(F.col("cell").isin(opened)).join(told, ["cell", "part"]))
-        size = F.col("size") * F.col("q_size")
-        return met.select("query_id", "chunk_id", F.round(dot(F.col("embedding"), F.col("q")) / size, 9).alias("score"))
+        blocks = max(1, -(-asked.count() // nearest.QUERY_BLOCK))
+        floor = [F.col("worst").alias("floor")] if "worst" in routes.columns else []
+        each = routes.select("query_id", "cell", *floor, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        told = each.join(maybe_broadcast(asked, BROADCAST_ROWS), "query_id").withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        held = self.table.where(F.col("cell").isin(opened)).withColumnsRenamed({"embedding": "v", "size": "v_size"})
+        held = held.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        found = nearest.best_of_blocks(told, held, ["cell", "part", "q_block"], limit)
+        return found.withColumn("score", F.round("score", 9))
 
     def search(self, queries: DataFrame, limit: int, probes: int | None = None) -> tuple[DataFrame, DataFrame]:
         """Hits (query_id, chunk_id, score, rank), and the opened cells (query_id, cell).
@@ -112,14 +116,14 @@ class CellIndex:
         asked = materialize(usable.select("query_id", e.alias("q"), F.sqrt(dot(e, e)).alias("q_size"), *(["allowed"] if "allowed" in queries.columns else [])), "asked")
         routes = materialize(asked.select("query_id", F.explode(self._plan(limit, probes)).alias("r")).select("query_id", "r.*"), "routes")
         first = routes.where("first")
-        hits = materialize(ranked(self._scored(first, asked), limit), "first-hits")
+        hits = materialize(ranked(self._scored(first, asked, limit), limit), "first-hits")
         if probes is not None:
             return hits, first.select("query_id", "cell")
         worst = hits.where(F.col("rank") == limit).select("query_id", F.col("score").alias("worst"))
         rest = routes.where("not first").join(worst, "query_id", "left").where(F.col("worst").isNull() | (F.col("bound") >= F.col("worst") - _SLACK))
-        rest = materialize(rest.drop("worst"), "more-routes")
-        more = self._scored(rest, asked)
-        return ranked(hits.select("query_id", "chunk_id", "score").unionByName(more), limit), first.unionByName(rest).select("query_id", "cell")
+        rest = materialize(rest, "more-routes")
+        more = self._scored(rest, asked, limit)
+        return ranked(hits.select("query_id", "chunk_id", "score").unionByName(more), limit), first.unionByName(rest.drop("worst")).select("query_id", "cell")
 
     def topk(self, queries: DataFrame, limit: int, probes: int | None = None) -> DataFrame:
         return self.search(queries, limit, probes)[0]
@@ -157,13 +161,13 @@ def build(chunks: DataFrame, path: str | None = None, cells: int | None = None)
     centres = fit(_matrix(pd.Series(sample)), wanted) if sample else np.ones((1, dimensions)) / math.sqrt(dimensions)
 
     @F.pandas_udf("cell int, angle double")
-    def nearest(vectors: pd.Series) -> pd.DataFrame:
+    def assigned(vectors: pd.Series) -> pd.DataFrame:
         found = _matrix(vectors) @ centres.T
         cell = found.argmax(1)
         return pd.DataFrame({"cell": cell.astype("int32"), "angle": np.arccos(np.clip(found[np.arange(len(cell)), cell], -1, 1))})
 
     e = F.col("embedding")
-    placed = materialize(kept.withColumn("at", nearest("embedding")).select(*kept.columns, F.sqrt(dot(e, e)).alias("size"), "at.cell", "at.angle"), "placed")
+    placed = materialize(kept.withColumn("at", assigned("embedding")).select(*kept.columns, F.sqrt(dot(e, e)).alias("size"), "at.cell", "at.angle"), "placed")
     radii, rows = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
     for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect():  # at most MAX_CELLS rows
         rows[r.cell], radii[r.cell] = r.n, r.radius
