@@ -7,10 +7,14 @@ lets Spark cut each query's candidates before the shuffle.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
+from itertools import repeat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions.hashing import md5_bucket
 from textloom.functions.text import head, words
@@ -21,6 +25,8 @@ RRF_K = 60
 GROUNDED = 0.45
 #: Query rows counted to be at most so many are broadcast.
 BROADCAST_ROWS = 100_000
+#: Rows of words that a task hands on at once, about.
+COUNTED_ROWS = 100_000
 # Modalities that an intent asks for.
 INTENT_MODALITIES = {"visual": ("image", "graph"), "mathematical": ("formula",), "code": ("algorithm", "code")}
 # Words that give a query's intent when no model does; first match wins.
@@ -43,16 +49,72 @@ def intent(text: Column, limit: int | None = None) -> Column:
     return found.otherwise("general")
 
 
+def _row_counts(docs: DataFrame, key: str) -> DataFrame:
+    """key, token, tf, most: the lower-cased words of each row, how often it has them, and its greatest such number."""
+    rows = docs.select(key, F.lower("text").alias("text"))
+    schema = T.StructType([rows.schema[key], T.StructField("token", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("most", T.LongType())])
+
+    def count(batches):
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            at: list[int] = []
+            tokens: list[bytes] = []
+            tf: list[int] = []
+            most: list[int] = []
+
+            def made() -> pa.RecordBatch:
+                columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(tokens, pa.binary()).cast(pa.string()), pa.array(tf, pa.int64()), pa.array(most, pa.int64())]
+                return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+            for i in range(len(texts)):
+                # Bytes are split at space and 0x09-0x0D.
+                found = Counter((texts[i].as_py() or b"").split())
+                if found:
+                    at.extend(repeat(i, len(found)))
+                    tokens.extend(found)
+                    tf.extend(found.values())
+                    most.extend(repeat(max(found.values()), len(found)))
+                if len(at) >= COUNTED_ROWS:
+                    yield made()
+                    for x in (at, tokens, tf, most):
+                        x.clear()
+            yield made()
+
+    return rows.mapInArrow(count, schema)
+
+
+def _by_uniqueness(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose key is theirs alone, and the others, if there are any."""
+    repeated = materialize(docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias("_repeated")), "repeated-keys")
+    if repeated.isEmpty():
+        return docs, None
+    same, side = F.col(key).eqNullSafe(F.col("_repeated")), maybe_broadcast(repeated, BROADCAST_ROWS)
+    return docs.join(side, same, "left_anti"), docs.join(side, same, "left_semi")
+
+
+def _weighted(counts: DataFrame, key: str, name: str) -> DataFrame:
+    """key, name, tf, weight of counts that are to be added up."""
+    summed = counts.repartition(key).groupBy(key, name).agg(F.sum("tf").alias("tf"))
+    return summed.select(key, name, "tf", (F.col("tf") / F.max("tf").over(Window.partitionBy(key))).alias("weight"))
+
+
 def token_weights(docs: DataFrame, key: str) -> DataFrame:
-    """key, token, weight: frequency of each lower-cased word over the most frequent one's."""
-    counts = docs.select(key, F.explode(words(F.lower("text"))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
-    return counts.select(key, "token", "tf", (F.col("tf") / F.max("tf").over(Window.partitionBy(key))).alias("weight"))
+    """key, token, weight: frequency of each lower-cased word over the most frequent one's.
+
+    Words are counted within their row; only rows that share a key are shuffled.
+    """
+    alone, shared = _by_uniqueness(docs.select(key, "text"), key)
+    weights = _row_counts(alone, key).select(key, "token", "tf", (F.col("tf") / F.col("most")).alias("weight"))
+    return weights if shared is None else weights.unionByName(_weighted(_row_counts(shared, key), key, "token"))
 
 
 def sparse_encode(docs: DataFrame, key: str, bucket=md5_bucket) -> DataFrame:
-    """key, bucket, weight: hashed frequencies; words that share a bucket add up."""
-    counts = docs.select(key, F.explode(words(F.lower("text"))).alias("token")).groupBy(key, bucket(F.col("token")).alias("bucket")).agg(F.count(F.lit(1)).alias("tf"))
-    return counts.select(key, "bucket", (F.col("tf") / F.max("tf").over(Window.partitionBy(key))).alias("weight"))
+    """key, bucket, weight: hashed frequencies; words that share a bucket add up.
+
+    A word is hashed once in each row that has it, and numbers alone are shuffled.
+    """
+    counts = _row_counts(docs, key).select(key, bucket(F.col("token")).alias("bucket"), "tf")
+    return _weighted(counts, key, "bucket").drop("tf")
 
 
 def ranked(scores: DataFrame, limit: int, order: list[Column] | None = None) -> DataFrame:
