@@ -36,6 +36,8 @@ PII = (
     ("PHONE_NUMBER", r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}"),
     ("DATE_TIME", r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2})?)?\b"),
 )
+#: What every match of a kind has in it, which is looked for first.
+MARKS = {"URL": "://", "EMAIL_ADDRESS": "@", "PHONE_NUMBER": "+"}
 REFUSAL = "The answer was withheld because it may be harmful."
 DISCLAIMER = "\n\nNote: parts of this answer may not be supported by the sources."
 
@@ -46,11 +48,22 @@ def any_of(text: Column, patterns: tuple[str, ...]) -> Column:
 
 def redact(text: Column) -> tuple[Column, Column]:
     """The text with personal data replaced by <TYPE>, and the types that were found, in order."""
-    types, sanitised = [], F.coalesce(text, F.lit(""))
+    state = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.expr("cast(array() as array<string>)").alias("types"))
     for name, pattern in PII:
-        types.append(F.when(sanitised.rlike(pattern), F.lit(name)))
-        sanitised = F.regexp_replace(sanitised, pattern, f"<{name}>")
-    return sanitised, F.array_compact(F.array(*types))
+        state = _redacted(state, name, pattern)
+    return state["text"], state["types"]
+
+
+def _redacted(state: Column, name: str, pattern: str) -> Column:
+    """``state`` (text, types) after one kind; the state before is worked out once, and only texts with a match are written again."""
+
+    def step(s: Column) -> Column:
+        has = s["text"].rlike(pattern)
+        if name in MARKS:
+            has = s["text"].contains(MARKS[name]) & has
+        return F.when(has, F.struct(F.regexp_replace(s["text"], pattern, f"<{name}>").alias("text"), F.array_append(s["types"], F.lit(name)).alias("types"))).otherwise(s)
+
+    return F.get(F.transform(F.array(state), step), F.lit(0))
 
 
 def guard(queries: DataFrame, text: str = "text", classify: Column | None = None) -> DataFrame:
