@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
+from tests.test_rows import _shuffle_records
 from textloom.llm import counts, decontam, exact, lines, neardup, packing, pii, toxicity, warc
 from textloom.storage import new_path
 
@@ -142,6 +143,24 @@ def test_decontamination_of_short_items_and_proximity(spark):
     assert {(1, 1), (2, 2), (3, 2), (5, 2)} <= near
 
 
+@pytest.mark.parametrize("most", [100, 0])
+def test_decontamination_moves_only_wanted_postings_of_a_large_lookup(spark, monkeypatch, most):
+    """Candidate documents are long, and what is looked up in them is beyond the bound of a broadcast; they themselves are, or are not."""
+    item = " ".join(f"item{i}" for i in range(12))
+    texts = [(i, " ".join([*(f"w{i}x{j}" for j in range(500)), item, *(f"v{i}x{j}" for j in range(500))])) for i in range(20)]
+    docs, benchmark = spark.createDataFrame([*texts, (20, "nothing of it")], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    index, tests = decontam.build_index(docs, new_path(spark, "index")), decontam.items(benchmark)
+    found = decontam.diagonals(index, decontam.anchored(tests, index))
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", most)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        matches = decontam.exact_matches(index, found, tests)
+        assert [list(r.starts) for r in matches.collect()] == [[0, 1, 2]] * 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(_shuffle_records(matches._jdf.queryExecution().executedPlan())) < 2_000 < 20 * 1_012
+
+
 FORMS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.text import lower_ascii, words
-from textloom.rows import without_rows
+from textloom.rows import possible_rows, without_rows
 from textloom.skew import join_counted
 from textloom.storage import maybe_broadcast, materialize, new_path, read_table, small_enough
 
@@ -132,7 +132,8 @@ def exact_matches(index: PositionalIndex, found: DataFrame, tests: DataFrame, wi
     """d, k, item_id, diagonal, n (words of a window), starts: where an item's windows occur.
 
     The postings that a candidate lacks are looked up by document, word and position,
-    so each finds one row at most.
+    so each finds one row at most. Many are looked up through filters of a fixed size, so
+    the index stays where it is.
     """
     wanted = found.join(tests.select("i", "words"), "i").select("d", "k", "i", "diagonal", F.posexplode("words").alias("at", "word"))
     wanted = materialize(wanted.select("d", "k", "word", (F.col("diagonal") + F.col("at")).alias("pos"), "i", "diagonal", "at").where("pos >= 0"), "wanted-postings")
@@ -140,8 +141,10 @@ def exact_matches(index: PositionalIndex, found: DataFrame, tests: DataFrame, wi
     if small_enough(wanted, BROADCAST_ROWS):
         there = index.postings.join(F.broadcast(places), ["d", "k", "word", "pos"])
     else:
-        some = maybe_broadcast(materialize(wanted.select("d", "k").distinct(), "candidate-documents"), BROADCAST_ROWS)
-        there = index.postings.join(some, ["d", "k"], "left_semi").join(places, ["d", "k", "word", "pos"])
+        some = materialize(wanted.select("d", "k").distinct(), "candidate-documents")
+        near = index.postings.join(F.broadcast(some), ["d", "k"], "left_semi") if small_enough(some, BROADCAST_ROWS) else possible_rows(index.postings, ["d", "k"], some)
+        # Of the candidates' postings only those at wanted places are shuffled.
+        there = possible_rows(near, ["d", "k", "pos"], wanted).join(places, ["d", "k", "word", "pos"])
     each = there.select("d", "k", F.explode("places").alias("p")).groupBy("d", "k", "p.i", "p.diagonal").agg(F.sort_array(F.collect_set("p.at")).alias("at"))
     sized = each.join(tests.select("i", "item_id", F.least(F.size("words"), F.lit(window)).alias("n")), "i")
     return sized.select("d", "k", "item_id", "diagonal", "n", F.expr("filter(at, (x, j) -> get(at, j + n - 1) = x + n - 1)").alias("starts")).where("size(starts) > 0")

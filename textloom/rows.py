@@ -40,6 +40,32 @@ def _keyed(docs: DataFrame, keys: Sequence[Column], found: DataFrame) -> tuple[D
     return docs.withColumns(dict(zip(left, keys, strict=True))), found.toDF(*right), reduce(and_, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=False))), left, right
 
 
+def _place(names: list[str]) -> Column:
+    """The filter's word for a key."""
+    return F.pmod(F.xxhash64(*names), F.lit(FILTER_WORDS))
+
+
+def _pattern(names: list[str]) -> Column:
+    """Three bits of a word, from a second hash."""
+    h = F.xxhash64(F.lit(1), *names)
+    return reduce(lambda a, b: a.bitwiseOR(b), (F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 6 * i), F.lit(64)).cast("int")) for i in range(3)))
+
+
+def _filter(keyed: DataFrame, names: list[str], word: str, bits: str) -> DataFrame:
+    """A Bloom filter of the keys: at most FILTER_WORDS rows of two numbers."""
+    return materialize(keyed.groupBy(_place(names).alias(word)).agg(F.bit_or(_pattern(names)).alias(bits)), "filter")
+
+
+def possible_rows(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """The rows whose ``keys`` are in ``wanted``, and few others; the filter is broadcast and no row is moved.
+
+    The keys are columns of both tables, of the same types.
+    """
+    word, bits = fresh_names(rows, 2, wanted)
+    marked = rows.withColumn(word, _place(keys)).join(F.broadcast(_filter(wanted, keys, word, bits)), word)
+    return marked.where(F.col(bits).bitwiseAND(_pattern(keys)) == _pattern(keys)).drop(word, bits)
+
+
 def without_rows(docs: DataFrame, keys: Sequence[Column], gone: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of ``docs`` whose ``keys`` are in no row of ``gone``, which has them in this order.
 
@@ -51,19 +77,9 @@ def without_rows(docs: DataFrame, keys: Sequence[Column], gone: DataFrame, broad
     if small_enough(gone, broadcast_rows):
         return left_side.join(F.broadcast(right_side), same, "left_anti").drop(*left)
     word, bits = fresh_names(docs, len(left) + len(right) + 2)[-2:]
-
-    def place(names: list[str]) -> Column:
-        return F.pmod(F.xxhash64(*names), F.lit(FILTER_WORDS))
-
-    def pattern(names: list[str]) -> Column:
-        # Three bits of a word, from a second hash.
-        h = F.xxhash64(F.lit(1), *names)
-        return reduce(lambda a, b: a.bitwiseOR(b), (F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 6 * i), F.lit(64)).cast("int")) for i in range(3)))
-
-    held = materialize(right_side.groupBy(place(right).alias(word)).agg(F.bit_or(pattern(right)).alias(bits)), "filter")
-    # At most FILTER_WORDS rows of two numbers.
-    marked = left_side.withColumn(word, place(left)).join(F.broadcast(held), word, "left")
-    maybe = F.coalesce(F.col(bits).bitwiseAND(pattern(left)) == pattern(left), F.lit(False))
+    held = _filter(right_side, right, word, bits)
+    marked = left_side.withColumn(word, _place(left)).join(F.broadcast(held), word, "left")
+    maybe = F.coalesce(F.col(bits).bitwiseAND(_pattern(left)) == _pattern(left), F.lit(False))
     doubtful = marked.where(maybe).drop(word, bits).join(right_side, same, "left_anti")
     return marked.where(~maybe).drop(word, bits, *left).unionByName(doubtful.drop(*left))
 
