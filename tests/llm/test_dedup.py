@@ -116,6 +116,24 @@ def test_nodes_across_components_are_compared_in_blocks(spark, monkeypatch):
     assert {x.doc_id: x.component_id for x in neardup.groups(df, shingle=4).collect()} == want
 
 
+@pytest.mark.parametrize("block", [512, 4])
+def test_nodes_come_once_to_a_part_and_all_that_should_meet_do(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK_NODES", block)
+    rows = [(1, n, 100 + n % 3 if n % 4 else 100, 50) for n in range(30)] + [(2, n, n, 50) for n in range(5)]
+    dealt = neardup._dealt(spark.createDataFrame(rows, "key long, node long, root long, n_shingles long")).collect()
+    assert len({(r.key, r.part, r.node) for r in dealt}) == len(dealt)
+    met = {(r.key, *sorted((r.node, s.node))) for r in dealt for s in dealt if (r.key, r.part) == (s.key, s.part) and r.root != s.root and r.side != 1 and s.side != 0}
+    assert met == {(k, a, b) for k, a, x, _ in rows for j, b, y, _ in rows if j == k and a < b and x != y}
+
+
+def test_sets_are_not_written_beside_their_shuffle(spark, monkeypatch):
+    written, write = [], neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, name: written.extend(c for c in df.columns if c in "ab" and dict(df.dtypes)[c] == "binary") or write(df, name))
+    docs = varied(6, 60)
+    got = {x.doc_id: x.component_id for x in neardup.groups(spark.createDataFrame(docs, "doc_id long, text string"), shingle=4).collect()}
+    assert got == brute.near_components(docs, 4) and not written
+
+
 def test_likelihood_estimate_is_near_the_truth():
     import numpy as np
 

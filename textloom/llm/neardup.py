@@ -195,35 +195,47 @@ def promising(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return near.select("hub", "node", "hub_n", "n_shingles", "hub_sketch", "sketch").mapInArrow(task, "hub long, node long")
 
 
-def members(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """node, a, b: the sets of the wanted nodes in two lanes, made anew from one document each."""
+def members(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, sketched: bool = False) -> DataFrame:
+    """node, the fields of its places, a, b, n_shingles, sketch (or null): the sets of the wanted nodes in two lanes, made anew from one document each.
+
+    ``wanted`` has node, places; a node's set is a row for each of its places. What meets a set
+    so meets its text before, and sets are moved once, by the caller. They are not written besides.
+    """
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp1, fp2 = np.asarray(batch["fp1"]), np.asarray(batch["fp2"])
             rows, held = [], 0
+
+            def made() -> pa.RecordBatch:
+                at, *columns = zip(*rows, strict=True)
+                found = pa.array(at, pa.int64())
+                return pa.RecordBatch.from_arrays([batch["node"].take(found), batch["places"].take(found), *(pa.array(c, pa.binary()) for c in columns)], ["node", "places", "a", "b", "sketch"])  # noqa: B023
+
             for i, first, a, b in sets(batch["text"], shingle):
                 one, two = fingerprints(first, a, b)
                 # A doc_id may be on several rows with different texts: the node's own text counts.
                 for j in np.flatnonzero((one == fp1[i : i + len(one)]) & (two == fp2[i : i + len(one)])):
                     mine = slice(first[j], first[j + 1])
-                    rows.append((batch["node"][i + j].as_py(), a[mine].tobytes(), b[mine].tobytes()))
+                    sketch = registers(a[mine], np.array([0, first[j + 1] - first[j]]))[0].tobytes() if sketched else None
+                    rows.append((i + j, a[mine].tobytes(), b[mine].tobytes(), sketch))
                     held += len(rows[-1][1]) * 2
                 if held > SEND_BYTES:
-                    yield _rows(rows, _SETS)
+                    yield made()
                     rows, held = [], 0
             if rows:
-                yield _rows(rows, _SETS)
+                yield made()
 
-    known = materialize(nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "fp1", "fp2"), "wanted-sets")
+    known = materialize(nodes.select("node", "doc_id", "fp1", "fp2").join(wanted, "node"), "wanted-sets")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(maybe_broadcast(known, BROADCAST_ROWS), "doc_id")
+    places = known.schema["places"].dataType.simpleString()
     # Rows that repeat give a set twice, which changes nothing.
-    return materialize(texts.select("text", "node", "fp1", "fp2").mapInArrow(collect, "node long, a binary, b binary"), "sets")
+    found = texts.select("text", "node", "fp1", "fp2", "places").mapInArrow(collect, f"node long, places {places}, a binary, b binary, sketch binary")
+    return found.select("node", F.explode("places").alias("place"), "a", "b", "sketch").select("node", "place.*", "a", "b", F.expr("length(a) div 8").alias("n_shingles"), "sketch")
 
 
-_SETS = pa.schema([("node", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_NODES = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("node", pa.int64())])
+_NODES = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("node", pa.int64()), ("root", pa.int64()), ("side", pa.int32()), ("band", pa.int32())])
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -254,8 +266,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     dealt = join_counted(pairs, sized, "hub", "parts", max(1, pairs.count() // BLOCK_NODES))
     dealt = materialize(dealt.select("hub", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node"), "dealt-pairs")
     hubs = dealt.select("hub", "part").distinct().select("hub", "part", F.col("hub").alias("node"))
-    found = members(dealt.select("node").unionByName(dealt.select(F.col("hub").alias("node"))).distinct(), nodes, docs, shingle)
-    sent = dealt.withColumn("is_hub", F.lit(False)).unionByName(hubs.withColumn("is_hub", F.lit(True))).join(found, "node")
+    every = dealt.withColumn("is_hub", F.lit(False)).unionByName(hubs.withColumn("is_hub", F.lit(True)))
+    sent = members(every.groupBy("node").agg(F.collect_list(F.struct("hub", "part", "is_hub")).alias("places")), nodes, docs, shingle)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hub = None, None
@@ -302,7 +314,8 @@ def _dealt(entries: DataFrame) -> DataFrame:
 
     A bucket's nodes make blocks. Each part holds a block of the nodes outside the
     bucket's largest component (side 0) and a block of any nodes (side 1). The largest
-    component is thus never compared with itself.
+    component is thus never compared with itself. A node that is in both blocks of a part
+    is one row of it (side 2), so its sketch and its set come once.
     """
     rooted = entries.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
     sizes = rooted.groupBy("key").agg(F.sum("n").alias("nodes"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "root", "shingles")).alias("most"))
@@ -310,10 +323,11 @@ def _dealt(entries: DataFrame) -> DataFrame:
     sizes = materialize(sizes.select("key", "nodes", F.col("most.root").alias("main"), ceiling[0].alias("low"), ceiling[1].alias("high")), "bucket-blocks")
     known = join_counted(entries.select("key", "node", "root"), sizes, "key", "nodes", entries.count())
     h = F.xxhash64("node")
-    others = known.where("root <> main").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("high") - 1)))
+    others = known.where("root <> main").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("high") - 1))).where(F.col("other") != F.pmod(h, "high"))
     rows = others.select("key", (F.pmod(h, "low") * F.col("high") + F.col("other")).alias("part"), "node", "root", F.lit(0).alias("side"))
     every = known.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("low") - 1)))
-    return rows.unionByName(every.select("key", (F.col("other") * F.col("high") + F.pmod(h, "high")).alias("part"), "node", "root", F.lit(1).alias("side")))
+    both = (F.col("root") != F.col("main")) & (F.col("other") == F.pmod(h, "low"))
+    return rows.unionByName(every.select("key", (F.col("other") * F.col("high") + F.pmod(h, "high")).alias("part"), "node", "root", F.when(both, 2).otherwise(1).alias("side")))
 
 
 def _meet(dealt: DataFrame, compare: Callable[[pa.Table, np.ndarray], pa.RecordBatch], kind: str) -> DataFrame:
@@ -338,7 +352,7 @@ def across(opened: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, s
     sketched = dealt.join(entries.select("key", "band").distinct(), "key").join(nodes.select("node", "n_shingles", "sketch"), "node")
 
     def partners(table: pa.Table, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Rows of side 0 with rows of side 1 of the same part that the sketches do not rule out."""
+        """Rows of side 0 with rows of side 1 of the same part, those of both included, that the sketches do not rule out."""
         roots, side, band = (np.asarray(table[c]) for c in ("root", "side", "band"))
         made, sizes = _matrix(table["sketch"].combine_chunks()), np.asarray(table["n_shingles"])
 
@@ -352,8 +366,8 @@ def across(opened: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, s
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for begin, end in zip(first[:-1], first[1:], strict=True):
-            columns = begin + np.flatnonzero(side[begin:end] == 1)
-            for i in begin + np.flatnonzero(side[begin:end] == 0):
+            columns = begin + np.flatnonzero(side[begin:end] != 0)
+            for i in begin + np.flatnonzero(side[begin:end] != 1):
                 j = columns[(roots[columns] != roots[i]) & (100 * np.minimum(sizes[columns], sizes[i]) >= percent * np.maximum(sizes[columns], sizes[i]))]
                 held.append((np.full(len(j), i), j))
                 if sum(len(x[1]) for x in held) >= PAIRS:
@@ -381,8 +395,9 @@ def across(opened: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, s
         return _rows(links, _LINKS)
 
     sides = sketched.select("key", "part", "node", "root", "side", "band", "n_shingles", "sketch")
-    left = materialize(_meet(sides, by_sketch, "key long, part long, node long"), "promising-nodes")
-    whole = sides.join(left, ["key", "part", "node"], "left_semi").join(members(left.select("node").distinct(), nodes, docs, shingle), "node")
+    left = materialize(_meet(sides, by_sketch, "key long, part long, node long, root long, side int, band int"), "promising-nodes")
+    places = left.groupBy("node").agg(F.collect_list(F.struct("key", "part", "root", "side", "band")).alias("places"))
+    whole = members(places, nodes, docs, shingle, sketched=True)
     return _meet(whole, by_set, "a long, b long")
 
 
