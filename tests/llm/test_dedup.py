@@ -253,6 +253,18 @@ def test_line_summaries_equal_brute_force(spark, monkeypatch, hot, block, salted
     assert sorted(repr(tuple(x)) for x in lines.summaries(df.unionByName(df.limit(1))).distinct().collect()) == want
 
 
+def test_documents_are_split_into_lines_three_times_with_hot_keys_too(spark, monkeypatch, tmp_path):
+    """For the lines, their keys, and the lines that meet."""
+    monkeypatch.setattr(lines, "HOT_LINES", 2)
+    docs = [(i, f"one and the same beginning of line {i:03d}\nanother text, number {i}") for i in range(30)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    read, write = [], lines.materialize
+    monkeypatch.setattr(lines, "materialize", lambda df, name: read.append(name) or write(df, name) if any(f.startswith(f"file://{tmp_path}") for f in df.inputFiles()) else write(df, name))
+    got = sorted(repr(tuple(x)) for x in lines.summaries(spark.read.parquet(f"{tmp_path}/docs")).collect())
+    assert got == sorted(map(repr, brute.line_summaries(docs)))
+    assert read == ["lines", "line-keys", "line-texts"]
+
+
 def test_first_occurrence_of_a_line_class_stays(spark):
     near = "a line that is long enough to be compared"
     docs = [(2, f"{near}\nshort\nshort"), (1, f"x\n{near}!\n\n"), (3, "short")]

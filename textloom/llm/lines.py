@@ -134,20 +134,24 @@ def met_keys(lines: DataFrame, threshold: int, min_chars: int, total: int) -> Da
     return materialize(counted.where("salt is not null or n > 1 and n_own > 0").select("key", "ref", F.when(F.col("salt").isNotNull(), F.lit(1 << 62)).otherwise(F.col("n_own")).alias("n_own")), "line-keys")
 
 
-def candidates(lines: DataFrame, threshold: int, min_chars: int, total: int, texts: DataFrame) -> DataFrame:
-    """a, b: refs of lines that meet in the index; ``texts`` has lines from which signatures are made.
+def candidates(lines: DataFrame, threshold: int, min_chars: int, total: int, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b: refs of lines that meet in the index; and h, line: all lines that they need.
 
     A key with over HOT_LINES lines in the index makes no rows of pairs. Its lines are
-    dealt into blocks, and pairs of blocks are compared by signature within a row.
+    dealt into blocks, and pairs of blocks are compared by signature within a row. The
+    lines are looked up in ``texts`` together, so the documents are split into lines once for it.
     """
     met = met_keys(lines, threshold, min_chars, total)
     line = F.col("ref").bitwiseAND(F.lit(-2))
     sides = [met.where(f"n_own <= {HOT_LINES}").select("key", line.alias("r")), met.where(f"n_own <= {HOT_LINES} and ref & 1 = 1").select("key", line.alias("s"))]
     pairs = sides[0].join(sides[1], "key").where("r <> s").select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b"))
+    pairs = materialize(pairs.distinct(), "line-pairs")
     hot = met.where(f"n_own > {HOT_LINES}").select("key", line.alias("h"), (F.col("ref").bitwiseAND(F.lit(1)) == 1).alias("own"))
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(hot.select("h")).distinct(), "line-refs")
+    found = materialize(texts.select("line", _ref().alias("h")).join(maybe_broadcast(wanted, BROADCAST_ROWS), "h").distinct(), "line-texts")
     if not hot.isEmpty():
-        pairs = pairs.unionByName(_hot_pairs(hot, texts, threshold))
-    return materialize(pairs.distinct(), "line-pairs")
+        pairs = materialize(pairs.unionByName(_hot_pairs(hot, found, threshold)).distinct(), "line-pairs")
+    return pairs, found
 
 
 def _hot_pairs(rows: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -196,10 +200,8 @@ def edit_distance(a: str, b: str, threshold: int) -> str:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """a, b (MD5 of lines), distance: the pairs of refs within the threshold; only the lines of pairs are looked up."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-refs")
-    found = texts.select("line", _ref().alias("h")).join(maybe_broadcast(wanted, BROADCAST_ROWS), "h").distinct()
-    found = materialize(found, "line-texts").select("h", _id().alias("id"), signature(F.col("line")).alias("signed"), F.expr("transform(regexp_extract_all(line, '(?s).', 0), c -> ascii(c))").alias("points"))
+    """a, b (MD5 of lines), distance: the pairs of refs within the threshold; ``texts`` has h, line."""
+    found = texts.select("h", _id().alias("id"), signature(F.col("line")).alias("signed"), F.expr("transform(regexp_extract_all(line, '(?s).', 0), c -> ascii(c))").alias("points"))
     sides = [found.select(F.col("h").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("id", "points", "signed"))) for c in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
     # Most pairs differ by so many letters that nothing else needs to be compared.
@@ -213,8 +215,8 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 def links(docs: DataFrame, total: int, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """a, b, distance: pairs of different lines, by MD5, within the threshold."""
     texts = occurrences(docs).select("line").where(F.length("line") >= min_chars)
-    pairs = candidates(texts.distinct(), threshold, min_chars, total, texts)
-    return materialize(verified(pairs, texts, threshold), "line-links")
+    pairs, found = candidates(texts.distinct(), threshold, min_chars, total, texts)
+    return materialize(verified(pairs, found, threshold), "line-links")
 
 
 def decisions(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
