@@ -143,6 +143,16 @@ def test_decontamination_of_short_items_and_proximity(spark):
     assert {(1, 1), (2, 2), (3, 2), (5, 2)} <= near
 
 
+def test_the_index_makes_words_once_and_sorts_by_a_number(spark):
+    texts = {1: "Alpha-BETA, alpha é", 2: None, 3: " .,;", 4: "", 5: "alpha"}
+    rows = decontam.index_rows(spark.createDataFrame(texts.items(), "doc_id long, text string").coalesce(1))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("RLIKE") == 1 and plan.count("Sort [xxhash64(word") == 1
+    got = [(r.word, r.d, r.pos) for r in rows.collect()]
+    assert sorted(got) == sorted([("alpha", 1, 0), ("beta", 1, 1), ("alpha", 1, 2), ("é", 1, 3), ("", 1, 4), ("alpha", 5, 0), ("", 5, 1)])
+    assert len([i for i in range(len(got)) if i == 0 or got[i][0] != got[i - 1][0]]) == 4
+
+
 @pytest.mark.parametrize("most", [100, 0])
 def test_decontamination_moves_only_wanted_postings_of_a_large_lookup(spark, monkeypatch, most):
     """Candidate documents are long, and what is looked up in them is beyond the bound of a broadcast; they themselves are, or are not."""
