@@ -253,6 +253,28 @@ def test_line_summaries_equal_brute_force(spark, monkeypatch, hot, block, salted
     assert sorted(repr(tuple(x)) for x in lines.summaries(df.unionByName(df.limit(1))).distinct().collect()) == want
 
 
+def test_lines_and_distances_are_worked_out_once(spark):
+    """A filter on a computed column would compute it again."""
+    docs = spark.createDataFrame([(1, " a line \t of  text \r\n\n two\x0b"), (2, None), (3, " \n")], "doc_id long, text string")
+    split = lines.occurrences(docs).where("length(line) > 2")
+    assert [(r.doc, r.at, r.line) for r in split.collect()] == [(1, 0, "a line of text"), (1, 2, "two")]
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+    texts = spark.createDataFrame([(2, "the same line"), (4, "the same lines"), (6, "the sand lives")], "h long, line string")
+    near = lines.verified(spark.createDataFrame([(2, 4), (2, 6), (4, 6)], "a long, b long"), texts, 2)
+    assert sorted(r.distance for r in near.collect()) == [1]
+    assert near._jdf.queryExecution().optimizedPlan().toString().count("shiftright(") == lines.edit_distance("x", "y", 2).count("shiftright(")
+
+
+def test_lines_of_one_key_make_no_rows_of_pairs(spark, monkeypatch):
+    """Twenty lines with the same ending are compared in a block, not in the join by key; all their pairs are found."""
+    texts = spark.createDataFrame([(f"{i:02d} and the same long ending of every line here",) for i in range(20)], "line string")
+    blocks, compare = [], lines._hot_pairs
+    monkeypatch.setattr(lines, "_hot_pairs", lambda rows, *a: blocks.append(rows.select("h").distinct().count()) or compare(rows, *a))
+    made = lines.candidates(texts, lines.THRESHOLD, lines.MIN_CHARS, 20, texts)[0]
+    assert blocks == [20] and made.count() == 20 * 19 // 2
+
+
 def test_documents_are_split_into_lines_three_times_with_hot_keys_too(spark, monkeypatch, tmp_path):
     """For the lines, their keys, and the lines that meet."""
     monkeypatch.setattr(lines, "HOT_LINES", 2)

@@ -7,9 +7,9 @@ segment), and probes the index with the substrings of itself that could be a
 segment of a line that is as long or up to ``threshold`` characters shorter; the
 admissible places follow from how many edits can lie left and right of the segment
 (Li et al., PASS-JOIN). Index and probes go through one exchange by key; a key under
-which the index has no other line ends there. Keys that hold a thousandth of the
-lines are dealt out before it, and keys that many lines share are compared in
-blocks. Pairs that meet are verified with a banded bit-parallel edit distance: a band
+which the index has no other line ends there. Keys that by a hashed share of the lines
+hold about a thousandth of them are dealt out before it, and keys that several lines
+share are compared in blocks. Pairs that meet are verified with a banded bit-parallel edit distance: a band
 of 2 * threshold + 1 diagonals in one integer that slides along the lines (Hyyro,
 2003). Only built-in expressions are used.
 
@@ -27,7 +27,7 @@ results. Columns other than doc_id and text are not read, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators.components import components
@@ -38,9 +38,11 @@ from textloom.storage import maybe_broadcast, materialize, read_table
 THRESHOLD, MIN_CHARS = 2, 20
 BROADCAST_ROWS = 200_000
 #: A key of the index with more lines than this is hot; lines of a block that such keys are cut into.
-HOT_LINES, BLOCK_LINES = 32, 256
+HOT_LINES, BLOCK_LINES = 4, 256
 #: A key of at least so many lines, and of a thousandth of all, is dealt out to SALTS tasks.
 SALTED_LINES, SALTS = 10_000, 64
+#: One line in so many, by hash, is counted to tell which keys to deal out; that moves rows and changes no result.
+COUNTED = 16
 #: Letters whose counts make the signature of a line.
 SIGNED = "etaoinsrhldcumfpgb"
 _LAST = (1 << 63) - 1
@@ -48,13 +50,15 @@ _LAST = (1 << 63) - 1
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """doc (the id, or the largest long for none), k (text hash), at (line number), line."""
-    split = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("k"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "raw"))
-    # Few lines have other white space than single spaces; looking is much cheaper than replacing.
+    text = F.coalesce("text", F.lit(""))
+    # Few texts have other white space than single spaces; looking is much cheaper than replacing.
     odd = F.lit(False)
     for mark in ("  ", "\t", "\r", "\x0b", "\x0c"):
-        odd = odd | F.contains("raw", F.lit(mark))
-    tidy = F.trim(F.when(odd, F.regexp_replace("raw", r"[\x20\x09-\x0D]+", " ")).otherwise(F.col("raw")))
-    return split.select("doc", "k", "at", tidy.alias("line")).where("line <> ''")
+        odd = odd | F.contains(text, F.lit(mark))
+    tidy = F.when(odd, F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(text)
+    # Looked at before the lines are made: filters on a line would take over whatever makes it.
+    split = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("k"), F.split(tidy, "\n").alias("lines"))
+    return split.select("doc", "k", F.posexplode_outer("lines").alias("at", "raw")).select("doc", "k", "at", F.trim("raw").alias("line")).where("line <> ''")
 
 
 def _id() -> Column:
@@ -122,16 +126,20 @@ def met_keys(lines: DataFrame, threshold: int, min_chars: int, total: int) -> Da
     if min_chars <= 2 * threshold:
         raise ValueError("lines have to be longer than twice the threshold")
     sized = measured(lines, threshold)
-    index = sized.select(F.explode(index_keys(threshold)).alias("key"))
-    # At most 1000 keys for each segment can be that hot, whatever the input; most often there are none.
-    hot = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(SALTED_LINES, total // 1000)).select("key")
+    # The others are null, not filtered out: a filter would go below the distinct lines, which would then be found twice.
+    some = measured(lines.select(F.when(F.pmod(F.shiftright(_ref(), 1), F.lit(COUNTED)) == 0, F.col("line")).alias("line")), threshold)
+    index = some.select(F.explode_outer(F.when(F.col("n").isNotNull(), index_keys(threshold))).alias("key")).where("key is not null")
+    # At most 2000 keys for each segment can be that hot, whatever the input; most often there are none.
+    hot = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(2 * COUNTED * F.col("n") > max(SALTED_LINES, total // 1000)).select("key")
     each = sized.select("h", F.posexplode(keys(threshold)).alias("at", "key"))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int")).alias("salt")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int")).otherwise(F.lit(-1)).alias("salt")
     # In one plan with the hot keys, so that the distinct lines are found once.
     dealt = each.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left").select("key", F.when(F.col("at") <= threshold, F.col("h") + 1).otherwise(F.col("h")).alias("ref"), salt)
-    by_key = Window.partitionBy("key", "salt")
-    counted = dealt.repartition("key", "salt").withColumns({"n_own": F.sum(F.col("ref").bitwiseAND(F.lit(1))).over(by_key), "n": F.count(F.lit(1)).over(by_key)})
-    return materialize(counted.where("salt is not null or n > 1 and n_own > 0").select("key", "ref", F.when(F.col("salt").isNotNull(), F.lit(1 << 62)).otherwise(F.col("n_own")).alias("n_own")), "line-keys")
+    dealt = dealt.repartition("key", "salt")
+    # Few keys are left when they are counted; the rows pass them where they are, and none is sorted.
+    counted = dealt.groupBy("key", "salt").agg(F.sum(F.col("ref").bitwiseAND(F.lit(1))).alias("n_own"), F.count(F.lit(1)).alias("n"))
+    left = counted.where("salt >= 0 or n > 1 and n_own > 0").select("key", "salt", F.when(F.col("salt") >= 0, F.lit(1 << 62)).otherwise(F.col("n_own")).alias("n_own"))
+    return materialize(dealt.join(left.hint("shuffle_hash"), ["key", "salt"]).select("key", "ref", "n_own"), "line-keys")
 
 
 def candidates(lines: DataFrame, threshold: int, min_chars: int, total: int, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -201,14 +209,17 @@ def edit_distance(a: str, b: str, threshold: int) -> str:
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """a, b (MD5 of lines), distance: the pairs of refs within the threshold; ``texts`` has h, line."""
-    found = texts.select("h", _id().alias("id"), signature(F.col("line")).alias("signed"), F.expr("transform(regexp_extract_all(line, '(?s).', 0), c -> ascii(c))").alias("points"))
-    sides = [found.select(F.col("h").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("id", "points", "signed"))) for c in "ab"]
+    found = texts.select("h", _id().alias("id"), "line", F.length("line").alias("n"), signature(F.col("line")).alias("signed"))
+    sides = [found.select(F.col("h").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("id", "line", "n", "signed"))) for c in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
     # Most pairs differ by so many letters that nothing else needs to be compared.
     change = "aggregate(zip_with(signed_a, signed_b, (u, v) -> abs(u - v)), 0, (t, e) -> t + e)"
-    both = both.where(f"abs(size(points_a) - size(points_b)) <= {threshold} and {change} <= {2 * threshold}")
-    ordered = both.selectExpr("id_a", "id_b", "if(size(points_a) >= size(points_b), points_a, points_b) x", "if(size(points_a) >= size(points_b), points_b, points_a) y")
-    near = ordered.withColumn("distance", F.expr(edit_distance("x", "y", threshold))).where(f"distance <= {threshold}")
+    both = both.where(f"abs(n_a - n_b) <= {threshold} and {change} <= {2 * threshold}")
+    points = "transform(regexp_extract_all({0}, '(?s).', 0), c -> ascii(c)) {0}"
+    both = both.selectExpr("id_a", "id_b", points.format("line_a"), points.format("line_b"))
+    ordered = both.selectExpr("id_a", "id_b", "if(size(line_a) >= size(line_b), line_a, line_b) x", "if(size(line_a) >= size(line_b), line_b, line_a) y")
+    # As a row of its own the distance is worked out once; a filter on a column of a projection would do it again.
+    near = ordered.select("id_a", "id_b", F.explode_outer(F.array(F.expr(edit_distance("x", "y", threshold)))).alias("distance")).where(f"distance <= {threshold}")
     return near.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "distance")
 
 
