@@ -1,6 +1,7 @@
 import datetime
 import io
 import json
+import math
 import os
 import zipfile
 
@@ -78,6 +79,48 @@ def test_walk_embeddings_do_the_references_job_in_parallel(spark, monkeypatch):
     assert paths.count() == nodes * 20 and {r.n for r in paths.select(F.size("path").alias("n")).collect()} == {10}
 
 
+def test_walk_embeddings_of_a_large_graph_keep_vectors_out_of_the_driver(spark, monkeypatch):
+    """What Word2Vec would collect stays in tables; neighbours are closer than strangers."""
+    from pyspark.ml import feature
+
+    from textloom.operators import skipgram
+
+    monkeypatch.setattr(graphs, "DRIVER_NUMBERS", 1000, raising=False)
+    monkeypatch.setattr(feature.Word2Vec, "fit", lambda self, paths: pytest.fail("all vectors go through the driver"))
+    for name, value in (("SHARE_WALKS", 2000), ("BLOCK_ROWS", 100), ("NOISE", 64), ("STEP_WALKS", 8)):
+        monkeypatch.setattr(skipgram, name, value)
+    rows = [(f"leaf{i:03d}", f"hub{i % 4}") for i in range(240)] + [(f"hub{i}", f"hub{(i + 1) % 4}") for i in range(4)] + [("hub0", "hub0"), ("alone", None)]
+    edges = spark.createDataFrame(rows, "source string, target string")
+    found = {r.id: r.vector for r in graphs.walk_embeddings(edges, size=16, walks=10, length=8).collect()}
+    assert sorted(found) == sorted({f"leaf{i:03d}" for i in range(240)} | {f"hub{i}" for i in range(4)})
+    assert {len(v) for v in found.values()} == {16} and all(math.isfinite(x) for v in found.values() for x in v)
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b)
+
+    near = [cosine(found[f"leaf{i:03d}"], found[f"leaf{i + 4:03d}"]) for i in range(200)]
+    far = [cosine(found[f"leaf{i:03d}"], found[f"leaf{i + 2:03d}"]) for i in range(200)]
+    assert sum(near) / 200 > sum(far) / 200 + 0.2
+
+
+def test_shares_of_walks_are_whole_and_bounded(spark, monkeypatch):
+    from textloom.operators import skipgram
+
+    monkeypatch.setattr(skipgram, "SHARE_WALKS", 400)
+    monkeypatch.setattr(skipgram, "SHARE_NODES", 120)
+    edges = spark.range(300).select(F.col("id").alias("source"), (F.col("id") % 2 + 1000).alias("target"))
+    paths = materialize(graphs.random_walks(edges, 10, 8), "walks")
+    walks, nodes = skipgram.shares(paths)
+    assert sorted(r.path for r in walks.select("path").collect()) == sorted(r.path for r in paths.select("path").collect())
+    held = {}
+    for r in walks.collect():
+        held.setdefault(r.share, []).append(r.path)
+    assert max(map(len, held.values())) <= 400
+    uses = {(share, node): sum(p.count(node) for p in ps) for share, ps in held.items() for node in {x for p in ps for x in p}}
+    assert {(r.share, r.node): r.uses for r in nodes.collect()} == uses
+    assert max(sum(share == s for share, _ in uses) for s in held) <= 120
+
+
 def test_edge_text_shows_labels_and_takes_a_limit(spark):
     edges = spark.createDataFrame([("d", f"c{i:03d}", "n1", "lives in") for i in range(60)], "doc_id string, source string, target string, relation string")
     nodes = spark.createDataFrame([("d", "c000", "Ann"), ("d", "n1", "PERU"), ("e", "c001", "other")], "doc_id string, id string, label string")
