@@ -269,6 +269,22 @@ def test_posting_store_equals_scoring_every_chunk(spark, monkeypatch, tmp_path):
     assert stored.topk(tokens.limit(0), 5).count() == 0 and postings.build(chunks.limit(0), f"file://{tmp_path}/q").topk(tokens, 5).count() == 0
 
 
+def test_posting_search_has_no_row_for_each_query_and_chunk(spark, monkeypatch, tmp_path):
+    """Words that all queries and chunks have; some chunks have several rows or no id, some queries no chunk."""
+    monkeypatch.setattr(postings, "BLOCK", 100)
+    made, write = {}, postings.materialize
+    monkeypatch.setattr(postings, "materialize", lambda df, name: made.setdefault(name, write(df, name)))
+    docs = [(i % 390 if i != 7 else None, f"a a b c{i % 5} d{i % 50} w{i}" + " e" * (i % 4)) for i in range(400)]
+    chunks = spark.createDataFrame([*docs, (1000, None), (1001, " ")], "chunk_id long, text string")
+    asked = spark.createDataFrame([(f"q{i}", f"a b e c{i % 5} d{i}" if i else "none") for i in range(40)], "query_id string, text string")
+    tokens = retrieval.token_weights(asked, "query_id")
+    want = sorted(map(str, retrieval.sparse_topk(tokens, retrieval.token_weights(chunks, "chunk_id"), 3).collect()))
+    stored = postings.build(chunks, f"file://{tmp_path}/p")
+    assert sorted(map(str, stored.topk(tokens, 3).collect())) == want and len(want) == 39 * 3
+    blocks = stored.blocks.select("block").distinct().count()
+    assert blocks >= 4 and max(df.count() for df in made.values()) <= max(tokens.count(), 39 * 3 * blocks)
+
+
 def test_scans(spark):
     docs = spark.createDataFrame([("a", "one\n\n\n\n two "), ("b", None), ("c", "")], "doc_id string, text string")
     assert [(r.text, r.page) for r in text_scan(docs).collect()] == [("one", 1), ("two", 3)]
