@@ -121,6 +121,50 @@ def test_shares_of_walks_are_whole_and_bounded(spark, monkeypatch):
     assert max(sum(share == s for share, _ in uses) for s in held) <= 120
 
 
+def test_passes_of_a_large_graph_move_and_keep_few_vectors(spark, monkeypatch, tmp_path):
+    """Vectors are not shuffled to train, those of earlier passes go, and the vectors do not depend on how common nodes' ones are handed on."""
+    import glob
+
+    from textloom.operators import skipgram
+    from textloom.storage import forget, shared_dir
+
+    for name, value in (("SHARE_WALKS", 400), ("BLOCK_ROWS", 100), ("NOISE", 64)):
+        monkeypatch.setattr(skipgram, name, value)
+    edges = spark.createDataFrame([(i, 1000 + i % 3) for i in range(120)] + [(1000, 1001)], "source long, target long")
+    folders = lambda: set(glob.glob(f"{shared_dir(spark).removeprefix('file://')}/textloom/*/*"))
+    plans, write = [], skipgram.bucketed
+    monkeypatch.setattr(skipgram, "bucketed", lambda df, name, *rest: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name, *rest))
+    found = []
+    for most in (skipgram.BROADCAST_VECTORS, 0):
+        monkeypatch.setattr(skipgram, "BROADCAST_VECTORS", most)
+        paths, before = materialize(graphs.random_walks(edges, 10, 8), "walks"), folders()
+        found.append({r.node: r.vector for r in skipgram.skipgrams(paths, 16, 5, 3).collect()})
+        left = [x.rpartition("/")[2] for x in folders() - before]
+        assert sum(x.startswith("vectors-") for x in left) == sum(x.startswith("mean-vectors-") for x in left) == 1
+        assert not glob.glob(f"{paths.inputFiles()[0].removeprefix('file://')}")
+    passes = [plan for name, plan in plans if name == "vectors"]
+    assert len(passes) == 6 and not any("Exchange hashpartitioning" in plan for plan in passes[:3])
+    assert sorted(found[0]) == sorted(found[1]) == [*range(120), 1000, 1001, 1002]
+    assert all(abs(x - y) < 1e-3 for n in found[0] for x, y in zip(found[0][n], found[1][n]))
+    spark.range(3).write.parquet(f"file://{tmp_path}/own")
+    forget(spark.read.parquet(f"file://{tmp_path}/own"))
+    assert spark.read.parquet(f"file://{tmp_path}/own").count() == 3
+
+
+def test_walks_go_from_neighbour_to_neighbour_and_are_the_same_without_a_broadcast(spark, monkeypatch):
+    pairs = [(i, 100 + i % 3) for i in range(20)] + [(100, 101), (101, 102), (50, 51), (60, 60), (70, None)]
+    edges = spark.createDataFrame(pairs, "source long, target long")
+    near = {x for a, b in pairs if b is not None and a != b for x in ((a, b), (b, a))}
+    for length in (1, 2, 9):
+        monkeypatch.setattr(graphs, "BROADCAST_NEIGHBOURS", 1 << 23)
+        walks = sorted(graphs.random_walks(edges, 4, length).collect())
+        assert len(walks) == 4 * len({a for a, _ in near}) and all(len(r.path) == length and r.path[0] == r.start for r in walks)
+        assert all(step in near for r in walks for step in zip(r.path, r.path[1:]))
+        monkeypatch.setattr(graphs, "BROADCAST_NEIGHBOURS", 0)
+        assert sorted(graphs.random_walks(edges, 4, length).collect()) == walks
+    assert len({r.path[1] for r in walks if r.start == 100}) > 1 and {tuple(r.path) for r in walks if r.start == 50} == {(50, 51) * 4 + (50,)}
+
+
 def test_edge_text_shows_labels_and_takes_a_limit(spark):
     edges = spark.createDataFrame([("d", f"c{i:03d}", "n1", "lives in") for i in range(60)], "doc_id string, source string, target string, relation string")
     nodes = spark.createDataFrame([("d", "c000", "Ann"), ("d", "n1", "PERU"), ("e", "c001", "other")], "doc_id string, id string, label string")
